@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from . import fixed
 
 SPACE = r"[\s\p{Z}]+"
-_SPLIT = r"""[\s\p{Z},;:@#$%&()\[\]{}<>"“”!?…]+"""
-_CLITICS = [r"(?i)n't\b", r"(?i)'(?:s|re|ve|ll|d|m)\b"]
+WORD_BREAKS = r"""[\s\p{Z},;:@#$%&()\[\]{}<>"“”!?…]+"""
+CLITICS = [r"(?i)n't\b", r"(?i)'(?:s|re|ve|ll|d|m)\b"]
 
 
 def _col(c: Column | str) -> Column:
@@ -115,10 +115,10 @@ def tokens(
     digits included; ``keep_masks`` keeps those, ``split_hyphens`` reads
     ``zero-day`` as two words.
     """
-    text = _replace(_col(c), [(p, " ") for p in _CLITICS])
+    text = _replace(_col(c), [(p, " ") for p in CLITICS])
     if split_hyphens:
         text = F.regexp_replace(text, r"[-/]", " ")
-    words = F.transform(F.split(text, _SPLIT), lambda w: F.btrim(w, F.lit("'.")))
+    words = F.transform(F.split(text, WORD_BREAKS), lambda w: F.btrim(w, F.lit("'.")))
     stop = sorted(stopwords)
 
     def keep(w: Column) -> Column:
