@@ -1 +1,200 @@
+"""Linking, merge, union and de-duplication queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import emerging, linking, reports
+from . import tables as t
+from .registry import query
+
+_WITH_EDGES = "SELECT cve_id, url, published_date FROM edges"
+
+
+def _tagged_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with two tagged ids; a third one stands in the text, in lower case."""
+    ids = t.vuln(spark, d).select("k", "cve_id")
+    a = t.articles(spark, d)
+    for name, key in (("a", F.col("doc_id") * 7), ("b", F.col("doc_id") * 7 + 3), ("c", F.col("doc_id") % 40)):
+        a = a.withColumn("k", key).join(ids.withColumnRenamed("cve_id", f"cve_{name}"), "k", "left").drop("k")
+    return a.withColumn("cves", F.array("cve_a", "cve_b")).withColumn(
+        "text", F.concat_ws(" see ", "text", F.lower("cve_c"))
+    )
+
+
+@query(t.with_views("edges", _WITH_EDGES))
+def article_cve_edges(spark: SparkSession, d: str) -> DataFrame:
+    return linking.article_cve_edges(_tagged_articles(spark, d)).select("cve_id", "url", "published_date")
+
+
+_LINK = """SELECT v.cve_id, CAST(coalesce(l.n_articles, 0) AS INTEGER) AS n_articles,
+    coalesce(l.linked_articles, '') AS linked_articles, l.earliest_article_date
+    FROM vuln v LEFT JOIN (SELECT cve_id, count(*) AS n_articles, min(published_date) AS earliest_article_date,
+      array_to_string(list_sort(list(url)), ',') AS linked_articles FROM edges GROUP BY cve_id) l USING (cve_id)"""
+
+
+@query(t.with_views("vuln edges", _LINK))
+def link(spark: SparkSession, d: str) -> DataFrame:
+    linked = linking.link(t.vuln(spark, d), t.edges(spark, d))
+    return linked.select(
+        "cve_id", "n_articles", F.array_join("linked_articles", ",").alias("linked_articles"), "earliest_article_date"
+    )
+
+
+@query(t.with_views("edges", "SELECT cve_id, url FROM edges"))
+def link_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of at most about 10 urls, unrolled again: every edge must come back once."""
+    chunks = linking.link_chunks(t.edges(spark, d), chunk=10)
+    return chunks.select("cve_id", F.explode("linked_articles").alias("url"))
+
+
+@query(
+    t.with_views("nvd", "SELECT cve_id, CAST(n_articles AS INTEGER) AS n_articles FROM nvd WHERE n_articles > 0")
+)
+def linked_only(spark: SparkSession, d: str) -> DataFrame:
+    return linking.linked_only(t.nvd(spark, d)).select("cve_id", "n_articles")
+
+
+@query(
+    t.with_views("nvd", "SELECT n_articles, count(*) AS n_cves FROM nvd WHERE n_articles > 0 GROUP BY 1")
+)
+def link_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return linking.link_histogram(t.nvd(spark, d))
+
+
+@query(
+    t.with_views(
+        "vuln articles",
+        """SELECT source, published_date, cve_id, severity, CAST(NULL AS VARCHAR) AS url FROM vuln
+           UNION ALL SELECT source, published_date, NULL, NULL, url FROM articles""",
+    )
+)
+def combine(spark: SparkSession, d: str) -> DataFrame:
+    both = linking.combine(
+        t.vuln(spark, d).select("source", "published_date", "cve_id", "severity"),
+        t.articles(spark, d).select("source", "published_date", "url"),
+    )
+    return both
+
+
+@query(
+    t.with_views(
+        "vuln articles",
+        "SELECT cve_id AS doc_key FROM vuln UNION ALL SELECT sha256(url) FROM articles",
+    )
+)
+def doc_key(spark: SparkSession, d: str) -> DataFrame:
+    both = linking.combine(t.vuln(spark, d).select("cve_id"), t.articles(spark, d).select("url"))
+    return both.select(linking.doc_key().alias("doc_key"))
+
+
+# A stored table (two of three rows) and a batch (every second row, later, plus a
+# repeat of each with an older date; one third of the batch is older than the table).
+_STORED = "SELECT cve_id, severity, last_modified FROM vuln WHERE k % 3 <> 0"
+_BATCH = """SELECT cve_id, 'NEW' AS severity, CASE WHEN k % 6 = 4 THEN last_modified - 1 ELSE last_modified + 5 END AS last_modified
+    FROM vuln WHERE k % 2 = 0
+    UNION ALL SELECT cve_id, 'OLD', last_modified - 9 FROM vuln WHERE k % 2 = 0"""
+_UPSERT = """SELECT cve_id, severity, last_modified FROM (SELECT *, row_number() OVER (PARTITION BY cve_id
+    ORDER BY last_modified DESC, pri DESC) AS rn FROM (SELECT *, 1 AS pri FROM stored UNION ALL SELECT *, 0 FROM batch)) WHERE rn = 1"""
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    return t.vuln(spark, d).filter("k % 3 <> 0").select("cve_id", "severity", "last_modified")
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.vuln(spark, d).filter("k % 2 = 0")
+    shift = F.when(F.col("k") % 6 == 4, -1).otherwise(5)
+    new = rows.select("cve_id", F.lit("NEW").alias("severity"), F.date_add("last_modified", shift).alias("last_modified"))
+    old = rows.select("cve_id", F.lit("OLD").alias("severity"), F.date_sub("last_modified", 9).alias("last_modified"))
+    return new.unionByName(old)
+
+
+@query(t.with_views("vuln", _UPSERT, stored=_STORED, batch=_BATCH))
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    return linking.upsert(_stored(spark, d), _batch(spark, d))
+
+
+@query(
+    t.with_views(
+        "vuln",
+        """SELECT count(*) FILTER (s.cve_id IS NULL) AS new_rows, count(*) FILTER (b.newest > s.last_modified) AS modified_rows
+           FROM (SELECT cve_id, max(last_modified) AS newest FROM batch GROUP BY 1) b LEFT JOIN stored s USING (cve_id)""",
+        stored=_STORED, batch=_BATCH,
+    )
+)
+def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
+    return linking.upsert_counts(_stored(spark, d), _batch(spark, d))
+
+
+@query(
+    t.with_views(
+        "vuln",
+        """SELECT cve_id, severity, last_modified FROM (SELECT *, row_number() OVER (PARTITION BY cve_id
+           ORDER BY last_modified DESC) AS rn FROM batch) WHERE rn = 1""",
+        batch=_BATCH,
+    )
+)
+def dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
+    return linking.dedupe_latest(_batch(spark, d))
+
+
+@query(
+    t.with_views(
+        "articles",
+        """SELECT url, published_date FROM (SELECT url, published_date FROM articles WHERE doc_id % 4 <> 0
+           UNION ALL SELECT url, max(published_date) FROM (
+             SELECT url, published_date FROM articles WHERE doc_id % 2 = 0
+             UNION ALL SELECT url, published_date - 3 FROM articles WHERE doc_id % 6 = 0)
+           WHERE url NOT IN (SELECT url FROM articles WHERE doc_id % 4 <> 0) GROUP BY url)""",
+    )
+)
+def append_new(spark: SparkSession, d: str) -> DataFrame:
+    a = t.articles(spark, d)
+    cols = ["url", "published_date"]
+    batch = a.filter("doc_id % 2 = 0").select(*cols).unionByName(
+        a.filter("doc_id % 6 = 0").select("url", F.date_sub("published_date", 3).alias("published_date"))
+    )
+    return linking.append_new(a.filter("doc_id % 4 <> 0").select(*cols), batch)
+
+
+@query(
+    t.with_views(
+        "vuln",
+        "SELECT max(published_date) AS latest_published, max(last_modified) AS latest_modified FROM vuln",
+    )
+)
+def high_water(spark: SparkSession, d: str) -> DataFrame:
+    return linking.high_water(t.vuln(spark, d))
+
+
+@query(
+    t.with_views(
+        "vuln",
+        """SELECT s AS range_start, least(s + INTERVAL 120 DAY - INTERVAL 1 MILLISECOND, TIMESTAMP '2005-01-01') AS range_end
+           FROM (SELECT unnest(generate_series(max(published_date)::TIMESTAMP + INTERVAL 1 SECOND, TIMESTAMP '2005-01-01',
+             INTERVAL 120 DAY)) AS s FROM vuln) WHERE s < TIMESTAMP '2005-01-01'""",
+    )
+)
+def fetch_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return linking.fetch_ranges(linking.high_water(t.vuln(spark, d)), "latest_published", "2005-01-01")
+
+
+@query(t.with_views("vuln spikes", "SELECT cve_id, published_date IN (SELECT day FROM spikes) AS spike_flag FROM vuln"))
+def in_spike_days(spark: SparkSession, d: str) -> DataFrame:
+    v = t.vuln(spark, d)
+    spikes = emerging.spike_days(emerging.daily_counts(v))
+    return linking.in_spike_days(v, spikes).select("cve_id", "spike_flag")
+
+
+@query(
+    t.with_views(
+        "vuln articles",
+        """SELECT published_date AS date, source, count(*) AS n FROM (
+           SELECT published_date, source FROM vuln UNION ALL SELECT published_date, source FROM articles) GROUP BY 1, 2""",
+    )
+)
+def timeline(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["published_date", "source"]
+    return reports.timeline(linking.combine(t.vuln(spark, d).select(*cols), t.articles(spark, d).select(*cols)))
