@@ -16,12 +16,18 @@ from ..operators.emerging import emerging, with_keyword_and_spike
 from ..operators.labels import binarise, rule_labels, seed_labels
 from ..operators.linking import with_link_counts
 from ..operators.urgency import urgency_factors, urgency_score
+from ..sources.feeds import read_table
 
 AS_OF = "2001-08-01"
 
 
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def read(spark: SparkSession, d: str, name: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{d}/{name}.parquet", spread)
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, dealt out over the cores for the work per word."""
+    return read(spark, d, "documents", spread=True)
 
 
 # ----------------------------------------------------------------------------
@@ -47,8 +53,8 @@ source AS tag
 doc_id""".split("\n")
 
 
-def vuln(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").selectExpr(*_VULN_COLUMNS)
+def vuln(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    return read(spark, d, "orders", spread).selectExpr(*_VULN_COLUMNS)
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +70,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def nvd(spark: SparkSession, d: str) -> DataFrame:
     """``vuln`` with clean text (no lemmas), severity category and article count."""
-    rows = clean_text(vuln(spark, d), "description", lemmas=False)
+    rows = clean_text(vuln(spark, d, spread=True), "description", lemmas=False)
     rows = rows.withColumn("severity_category", severity_bin("cvss_score"))
     return with_link_counts(rows, edges(spark, d))
 

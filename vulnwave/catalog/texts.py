@@ -19,12 +19,12 @@ def _r(c: str, places: int = 6):
 # --- cleaning ----------------------------------------------------------------
 @query(f"SELECT page_id, {t.sql_clean_html('html')} AS text FROM pages")
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    return t.read(spark, d, "pages").select("page_id", tx.clean_html("html").alias("text"))
+    return t.read(spark, d, "pages", spread=True).select("page_id", tx.clean_html("html").alias("text"))
 
 
 @query(f"SELECT doc_id, {t.sql_mask_generic('text')} AS masked FROM documents")
 def mask_generic(spark: SparkSession, d: str) -> DataFrame:
-    return t.read(spark, d, "documents").select("doc_id", tx.mask_generic("text").alias("masked"))
+    return t.documents(spark, d).select("doc_id", tx.mask_generic("text").alias("masked"))
 
 
 @query(t.with_views("vuln", f"SELECT cve_id, {t.sql_mask_domain('description')} AS masked FROM vuln"))
@@ -43,7 +43,7 @@ def mask_domain_reference_order(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, array_to_string({t.sql_tokens('text')}, ' ') AS words FROM documents")
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     words = F.array_join(tx.tokens("text"), " ")
-    return t.read(spark, d, "documents").select("doc_id", words.alias("words"))
+    return t.documents(spark, d).select("doc_id", words.alias("words"))
 
 
 _EXCEPTIONS = "MAP {" + ", ".join(f"{t.q(k)}: {t.q(v)}" for k, v in fixed.LEMMA_EXCEPTIONS.items()) + "}"
@@ -60,7 +60,7 @@ _EXCEPTIONS = "MAP {" + ", ".join(f"{t.q(k)}: {t.q(v)}" for k, v in fixed.LEMMA_
 )
 def lemmatise(spark: SparkSession, d: str) -> DataFrame:
     words = F.array_join(tx.lemmatise(tx.tokens("text")), " ")
-    return t.read(spark, d, "documents").select("doc_id", words.alias("words"))
+    return t.documents(spark, d).select("doc_id", words.alias("words"))
 
 
 @query(
@@ -70,7 +70,7 @@ def lemmatise(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return tx.clean_text(t.vuln(spark, d), "description", lemmas=False).select("cve_id", "clean_text")
+    return tx.clean_text(t.vuln(spark, d, spread=True), "description", lemmas=False).select("cve_id", "clean_text")
 
 
 @query(
@@ -78,7 +78,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
         WHERE trim(clean_text) <> ''"""
 )
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    return tx.clean_text(t.read(spark, d, "documents"), "text", lemmas=False).select("doc_id", "clean_text")
+    return tx.clean_text(t.documents(spark, d), "text", lemmas=False).select("doc_id", "clean_text")
 
 
 @query(
@@ -87,7 +87,7 @@ def clean_documents(spark: SparkSession, d: str) -> DataFrame:
 )
 def drop_blank(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 7 != 0, F.col("text"))
-    return tx.drop_blank(t.read(spark, d, "documents").select("doc_id", text.alias("text")), "text")
+    return tx.drop_blank(t.documents(spark, d).select("doc_id", text.alias("text")), "text")
 
 
 @query(
@@ -122,7 +122,7 @@ def extract_cves(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, round(coalesce(length(text), 0) / CAST(1000 AS DOUBLE), 6) AS text_length FROM documents")
 def text_length(spark: SparkSession, d: str) -> DataFrame:
-    return t.read(spark, d, "documents").select("doc_id", F.round(tx.text_length("text"), 6).alias("text_length"))
+    return t.documents(spark, d).select("doc_id", F.round(tx.text_length("text"), 6).alias("text_length"))
 
 
 # --- sentiment, terms --------------------------------------------------------
@@ -154,7 +154,7 @@ _N = "(SELECT count(*) FROM documents)"
     ORDER BY corpus_count DESC, term LIMIT 2000"""
 )
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.read(spark, d, "documents")
+    docs = t.documents(spark, d)
     return tfidf.vocabulary(docs, "text", min_df=3, max_df=0.8, max_features=2000)
 
 
@@ -167,7 +167,7 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     WHERE doc_count >= 2 AND doc_count <= CAST(0.7 AS DOUBLE) * {_N}"""
 )
 def vocabulary_word_pairs(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.read(spark, d, "documents")
+    docs = t.documents(spark, d)
     return tfidf.vocabulary(docs, "text", min_df=2, max_df=0.7, ngrams=(1, 2))
 
 
@@ -180,7 +180,7 @@ _TFIDF = f"""WITH doc_terms AS ({_DOC_TERMS}), tc AS ({_TERM_COUNTS}),
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.read(spark, d, "documents")
+    docs = t.documents(spark, d)
     vocab = tfidf.vocabulary(docs, "text", min_df=3, max_df=0.8)
     return tfidf.tfidf(docs, vocab, "doc_id", "text")
 
@@ -195,7 +195,7 @@ def tfidf_long(spark: SparkSession, d: str) -> DataFrame:
     ORDER BY round(sum(weight) / {_N}, 9) DESC, term LIMIT 20"""
 )
 def top_terms_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    n = tfidf.n_docs(t.read(spark, d, "documents"))
+    n = tfidf.n_docs(t.documents(spark, d))
     return tfidf.top_terms_tfidf(_weights(spark, d), n, 20).select("term", _r("mean_weight"))
 
 
@@ -213,7 +213,7 @@ def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vector form: filled slots and sum of each document's vector."""
     from pyspark.ml.functions import vector_to_array
 
-    docs = t.read(spark, d, "documents")
+    docs = t.documents(spark, d)
     model = tfidf.TfidfModel.fit(docs, "text", max_features=500)
     values = vector_to_array("tfidf")
     return model.transform(docs, "text").select(
@@ -230,13 +230,13 @@ def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
     FROM words WHERE term <> '' GROUP BY term ORDER BY count DESC, term LIMIT 50"""
 )
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
-    top = tfidf.top_terms(t.read(spark, d, "documents"), "text", 50)
+    top = tfidf.top_terms(t.documents(spark, d), "text", 50)
     return top.select("term", "count", _r("document_percent"), _r("doc_freq_pct"))
 
 
 @query()
 def random_projection(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.read(spark, d, "documents")
+    docs = t.documents(spark, d)
     model = tfidf.TfidfModel.fit(docs, "text")
     vectors = model.transform(docs, "text")
     return tfidf.random_projection(vectors, "tfidf", len(model.terms)).select("doc_id", "projected")
@@ -244,7 +244,7 @@ def random_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def project_long(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.read(spark, d, "documents")
+    docs = t.documents(spark, d)
     vocab = tfidf.vocabulary(docs, "text", min_df=2, max_df=0.8, max_features=5000)
     weights = tfidf.tfidf(docs, vocab, "doc_id", "text", max_features=5000)
     return tfidf.project_long(weights, tfidf.projection_terms(vocab, 5000, 64))
@@ -252,7 +252,7 @@ def project_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embed(spark: SparkSession, d: str) -> DataFrame:
-    return sentiment.embed(t.read(spark, d, "documents"), "text").select("doc_id", "embedding")
+    return sentiment.embed(t.documents(spark, d), "text").select("doc_id", "embedding")
 
 
 # --- parameter study of the vocabulary ---------------------------------------
@@ -275,7 +275,7 @@ _SWEEP_PCT = ["vocab_coverage_pct", "sparsity_pct", "vocab_percent_of_reference"
 
 @query(f"{_SWEEP} SELECT {', '.join(_SWEEP_COLS)}, {', '.join(f'round({c}, 6) AS {c}' for c in _SWEEP_PCT)} FROM sweep")
 def tfidf_sweep(spark: SparkSession, d: str) -> DataFrame:
-    sweep = sweeps.tfidf_sweep(t.read(spark, d, "documents"), "text")
+    sweep = sweeps.tfidf_sweep(t.documents(spark, d), "text")
     return sweep.select(*_SWEEP_COLS, *[_r(c) for c in _SWEEP_PCT])
 
 
@@ -284,7 +284,7 @@ def tfidf_sweep(spark: SparkSession, d: str) -> DataFrame:
     + CAST(0.3 AS DOUBLE) * vocab_percent_of_reference, 6) AS score FROM sweep ORDER BY score DESC, min_df, max_df LIMIT 1"""
 )
 def tfidf_best_setting(spark: SparkSession, d: str) -> DataFrame:
-    best = sweeps.best_tfidf(sweeps.tfidf_sweep(t.read(spark, d, "documents"), "text"))
+    best = sweeps.best_tfidf(sweeps.tfidf_sweep(t.documents(spark, d), "text"))
     return best.select("min_df", "max_df", _r("score"))
 
 
@@ -299,7 +299,7 @@ def tfidf_best_setting(spark: SparkSession, d: str) -> DataFrame:
       PARTITION BY min_df, max_df ORDER BY round(mean_weight, 9) DESC, term) AS rank FROM s) WHERE rank <= 10"""
 )
 def tfidf_sweep_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    top = sweeps.tfidf_sweep_top_terms(t.read(spark, d, "documents"), "doc_id", "text")
+    top = sweeps.tfidf_sweep_top_terms(t.documents(spark, d), "doc_id", "text")
     return top.select("min_df", "max_df", F.col("rank").cast("bigint").alias("rank"), "term", _r("mean_weight"))
 
 

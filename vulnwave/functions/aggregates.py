@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,10 +22,32 @@ def share(cond: Column) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
-def melt(df: DataFrame, cols: dict[str, Column], name: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Columns to rows: one (name, value) row per entry of ``cols``."""
-    entries = [F.struct(F.lit(k).alias(name), c.alias(value)) for k, c in cols.items()]
-    return df.select(*keep, F.inline(F.array(*entries)))
+def sql_value(v: object) -> str:
+    """SQL literal of a Python value."""
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else str(v)
+
+
+def rows_of(entries: Sequence[Mapping[str, str]]) -> Column:
+    """Unroll SQL expressions to rows: one row per entry, one column per name.
+
+    Given as one SQL text, since hundreds of separate column calls are slow to build.
+    """
+    structs = ("struct(" + ", ".join(f"{v} AS `{k}`" for k, v in e.items()) + ")" for e in entries)
+    return F.expr(f"inline(array({', '.join(structs)}))")
+
+
+def constant_rows(entries: Sequence[Mapping[str, object]]) -> Column:
+    """`rows_of` constants."""
+    return rows_of([{k: sql_value(v) for k, v in e.items()} for e in entries])
+
+
+def melt(df: DataFrame, cols: Mapping[str, str], name: str, value: str) -> DataFrame:
+    """Columns to rows: one (name, value) row per entry name -> SQL expression."""
+    return df.select(rows_of([{name: sql_value(k), value: c} for k, c in cols.items()]))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

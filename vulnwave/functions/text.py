@@ -6,7 +6,7 @@ chain is one projection in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), SPACE, " "))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def _decode_numeric(text: Column, marker: str, digits: str, base: int) -> Column:
     # "a&#8211;b" splits at the marker; each later piece starts with the code.
     head = rf"^({digits});"
@@ -46,20 +51,26 @@ def _decode_numeric(text: Column, marker: str, digits: str, base: int) -> Column
             .otherwise(F.concat(F.lit(marker), p))
         )
 
-    return F.when(
-        F.contains(text, F.lit(marker)),
-        F.array_join(F.transform(F.split(text, marker, -1), piece), ""),
-    ).otherwise(text)
+    return F.array_join(F.transform(F.split(text, marker, -1), piece), "")
 
 
 def decode_entities(c: Column | str) -> Column:
     """HTML entities to characters: common names, decimal and hex codes."""
-    out = _col(c)
-    for name, char in fixed.HTML_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = _decode_numeric(out, "&#x", "[0-9a-fA-F]{1,5}", 16)
-    out = _decode_numeric(out, "&#", "[0-9]{1,6}", 10)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+    def named(t: Column) -> Column:
+        for name, char in fixed.HTML_ENTITIES.items():
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+        return t
+
+    def numeric(t: Column) -> Column:
+        return _decode_numeric(_decode_numeric(t, "&#x", "[0-9a-fA-F]{1,5}", 16), "&#", "[0-9]{1,6}", 10)
+
+    def decode(t: Column) -> Column:
+        coded = F.contains(t, F.lit("&#"))
+        plain = F.when(coded, numeric(named(t))).otherwise(named(t))
+        return F.when(F.contains(t, F.lit("&")), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+
+    return let(_col(c), decode)
 
 
 def clean_html(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.aggregates import count_if
+from ..functions.aggregates import count_if, rows_of, sql_value
 from ..functions.text import keyword_flag
 from .isolation import IsolationForest
 from .linking import in_spike_days
@@ -137,20 +137,12 @@ def emerging_by_category(
     df: DataFrame, classes: Sequence[str] = tuple(fixed.CATEGORIES), prefix: str = "label_"
 ) -> DataFrame:
     """(category, emerging, n): labelled rows among emerging and other rows."""
-    flag = F.coalesce(F.col("emerging"), F.lit(False))
-    sums = df.agg(
-        *[count_if((F.col(f"{prefix}{c}") == 1) & flag).alias(f"{c}|1") for c in classes],
-        *[count_if((F.col(f"{prefix}{c}") == 1) & ~flag).alias(f"{c}|0") for c in classes],
-    )
+    flag = {True: "coalesce(emerging, false)", False: "NOT coalesce(emerging, false)"}
+    cells = [(i, c, e) for i, c in enumerate(classes) for e in (True, False)]
+    sums = df.agg(*[F.expr(f"count_if(`{prefix}{c}` = 1 AND {flag[e]}) AS n{i}_{int(e)}") for i, c, e in cells])
     return sums.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("category"), F.lit(bool(e)).alias("emerging"), F.col(f"`{c}|{e}`").alias("n"))
-                    for c in classes
-                    for e in (1, 0)
-                ]
-            )
+        rows_of(
+            [{"category": sql_value(c), "emerging": sql_value(e), "n": f"n{i}_{int(e)}"} for i, c, e in cells]
         )
     )
 

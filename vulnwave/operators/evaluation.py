@@ -5,30 +5,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.aggregates import count_if
+from ..functions.aggregates import rows_of, sql_value
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
+    return F.when(b > 0, a.cast("double") / b).otherwise(0.0)
 
 
 def _add(cols: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def _outcomes(classes: Sequence[str], truth: str, guess: str) -> list[Column]:
-    out = []
+def _outcomes(df: DataFrame, classes: Sequence[str], truth: str, guess: str, *more: Column) -> DataFrame:
+    """(i, name, tp, fp, fn, tn, extra aggregates...): one row per label, from one pass."""
+    aggs = []
     for i, c in enumerate(classes):
-        y, p = F.col(f"{truth}{c}") == 1, F.col(f"{guess}{c}") == 1
-        out += [
-            count_if(y & p).alias(f"tp{i}"), count_if(~y & p).alias(f"fp{i}"),
-            count_if(y & ~p).alias(f"fn{i}"), count_if(~y & ~p).alias(f"tn{i}"),
-        ]
-    return out
+        y, p = f"`{truth}{c}` = 1", f"`{guess}{c}` = 1"
+        cells = {"tp": f"{y} AND {p}", "fp": f"NOT {y} AND {p}", "fn": f"{y} AND NOT {p}", "tn": f"NOT {y} AND NOT {p}"}
+        aggs += [F.expr(f"count_if({cond}) AS {k}{i}") for k, cond in cells.items()]
+    sums = df.agg(*aggs, *more)
+    kept = sums.columns[len(aggs):]
+    rows = [
+        {"i": str(i), "name": sql_value(c)} | {k: f"{k}{i}" for k in ("tp", "fp", "fn", "tn")}
+        for i, c in enumerate(classes)
+    ]
+    return sums.select(*kept, rows_of(rows))
+
+
+def _metrics() -> dict[str, Column]:
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return {
+        "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn),
+        "f1": _ratio(2.0 * tp, 2 * tp + fp + fn),
+    }
 
 
 def classification_report(
@@ -44,45 +57,33 @@ def classification_report(
     ys = [F.col(f"{truth}{c}") for c in classes]
     ps = [F.col(f"{guess}{c}") for c in classes]
     hit, n_true, n_guess = _add([y * p for y, p in zip(ys, ps)]), _add(ys), _add(ps)
-    sums = df.agg(
-        *_outcomes(classes, truth, guess),
-        F.avg(_ratio(hit, n_guess)).alias("sp"),
-        F.avg(_ratio(hit, n_true)).alias("sr"),
-        F.avg(_ratio(2.0 * hit, n_true + n_guess)).alias("sf"),
+    rows = _outcomes(
+        df, classes, truth, guess,
+        F.coalesce(F.avg(_ratio(hit, n_guess)), F.lit(0.0)).alias("sp"),
+        F.coalesce(F.avg(_ratio(hit, n_true)), F.lit(0.0)).alias("sr"),
+        F.coalesce(F.avg(_ratio(2.0 * hit, n_true + n_guess)), F.lit(0.0)).alias("sf"),
     )
-    at = lambda k, i: F.col(f"{k}{i}")
-    idx = range(len(classes))
-    precision = [_ratio(at("tp", i), at("tp", i) + at("fp", i)) for i in idx]
-    recall = [_ratio(at("tp", i), at("tp", i) + at("fn", i)) for i in idx]
-    f1 = [_ratio(2.0 * at("tp", i), 2 * at("tp", i) + at("fp", i) + at("fn", i)) for i in idx]
-    support = [at("tp", i) + at("fn", i) for i in idx]
-    all_support = _add(support)
-    tp, fp, fn = (_add([at(k, i) for i in idx]) for k in ("tp", "fp", "fn"))
-    k = float(len(classes))
-    weighted = lambda m: _ratio(_add([x * s for x, s in zip(m, support)]), all_support)
-    rows = [(c, precision[i], recall[i], f1[i], support[i]) for i, c in enumerate(classes)]
-    rows += [
-        ("micro avg", _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(2.0 * tp, 2 * tp + fp + fn), all_support),
-        ("macro avg", _add(precision) / k, _add(recall) / k, _add(f1) / k, all_support),
-        ("weighted avg", weighted(precision), weighted(recall), weighted(f1), all_support),
-        ("samples avg", F.col("sp"), F.col("sr"), F.col("sf"), all_support),
-    ]
-    return sums.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        F.coalesce(p.cast("double"), F.lit(0.0)).alias("precision"),
-                        F.coalesce(r.cast("double"), F.lit(0.0)).alias("recall"),
-                        F.coalesce(f.cast("double"), F.lit(0.0)).alias("f1"),
-                        s.alias("support"),
-                    )
-                    for name, p, r, f, s in rows
-                ]
-            )
-        )
+    rows = rows.withColumns({**_metrics(), "support": F.col("tp") + F.col("fn")})
+    # One row per label from here on; the first one also carries the averages.
+    every = Window.partitionBy()
+    tp, fp, fn, total = (F.sum(c).over(every) for c in ("tp", "fp", "fn", "support"))
+    names = ("precision", "recall", "f1")
+    averages = {
+        "micro avg": (_ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(2.0 * tp, 2 * tp + fp + fn)),
+        "macro avg": tuple(F.avg(c).over(every) for c in names),
+        "weighted avg": tuple(_ratio(F.sum(F.col(c) * F.col("support")).over(every), total) for c in names),
+        "samples avg": (F.col("sp"), F.col("sr"), F.col("sf")),
+    }
+    line = lambda name, values, support: F.struct(
+        name.alias("name"), *[v.alias(n) for n, v in zip(names, values)], support.alias("support")
+    )
+    own = line(F.col("name"), [F.col(c) for c in names], F.col("support"))
+    lines = rows.select(
+        F.col("i"), own.alias("own"),
+        F.array(*[line(F.lit(k), v, total) for k, v in averages.items()]).alias("avg"),
     )
+    first = F.when(F.col("i") == 0, F.concat(F.array("own"), F.col("avg"))).otherwise(F.array("own"))
+    return lines.select(F.inline(first))
 
 
 def multilabel_confusion(
@@ -92,18 +93,8 @@ def multilabel_confusion(
     guess: str = "pred_",
 ) -> DataFrame:
     """(label, tn, fp, fn, tp, precision, recall, f1)."""
-    sums = df.agg(*_outcomes(classes, truth, guess))
-    entries = []
-    for i, c in enumerate(classes):
-        tp, fp, fn, tn = (F.col(f"{k}{i}") for k in ("tp", "fp", "fn", "tn"))
-        entries.append(
-            F.struct(
-                F.lit(c).alias("label"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
-                _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"),
-                _ratio(2.0 * tp, 2 * tp + fp + fn).alias("f1"),
-            )
-        )
-    return sums.select(F.inline(F.array(*entries)))
+    rows = _outcomes(df, classes, truth, guess).withColumns(_metrics())
+    return rows.select(F.col("name").alias("label"), "tn", "fp", "fn", "tp", "precision", "recall", "f1")
 
 
 def first_label(prefix: str, classes: Sequence[str] = tuple(fixed.CATEGORIES)) -> Column:

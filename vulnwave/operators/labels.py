@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.aggregates import count_if, melt
+from ..functions.aggregates import count_if, melt, rows_of, sql_value
+from ..functions.text import let
 
 
 def rule_labels(text: Column | str, default_other: bool = True) -> Column:
@@ -21,9 +22,7 @@ def rule_labels(text: Column | str, default_other: bool = True) -> Column:
 
 
 def _or_other(labels: Column) -> Column:
-    return F.element_at(
-        F.transform(F.array(labels), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("Other")))), 1
-    )
+    return let(labels, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("Other"))))
 
 
 def cwe_label(cwe: Column | str) -> Column:
@@ -53,29 +52,35 @@ def binarise(
 def label_counts(df: DataFrame, classes: Sequence[str] = tuple(fixed.CATEGORIES), prefix: str = "label_") -> DataFrame:
     """(label, n): rows carrying each label."""
     sums = df.agg(*[count_if(F.col(f"{prefix}{c}") == 1).alias(c) for c in classes])
-    return melt(sums, {c: F.col(c) for c in classes}, "label", "n")
-
+    return melt(sums, {c: f"`{c}`" for c in classes}, "label", "n")
 
-def cooccurrence(df: DataFrame, classes: Sequence[str] = tuple(fixed.CATEGORIES), prefix: str = "label_") -> DataFrame:
-    """(label_a, label_b, n) for every pair, the diagonal included.
 
-    One aggregate over the indicator columns: no pairs are formed per row.
-    """
-    both = [(a, b) for i, a in enumerate(classes) for b in classes[i:]]
+def _pair_counts(df: DataFrame, classes: Sequence[str], prefix: str) -> DataFrame:
+    """(label_a, label_b, both, a, b, n) from one aggregate over the indicator columns."""
+    name = lambda i, j: f"p{min(i, j)}_{max(i, j)}"
+    idx = range(len(classes))
+    on = [f"`{prefix}{c}` = 1" for c in classes]
     sums = df.agg(
-        *[
-            count_if((F.col(f"{prefix}{a}") == 1) & (F.col(f"{prefix}{b}") == 1)).alias(f"{a}|{b}")
-            for a, b in both
-        ]
+        F.expr("count(*) AS n"),
+        *[F.expr(f"count_if({on[i]} AND {on[j]}) AS {name(i, j)}") for i in idx for j in idx if i <= j],
+    )
+    return sums.select(
+        rows_of(
+            [
+                {
+                    "label_a": sql_value(classes[i]), "label_b": sql_value(classes[j]), "both": name(i, j),
+                    "a": name(i, i), "b": name(j, j), "n": "n",
+                }
+                for i in idx
+                for j in idx
+            ]
+        )
     )
-    entries = []
-    for a in classes:
-        for b in classes:
-            name = f"{a}|{b}" if (a, b) in both else f"{b}|{a}"
-            entries.append(
-                F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b"), F.col(f"`{name}`").alias("n"))
-            )
-    return sums.select(F.inline(F.array(*entries)))
+
+
+def cooccurrence(df: DataFrame, classes: Sequence[str] = tuple(fixed.CATEGORIES), prefix: str = "label_") -> DataFrame:
+    """(label_a, label_b, n) for every pair, the diagonal included; no pairs are formed per row."""
+    return _pair_counts(df, classes, prefix).select("label_a", "label_b", F.col("both").alias("n"))
 
 
 def label_correlation(
@@ -85,20 +90,7 @@ def label_correlation(
 
     Indicators need only counts: corr follows from n, the two totals and the overlap.
     """
-    co = df.agg(
-        F.count("*").alias("n"),
-        *[
-            count_if((F.col(f"{prefix}{a}") == 1) & (F.col(f"{prefix}{b}") == 1)).alias(f"{a}|{b}")
-            for i, a in enumerate(classes)
-            for b in classes[i:]
-        ],
-    )
-    n, entries = F.col("n").cast("double"), []
-    for i, a in enumerate(classes):
-        for j, b in enumerate(classes):
-            both = F.col(f"`{a}|{b}`" if i <= j else f"`{b}|{a}`")
-            sa, sb = F.col(f"`{a}|{a}`"), F.col(f"`{b}|{b}`")
-            spread = F.sqrt(sa * (n - sa)) * F.sqrt(sb * (n - sb))
-            corr = F.when(spread > 0, (n * both - sa * sb) / spread)
-            entries.append(F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b"), corr.alias("corr")))
-    return co.select(F.inline(F.array(*entries)))
+    n, a, b = F.col("n").cast("double"), F.col("a").cast("double"), F.col("b").cast("double")
+    spread = F.sqrt(a * (n - a)) * F.sqrt(b * (n - b))
+    corr = F.when(spread > 0, (n * F.col("both") - a * b) / spread)
+    return _pair_counts(df, classes, prefix).select("label_a", "label_b", corr.alias("corr"))

@@ -8,22 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.aggregates import count_if, exact_quantiles, share
+from ..functions.aggregates import count_if, exact_quantiles, melt, share
 from ..functions.text import is_blank, keyword_flag
 
 CRITICAL = ["source", "clean_text", "published_date"]
 HTML_TAG = "<[^>]+>"
 
 
-def _long(sums: DataFrame, names: Sequence[str], key: str, value: str) -> DataFrame:
-    return sums.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias(key), F.col(f"`{n}`").alias(value)) for n in names]))
-    )
-
-
 def check_nulls(df: DataFrame, cols: Sequence[str] = tuple(CRITICAL)) -> DataFrame:
     """(column, nulls)."""
-    return _long(df.agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols]), cols, "column", "nulls")
+    return melt(df.agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols]), {c: f"`{c}`" for c in cols}, "column", "nulls")
 
 
 def check_blank_text(df: DataFrame, text: str = "clean_text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.aggregates import count_if, exact_quantiles, melt, share
+from ..functions.aggregates import count_if, exact_quantiles, melt, rows_of, share, sql_value
 from ..functions.bins import level_rank
 from ..functions.text import keyword_flag
 from ..sources.articles import as_date
@@ -135,14 +135,14 @@ def keyword_counts(
 ) -> DataFrame:
     """(theme, n): rows naming any keyword of the theme."""
     sums = df.agg(*[count_if(keyword_flag(text, "|".join(w))).alias(t) for t, w in themes.items()])
-    return melt(sums, {t: F.col(f"`{t}`") for t in themes}, "theme", "n")
+    return melt(sums, {t: f"`{t}`" for t in themes}, "theme", "n")
 
 
 def category_totals(
     df: DataFrame, classes: Sequence[str] = tuple(fixed.CATEGORIES), prefix: str = "label_"
 ) -> DataFrame:
     sums = df.agg(*[F.coalesce(F.sum(f"{prefix}{c}"), F.lit(0)).alias(c) for c in classes])
-    return melt(sums, {c: F.col(c) for c in classes}, "category", "n")
+    return melt(sums, {c: f"`{c}`" for c in classes}, "category", "n")
 
 
 def category_monthly(df: DataFrame, category: str, prefix: str = "label_") -> DataFrame:
@@ -213,35 +213,24 @@ def boxplot_stats(df: DataFrame, by: str, value: str = "urgency_score") -> DataF
 
 def describe_factors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(factor, mean, median, std, min, max), medians exact."""
-    aggs = []
-    for c in cols:
-        v = F.col(c).cast("double")
-        aggs += [F.avg(v).alias(f"{c}|mean"), F.stddev_samp(v).alias(f"{c}|std"), F.min(v).alias(f"{c}|min"), F.max(v).alias(f"{c}|max")]
-    stats = df.agg(*aggs).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("factor"), *[F.col(f"`{c}|{s}`").alias(s) for s in ("mean", "std", "min", "max")])
-                    for c in cols
-                ]
-            )
-        )
-    )
-    long = melt(df, {c: F.col(c).cast("double") for c in cols}, "factor", "_v")
+    names = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    stats = df.agg(
+        *[F.expr(f"{fn}(CAST(`{c}` AS DOUBLE)) AS {k}{i}") for i, c in enumerate(cols) for k, fn in names.items()]
+    ).select(rows_of([{"factor": sql_value(c)} | {k: f"{k}{i}" for k in names} for i, c in enumerate(cols)]))
+    long = melt(df, {c: f"CAST(`{c}` AS DOUBLE)" for c in cols}, "factor", "_v")
     medians = exact_quantiles(long, "_v", [0.5], ["factor"]).select("factor", F.col("quantile").alias("median"))
     return stats.join(medians, "factor", "left")
 
 
 def factor_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, corr): the full Pearson matrix from one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    sums = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    entries = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            name = f"{a}|{b}" if i <= j else f"{b}|{a}"
-            entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{name}`").alias("corr")))
-    return sums.select(F.inline(F.array(*entries)))
+    idx = range(len(cols))
+    name = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    value = [f"CAST(`{c}` AS DOUBLE)" for c in cols]
+    sums = df.agg(*[F.expr(f"corr({value[i]}, {value[j]}) AS {name(i, j)}") for i in idx for j in idx if i <= j])
+    return sums.select(
+        rows_of([{"a": sql_value(cols[i]), "b": sql_value(cols[j]), "corr": name(i, j)} for i in idx for j in idx])
+    )
 
 
 def top_correlations(matrix: DataFrame, k: int = 3) -> DataFrame:

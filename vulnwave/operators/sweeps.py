@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.aggregates import count_if, exact_quantiles, share
+from ..functions.aggregates import constant_rows, count_if, exact_quantiles, rows_of, share, sql_value
 from ..functions.bins import level_bin
 from .tfidf import join_vocabulary, n_docs, term_counts, term_frequencies
 from .urgency import weighted_sum
@@ -24,11 +24,7 @@ SWEEP_WEIGHTS = [i / 20 for i in range(11)]
 CONTAMINATIONS = [0.01 + i * 0.09 / 19 for i in range(20)]
 
 
-def _settings(rows: Sequence[Mapping[str, object]]) -> Column:
-    return F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows]))
-
-
-def sensitivity_settings(base: Mapping[str, float], weights: Sequence[float] = SWEEP_WEIGHTS) -> list[dict]:
+def sensitivityconstant_rows(base: Mapping[str, float], weights: Sequence[float] = SWEEP_WEIGHTS) -> list[dict]:
     """Each factor in turn takes each weight; the others are rescaled to sum 1 with it."""
     rows = []
     for factor, weight in product(base, weights):
@@ -52,7 +48,7 @@ def weight_sensitivity(
     columns = [f"f_{f}" for f in fixed.FACTORS]
     old = weighted_sum(base)
     rows = factors.select(*columns, old.alias("_old"), level_bin(old).alias("_old_level")).select(
-        *columns, "_old", "_old_level", _settings(sensitivity_settings(base))
+        *columns, "_old", "_old_level", constant_rows(sensitivityconstant_rows(base))
     )
     scored = rows.withColumn("_new", weighted_sum({f: F.col(f"w_{f}") for f in fixed.FACTORS}))
     scored = scored.select(
@@ -98,7 +94,7 @@ def weight_search(
 ) -> DataFrame:
     """Level entropy, score variance, balance and their combined score per combination."""
     weights = [f"w_{f}" for f in fixed.FACTORS]
-    rows = factors.select(*[f"f_{f}" for f in fixed.FACTORS], _settings(weight_combinations(options)))
+    rows = factors.select(*[f"f_{f}" for f in fixed.FACTORS], constant_rows(weight_combinations(options)))
     score = weighted_sum({f: F.col(f"w_{f}") for f in fixed.FACTORS})
     scored = rows.select("combo", *weights, score.alias("_s")).withColumn("_level", level_bin("_s"))
     has_level = count_if(F.col("_level").isNotNull())
@@ -134,20 +130,8 @@ def weight_contributions(
         *[F.avg(F.col(f"f_{f}") * F.lit(float(weights[f]))).alias(f) for f in fixed.FACTORS],
         F.avg(weighted_sum(weights)).alias("_total"),
     )
-    long = means.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("factor"), F.col(f).alias("contribution"),
-                        F.try_divide(F.col(f), F.col("_total")).alias("share"),
-                    )
-                    for f in fixed.FACTORS
-                ]
-            )
-        )
-    )
-    return long
+    rows = [{"factor": sql_value(f), "contribution": f, "share": f"try_divide({f}, _total)"} for f in fixed.FACTORS]
+    return means.select(rows_of(rows))
 
 
 def score_statistics(df: DataFrame, score: str = "urgency_score") -> DataFrame:
@@ -175,7 +159,7 @@ def tfidf_sweep(
     """
     grid = [{"min_df": int(a), "max_df": float(b)} for a, b in product(min_dfs, max_dfs)]
     n = n_docs(docs).cast("double")
-    per_term = term_counts(docs, text).select("doc_count", _settings(grid))
+    per_term = term_counts(docs, text).select("doc_count", constant_rows(grid))
     d = F.col("doc_count")
     kept = (d >= F.col("min_df")) & (d <= F.col("max_df") * n)
     measures = per_term.groupBy("min_df", "max_df").agg(
@@ -195,8 +179,7 @@ def tfidf_sweep(
         F.count("*").alias("_unique"), *[count_if(F.col("c") < m).alias(f"_low{m}") for m in min_dfs]
     )
     low_rows = low.select(
-        "_unique",
-        F.inline(F.array(*[F.struct(F.lit(int(m)).alias("min_df"), F.col(f"_low{m}").alias("removed_low_freq")) for m in min_dfs])),
+        "_unique", rows_of([{"min_df": str(m), "removed_low_freq": f"_low{m}"} for m in min_dfs])
     )
     joined = measures.join(low_rows, "min_df").withColumn(
         "sparsity_pct",
@@ -232,29 +215,26 @@ def tfidf_sweep_top_terms(
         .withColumn("_w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("doc_count"))) + 1.0))
     )
     per_doc = Window.partitionBy("doc_key")
-    kept = [(F.col("doc_count") >= a) & (F.col("doc_count") <= F.lit(float(b)) * n) for a, b in grid]
-    normed = weighted.select(
-        "term",
-        *[
-            F.when(c, F.col("_w") / F.sqrt(F.sum(F.when(c, F.col("_w") * F.col("_w"))).over(per_doc))).alias(f"_s{i}")
-            for i, c in enumerate(kept)
-        ],
+    # A term is in a setting if its document count lies between the two bounds.
+    bounded = weighted.withColumn("_n", n)
+    kept = [f"doc_count >= {a} AND doc_count <= {sql_value(float(b))} * _n" for a, b in grid]
+    squares = [F.expr(f"CASE WHEN {c} THEN _w * _w END") for c in kept]
+    normed = bounded.select(
+        "term", "_w", *[F.sqrt(F.sum(x).over(per_doc)).alias(f"_l{i}") for i, x in enumerate(squares)],
+        *[F.expr(f"{c} AS _k{i}") for i, c in enumerate(kept)],
+    )
+    sums = normed.groupBy("term").agg(
+        *[F.expr(f"sum(CASE WHEN _k{i} THEN _w / _l{i} END) AS _s{i}") for i in range(len(grid))]
+    )
+    entries = [
+        {"min_df": str(a), "max_df": sql_value(float(b)), "_sum": f"_s{i}"} for i, (a, b) in enumerate(grid)
+    ]
+    long = (
+        sums.select("term", rows_of(entries))
+        .filter("_sum is not null")
+        .withColumn("mean_weight", F.col("_sum") / n)
+        .drop("_sum")
     )
-    sums = normed.groupBy("term").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(grid))])
-    long = sums.select(
-        "term",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(int(a)).alias("min_df"), F.lit(float(b)).alias("max_df"),
-                        (F.col(f"_s{i}") / n).alias("mean_weight"),
-                    )
-                    for i, (a, b) in enumerate(grid)
-                ]
-            )
-        ),
-    ).filter("mean_weight is not null")
     order = Window.partitionBy("min_df", "max_df").orderBy(F.round("mean_weight", 9).desc(), "term")
     return long.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -16,6 +16,20 @@ from ..functions.aggregates import count_if
 CORRUPT = "_corrupt_record"
 
 
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table.
+
+    ``spread=True`` is for work that is heavy per row: a scan with fewer splits than
+    there are cores (few or small files) is dealt out over all cores. A large table
+    has more splits than that and is left as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def with_source(df: DataFrame, col: str = "source") -> DataFrame:
     """Source tag: nvd if the source text says so, else the news feed."""
     is_nvd = F.lower(F.coalesce(F.col(col), F.lit(""))).contains(fixed.SOURCE_NVD)
