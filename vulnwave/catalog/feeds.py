@@ -1 +1,379 @@
+"""Feed parsing, sinks, profiles and streaming queries.
 
+Nested feed records are first built from flat columns; the SQL computes the flat
+answer directly. Streams read what a query wrote, or the event table itself.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions import fixed
+from ..session import scratch_path
+from ..sources import articles as art
+from ..sources import cwe, feeds, nvd
+from ..streaming import feeds as sf
+from . import tables as t
+from .registry import query
+
+# --- nested CVE records ------------------------------------------------------
+# Which versions a record has, by k % 6: 0 v3.1; 1 v3.1 without score and v2;
+# 2 v4.0 and v3.0; 3 v2 only; 4 none; 5 v3.0 and v2, both without a score.
+_VERSION = {
+    "cvssMetricV40": "k % 6 = 2", "cvssMetricV31": "k % 6 IN (0, 1)", "cvssMetricV30": "k % 6 IN (2, 5)",
+    "cvssMetricV2": "k % 6 IN (1, 3, 5)",
+}
+
+
+def _metric_expr(version: str, present: str) -> str:
+    score = {
+        "cvssMetricV40": "cvss_score", "cvssMetricV31": "CASE WHEN k % 6 = 0 THEN cvss_score END",
+        "cvssMetricV30": "CASE WHEN k % 6 = 2 THEN 1.5D END", "cvssMetricV2": "CASE WHEN k % 6 <> 5 THEN 5.0D END",
+    }[version]
+    word = {"cvssMetricV40": "severity", "cvssMetricV31": "severity", "cvssMetricV30": "'LOW'", "cvssMetricV2": "'V2'"}[version]
+    if version == "cvssMetricV2":
+        one = f"named_struct('cvssData', named_struct('baseScore', {score}), 'baseSeverity', {word})"
+    else:
+        one = f"named_struct('cvssData', named_struct('baseScore', {score}, 'baseSeverity', {word}))"
+    return f"'{version}', CASE WHEN {present} THEN array({one}) END"
+
+
+_RECORD = f"""named_struct(
+  'id', cve_id,
+  'published', concat(cast(published_date AS string), 'T10:15:00.000'),
+  'lastModified', CASE WHEN k % 9 <> 0 THEN concat(cast(last_modified AS string), 'T23:59:59.999') ELSE '' END,
+  'descriptions', array(named_struct('lang', 'es', 'value', 'hola'),
+     named_struct('lang', CASE WHEN k % 10 = 0 THEN 'fr' ELSE 'en' END, 'value', description)),
+  'metrics', named_struct({', '.join(_metric_expr(v, p) for v, p in _VERSION.items())}),
+  'weaknesses', CASE WHEN cwe <> 'No CWE Identified' THEN array(named_struct('description',
+     array(named_struct('lang', 'en', 'value', cwe)))) END,
+  'configurations', array(named_struct('nodes', array(named_struct('cpeMatch', array(
+     named_struct('vulnerable', true, 'criteria', concat('cpe:2.3:a:vendor', k % 7, ':web_server:', k % 4, ':*'), 'versionEndIncluding', cast(NULL AS string)),
+     named_struct('vulnerable', k % 2 = 0, 'criteria', concat('cpe:2.3:a:acme:big_tool:', k % 3, ':*'), 'versionEndIncluding', concat('9.', k % 5)),
+     named_struct('vulnerable', true, 'criteria', 'cpe:2.3:o:node:node_core:-:*', 'versionEndIncluding', cast(NULL AS string)),
+     named_struct('vulnerable', true, 'criteria', 'cpe:broken', 'versionEndIncluding', cast(NULL AS string))))))))"""
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    return t.vuln(spark, d).select(F.expr(_RECORD).alias("cve"))
+
+
+_SCORE = """CASE k % 6 WHEN 0 THEN cvss_score WHEN 1 THEN CAST(5 AS DOUBLE) WHEN 2 THEN coalesce(cvss_score, CAST(1.5 AS DOUBLE))
+    WHEN 3 THEN CAST(5 AS DOUBLE) END"""
+_SEVERITY = """CASE k % 6 WHEN 0 THEN severity WHEN 1 THEN 'V2' WHEN 2 THEN CASE WHEN cvss_score IS NULL THEN 'LOW' ELSE severity END
+    WHEN 3 THEN 'V2' WHEN 4 THEN 'Unknown' ELSE 'V2' END"""
+_PRODUCTS = """array_to_string(list_sort(list_filter(['Vendor' || k % 7 || ' Web Server ' || k % 4,
+    CASE WHEN k % 2 = 0 THEN 'Acme Big Tool (up to 9.' || k % 5 || ')' END, 'Node Core'], lambda p: p IS NOT NULL)), '|')"""
+_CWE_NAMED = "CASE cwe " + " ".join(f"WHEN {t.q(k)} THEN {t.q(f'{k}: {v}')}" for k, v in fixed.CWE_FALLBACK.items()) + " ELSE cwe END"
+_DESCRIBED = "CASE WHEN k % 10 = 0 THEN '' ELSE description END"
+
+
+@query(
+    t.with_views(
+        "vuln",
+        f"""SELECT 'nvd' AS source, cve_id, {_DESCRIBED} AS description, published_date,
+            CASE WHEN k % 9 <> 0 THEN last_modified END AS last_modified, {_SEVERITY} AS severity, {_SCORE} AS cvss_score,
+            {_CWE_NAMED} AS cwe, {_PRODUCTS} AS products FROM vuln""",
+    )
+)
+def flatten_cve(spark: SparkSession, d: str) -> DataFrame:
+    flat = nvd.flatten_cve(_nested(spark, d))
+    return flat.withColumn("products", F.array_join("products", "|"))
+
+
+@query(t.with_views("vuln", f"SELECT cve_id, {_SCORE} AS score, {_SEVERITY} AS severity FROM vuln"))
+def cvss_pick(spark: SparkSession, d: str) -> DataFrame:
+    picked = _nested(spark, d).select(F.col("cve.id").alias("cve_id"), nvd.cvss_pick(F.col("cve.metrics")).alias("p"))
+    return picked.select("cve_id", "p.score", "p.severity")
+
+
+@query(
+    """SELECT p_partkey, 'Maker ' || upper(left(w1, 1)) || substr(w1, 2) || ' ' || upper(left(w2, 1)) || substr(w2, 2)
+       || CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN ' (up to ' || p_size || '.0)' ELSE ' ' || p_size END AS products
+       FROM (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part)"""
+)
+def cpe_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products of platform names built from ``part``."""
+    parts = t.read(spark, d, "part").selectExpr(
+        "p_partkey",
+        """array(named_struct('nodes', array(named_struct('cpeMatch', array(named_struct('vulnerable', true,
+           'criteria', concat('cpe:2.3:a:maker:', replace(p_name, ' ', '_'), ':', CASE WHEN p_size % 3 = 0 THEN '*' ELSE cast(p_size AS string) END, ':*'),
+           'versionEndIncluding', CASE WHEN p_size % 3 = 1 THEN concat(p_size, '.0') END)))))) AS configurations""",
+    )
+    return parts.select("p_partkey", F.array_join(nvd.cpe_products(F.col("configurations")), "|").alias("products"))
+
+
+@query(t.with_views("vuln", f"SELECT cve_id, {_DESCRIBED} AS description FROM vuln"))
+def english_description(spark: SparkSession, d: str) -> DataFrame:
+    text = nvd.english_description(F.col("cve.descriptions"))
+    return _nested(spark, d).select(F.col("cve.id").alias("cve_id"), text.alias("description"))
+
+
+@query(
+    t.with_views(
+        "vuln",
+        """SELECT cve_id, CASE cwe WHEN 'CWE-79' THEN 'CWE-79: Cross-site Scripting' WHEN 'CWE-20' THEN 'CWE-20: Improper Input Validation'
+           ELSE cwe END AS cwe FROM vuln""",
+    )
+)
+def describe_cwe(spark: SparkSession, d: str) -> DataFrame:
+    """CWE ids described by a catalogue table that knows two of them."""
+    v = t.vuln(spark, d).select("cve_id", "cwe")
+    known = {k: fixed.CWE_FALLBACK[k] for k in ("CWE-79", "CWE-20")}
+    catalog = v.select(F.col("cwe").alias("cwe_id")).distinct().filter(F.col("cwe_id").isin(list(known)))
+    texts = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return nvd.describe_cwe(v, catalog.withColumn("text", texts[F.col("cwe_id")]))
+
+
+@query(
+    t.with_views("vuln", "SELECT cve_id, published_date, CASE WHEN k % 9 <> 0 THEN last_modified END AS last_modified FROM vuln")
+)
+def date_part(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("cve")
+    return _nested(spark, d).select(
+        c["id"].alias("cve_id"), nvd.date_part(c["published"]).alias("published_date"),
+        nvd.date_part(c["lastModified"]).alias("last_modified"),
+    )
+
+
+# --- weakness catalogue ------------------------------------------------------
+_ELEMENTS = """SELECT 'CWE-' || doc_id AS cwe_id, CASE WHEN doc_id % 5 = 0 THEN name
+      WHEN length(body) > 100 THEN substr(body, 1, 97) || '...' ELSE body END AS text
+    FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1 + doc_id % 3), '(?s)<.*?>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS body,
+      trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS name FROM documents)
+    UNION ALL SELECT 'NVD-CWE-Other', 'Weakness not included in CWE list'
+    UNION ALL SELECT 'NVD-CWE-noinfo', 'Insufficient information to assign CWE'"""
+
+
+@query(_ELEMENTS)
+def cwe_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue of elements whose texts come from ``documents``; every fifth is a category too."""
+    docs = t.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
+    body = F.expr("substr(text, 1 + int(doc_id % 3))")
+    weak = docs.select(F.lit("weakness").alias("kind"), "id", body.alias("text"))
+    named = docs.filter("doc_id % 5 = 0").select(F.lit("category").alias("kind"), "id", "text")
+    return cwe.cwe_catalog(weak.unionByName(named))
+
+
+# --- articles ----------------------------------------------------------------
+_TITLE = f"trim(split_part({t.sql_squeeze(t.sql_entities('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)'''))}, '–', 1))"
+_INNER = f"""regexp_replace(regexp_replace(regexp_split_to_array(p, '(?i)</p\\s*>')[1],
+    {t.q(rf'(?is)<(?:{art._INLINE})(?:' + chr(92) + rf's[^>]*)?>.*?(?:</(?:{art._INLINE})' + chr(92) + r's*>|\z)')}, ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+_BODY = f"""SELECT page_id, array_to_string(list_filter(list_transform(
+    list_slice(regexp_split_to_array(regexp_extract(html, {t.q('(?is)' + art.ARTICLE_CONTAINER)}, 1), '(?i)<p(?:\\s[^>]*)?>'), 2, 100000),
+    lambda p: {t.sql_squeeze(t.sql_entities(_INNER))}), lambda x: x <> ''), ' ') AS body FROM pages"""
+
+
+@query(f"WITH b AS ({_BODY}) SELECT url, {_TITLE} || '. ' || body AS text FROM pages JOIN b USING (page_id)")
+def article_text(spark: SparkSession, d: str) -> DataFrame:
+    parsed = art.parse_article(t.read(spark, d, "pages", spread=True), t.AS_OF, container=art.ARTICLE_CONTAINER)
+    return parsed.select("url", "text")
+
+
+@query()
+def parse_article(spark: SparkSession, d: str) -> DataFrame:
+    return art.parse_article(t.read(spark, d, "pages", spread=True), t.AS_OF, container=art.ARTICLE_CONTAINER)
+
+
+@query(
+    t.with_views(
+        "vuln",
+        f"""SELECT cve_id, CASE WHEN k % 5 = 4 THEN DATE '{t.AS_OF}' ELSE published_date END AS published_date FROM vuln""",
+    )
+)
+def article_date(spark: SparkSession, d: str) -> DataFrame:
+    """The same date as ISO stamp, long or short month in the meta tag, in the page, or missing."""
+    day = F.col("published_date")
+    long_form, short_form = F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "MMM dd, yyyy")
+    meta = (
+        F.when(F.col("k") % 5 == 0, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(F.col("k") % 5 == 1, long_form)
+        .when(F.col("k") % 5 == 2, short_form)
+        .otherwise("")
+    )
+    page = F.when(F.col("k") % 5 == 3, F.concat(F.lit("<p>Posted on "), long_form, F.lit(" by</p>"))).otherwise("<p>no date</p>")
+    return t.vuln(spark, d).select("cve_id", art.article_date(meta, page, t.AS_OF).alias("published_date"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'the ' || p_name || ' ' || p_size || '.1' WHEN 1 THEN p_name || ' tool'
+       WHEN 2 THEN 'Linux|OpenSSL' ELSE '' END AS products FROM part"""
+)
+def product_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Products named in sentences built from ``part``."""
+    text = F.expr(
+        """CASE p_size % 4 WHEN 0 THEN concat('It affects the ', p_name, ' version ', p_size, '.1; more')
+           WHEN 1 THEN concat('All vulnerable versions of ', p_name, ' tool, they say')
+           WHEN 2 THEN 'A flaw in the linux build of OpenSSL was found, as many of its long-time users had to report; Windows was not named near it'
+           ELSE concat('Nothing on ', p_name, ' and Windows') END"""
+    )
+    return t.read(spark, d, "part").select("p_partkey", F.array_join(art.product_mentions(text), "|").alias("products"))
+
+
+@query(
+    t.with_views(
+        "vuln", "SELECT cve_id, severity <> 'Unknown' AND cvss_score IS NOT NULL AS good FROM vuln"
+    )
+)
+def validate_required(spark: SparkSession, d: str) -> DataFrame:
+    v = t.vuln(spark, d).withColumn("severity", F.when(F.col("severity") != "Unknown", F.col("severity")))
+    good, bad = feeds.validate_required(v, ["cve_id", "severity", "cvss_score"])
+    return good.select("cve_id", F.lit(True).alias("good")).unionByName(bad.select("cve_id", F.lit(False).alias("good")))
+
+
+# --- profile -----------------------------------------------------------------
+_PROFILED = [
+    ("k", "bigint"), ("cve_id", "string"), ("severity", "string"), ("published_date", "date"), ("cvss_score", "double"),
+    ("cwe", "string"),
+]
+
+
+@query(
+    t.with_views(
+        "vuln",
+        " UNION ALL ".join(
+            f"""SELECT {t.q(c)} AS "column", {t.q(ty)} AS type, count(*) AS rows, count(*) - count({c}) AS nulls,
+                count(DISTINCT {c}) AS distinct_values, CAST(NULL AS INTEGER) AS longest_array FROM vuln"""
+            for c, ty in _PROFILED
+        )
+        + """ UNION ALL SELECT 'words', 'array<string>', count(*), 0, count(DISTINCT string_split(description, ' ')),
+              CAST(max(len(string_split(description, ' '))) AS INTEGER) FROM vuln""",
+    )
+)
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    v = t.vuln(spark, d).select(*[c for c, _ in _PROFILED], F.split("description", " ").alias("words"))
+    return feeds.profile(v).drop("example")
+
+
+# --- sinks and feed files ----------------------------------------------------
+def _flat_feed(spark: SparkSession, d: str) -> DataFrame:
+    return t.vuln(spark, d).select(
+        F.when(F.col("k") % 2 == 0, "NVD").otherwise("The Feed").alias("source"), "cve_id", "description",
+        "published_date", "last_modified", "severity", "cvss_score", "cwe", F.array("severity", "cwe").alias("products"),
+    )
+
+
+_FEED = t.with_views(
+    "vuln",
+    """SELECT CASE WHEN k % 2 = 0 THEN 'nvd' ELSE 'thehackernews' END AS source, cve_id, published_date, cvss_score,
+       severity || '|' || cwe AS products FROM vuln""",
+)
+
+
+def _feed_columns(df: DataFrame) -> DataFrame:
+    return df.select("source", "cve_id", "published_date", "cvss_score", F.array_join("products", "|").alias("products"))
+
+
+@query(_FEED)
+def read_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The flat rows written as feed files and read back."""
+    path = scratch_path(spark, "feed")
+    feeds.write_json(_flat_feed(spark, d), path)
+    return _feed_columns(feeds.read_feed(spark, path, schemas.NVD, json_lines=True))
+
+
+@query(
+    t.with_views(
+        "vuln",
+        """SELECT CASE WHEN k % 2 = 0 THEN 'NVD' ELSE 'The Feed' END AS source, cve_id, published_date, cvss_score,
+           '["' || severity || '","' || cwe || '"]' AS products FROM vuln""",
+    )
+)
+def write_table(spark: SparkSession, d: str) -> DataFrame:
+    """The CSV copy read back, arrays as JSON text."""
+    path = scratch_path(spark, "table")
+    feeds.write_table(_flat_feed(spark, d), path)
+    csv = spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    return csv.select(
+        "source", "cve_id", F.col("published_date").cast("date").alias("published_date"),
+        F.col("cvss_score").cast("double").alias("cvss_score"), "products",
+    )
+
+
+# --- streams -----------------------------------------------------------------
+@query(_FEED)
+def stream_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Feed files taken in as a stream and stored, then read."""
+    root = scratch_path(spark, "stream-feed")
+    feeds.write_json(_flat_feed(spark, d), f"{root}/in")
+    stream = sf.stream_feed(spark, f"{root}/in", schemas.NVD)
+    done = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    done.start(f"{root}/out").awaitTermination()
+    return _feed_columns(spark.read.schema(schemas.NVD).parquet(f"{root}/out"))
+
+
+@query(
+    t.with_views(
+        "vuln",
+        """SELECT cve_id, CASE WHEN k % 2 = 0 THEN 'NEW' ELSE severity END AS severity,
+           CASE WHEN k % 2 = 0 THEN last_modified + 5 ELSE last_modified END AS last_modified FROM vuln""",
+    )
+)
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All rows as one file, newer and older versions of every second row as others."""
+    root = scratch_path(spark, "stream-upsert")
+    v = t.vuln(spark, d).select("k", "cve_id", "severity", "last_modified")
+    even = v.filter("k % 2 = 0")
+    new = even.withColumns({"severity": F.lit("NEW"), "last_modified": F.date_add("last_modified", 5)})
+    old = even.withColumns({"severity": F.lit("OLD"), "last_modified": F.date_sub("last_modified", 5)})
+    for rows in (v, new, old):
+        rows.drop("k").coalesce(1).write.mode("append").json(f"{root}/in")
+    schema = "cve_id string, severity string, last_modified date"
+    from pyspark.sql.types import StructType
+
+    stream = sf.stream_feed(spark, f"{root}/in", StructType.fromDDL(schema), files_per_trigger=1)
+    table = sf.VersionedTable(spark, f"{root}/table")
+    sf.stream_upsert(stream, table, f"{root}/state").awaitTermination()
+    return table.read()
+
+
+@query(t.with_views("articles", "SELECT url FROM articles"))
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that arrive twice, kept once."""
+    root = scratch_path(spark, "stream-dedupe")
+    twice = t.articles(spark, d).select("url", F.lit("2024-01-01").cast("timestamp").alias("ingest_ts_thn"))
+    twice.unionByName(twice).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(twice.schema).parquet(f"{root}/in")
+    once = sf.stream_dedupe(stream)
+    done = once.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    done.start(f"{root}/out").awaitTermination()
+    return spark.read.schema(twice.schema).parquet(f"{root}/out").select("url")
+
+
+_EVENT_DAYS = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS x FROM events GROUP BY 1, 2"
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = t.read(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query(_EVENT_DAYS)
+def windowed_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sf.windowed_daily_counts(t.read(spark, d, "events"), "ts", ["event_type"])
+
+
+@query(_EVENT_DAYS)
+def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch_path(spark, "stream-counts")
+    table = sf.VersionedTable(spark, f"{root}/table")
+    counts = sf.stream_daily_counts(_event_stream(spark, d), "ts", ["event_type"])
+    sf.write_counts(counts, table, f"{root}/state", keys=["event_type"]).awaitTermination()
+    return table.read().select("day", "event_type", "x")
+
+
+@query(
+    """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS x FROM events GROUP BY 1, 2),
+    w AS (SELECT *, count(*) OVER r AS n, sum(x) OVER r AS s, sum(x * x) OVER r AS qq FROM d
+      WINDOW r AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+    SELECT event_type, day, x FROM w WHERE n >= 5 AND n * x > s AND (n * x - s) * (n * x - s) * (n - 1) > n * (n * qq - s * s)"""
+)
+def stream_spikes(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch_path(spark, "stream-spikes")
+    daily, spikes = sf.VersionedTable(spark, f"{root}/daily"), sf.VersionedTable(spark, f"{root}/spikes")
+    sf.stream_spikes(
+        _event_stream(spark, d), daily, spikes, f"{root}/state", date="ts", keys=["event_type"], z=1
+    ).awaitTermination()
+    return spikes.read().select("event_type", "day", "x")

@@ -215,10 +215,12 @@ def random_projection(
         for v in batches:
             indices, values = v.field("indices"), v.field("values")
             lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(v)), lengths)
+            slots, weights = indices.flatten().to_numpy(), values.flatten().to_numpy()
+            ends = np.cumsum(lengths)
             result = np.zeros((len(v), k))
-            weighted = matrix[indices.flatten().to_numpy()] * values.flatten().to_numpy()[:, None]
-            np.add.at(result, row, weighted)
+            for i in np.flatnonzero(lengths):
+                span = slice(ends[i] - lengths[i], ends[i])
+                result[i] = weights[span] @ matrix[slots[span]]
             offsets = pa.array(np.arange(0, (len(v) + 1) * k, k, dtype=np.int32))
             yield pa.ListArray.from_arrays(offsets, pa.array(result.reshape(-1)))
 

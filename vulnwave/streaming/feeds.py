@@ -90,18 +90,28 @@ def stream_dedupe(stream: DataFrame, key: str = "url", ts: str = "ingest_ts_thn"
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def _on_instant(df: DataFrame, ts: str) -> DataFrame:
+    """Read a time stamp without zone as UTC; watermarks need an instant."""
+    if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return df
+    micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)"
+    return df.withColumn(ts, F.expr(f"timestamp_micros({micros})"))
+
+
 def windowed_daily_counts(rows: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
-    """(day, keys..., x): tumbling day counts; the same for a batch and a stream."""
+    """(day, keys..., x): tumbling counts per UTC day; the same for a batch and a stream."""
+    utc_day = F.expr("date_from_unix_date(CAST(unix_seconds(_w.start) DIV 86400 AS INT))")
     return (
-        rows.groupBy(F.window(ts, "1 day").alias("_w"), *keys)
+        _on_instant(rows, ts)
+        .groupBy(F.window(ts, "1 day").alias("_w"), *keys)
         .agg(F.count("*").alias("x"))
-        .select(F.col("_w.start").cast("date").alias("day"), *keys, "x")
+        .select(utc_day.alias("day"), *keys, "x")
     )
 
 
 def stream_daily_counts(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "2 days") -> DataFrame:
     """`windowed_daily_counts` that counts late rows for ``delay``."""
-    return windowed_daily_counts(stream.withWatermark(ts, delay), ts, keys)
+    return windowed_daily_counts(_on_instant(stream, ts).withWatermark(ts, delay), ts, keys)
 
 
 def write_counts(counts: DataFrame, table: VersionedTable, checkpoint: str, *, keys: Sequence[str], interval: str | None = None) -> StreamingQuery:
