@@ -1 +1,206 @@
+"""Fitted models: isolation forest, classifier, clusters, projections, samples."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import classify, clustering, emerging, evaluation
+from ..operators.isolation import IsolationForest
+from ..plans import assess as plan
+from ..session import cut_lineage
+from . import tables as t
+from .registry import query
+
+
+def _r(c: str, places: int = 6):
+    return F.round(c, places).alias(c)
+
+
+# --- isolation forest --------------------------------------------------------
+@query()
+def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and flags of all embeddings."""
+    e = t.read(spark, d, "embeddings")
+    forest = IsolationForest().fit(e, "vec_id", "embedding")
+    scored = forest.score(e.select("vec_id", "embedding"), "embedding")
+    return forest.flag(scored, "anomaly_score", 0.03).select("vec_id", "anomaly_score", "if_flag")
+
+
+@query()
+def isolation_flag_text(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and flags of all documents, from projected TF-IDF vectors."""
+    docs = t.documents(spark, d).select("doc_id", F.col("text").alias("clean_text"))
+    flagged = emerging.with_isolation_flag(docs, "doc_id", trees=50)
+    return flagged.select("doc_id", "anomaly_score", "if_flag")
+
+
+@query()
+def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
+    """All stages from raw rows: master, urgency, flags."""
+    news = t.documents(spark, d).select(
+        F.lit(fixed.SOURCE_NEWS).alias("source"), "text", F.lit(t.AS_OF).cast("date").alias("published_date"),
+        F.concat(F.lit("https://news.example/"), "doc_id").alias("url"), F.array().cast("array<string>").alias("cves"),
+    )
+    master = plan.build_master(t.vuln(spark, d, spread=True).drop("sentiment"), news)
+    found = plan.detect(plan.assess(master, t.AS_OF), trees=50, components=64, max_features=1000)
+    return found.select(
+        "doc_key", "source", "urgency_score", "urgency_level", "zero_day_flag", "spike_flag", "if_flag", "emerging"
+    )
+
+
+# --- classifier --------------------------------------------------------------
+_SMALL = {"trees": 10, "max_depth": 8}
+
+
+def _features(spark: SparkSession, d: str) -> tuple[classify.FeatureModel, DataFrame]:
+    rows = t.labelled(spark, d).select(
+        "cve_id", "clean_text", "sentiment", "cvss_score", "n_articles", *[f"label_{c}" for c in fixed.CATEGORIES],
+        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.sin(F.col("k") + i).cast("float")).alias("embedding"),
+    )
+    rows = cut_lineage(rows)
+    return classify.FeatureModel.fit(rows, embedding="embedding", max_features=500), rows
+
+
+@query()
+def assemble_features(spark: SparkSession, d: str) -> DataFrame:
+    """Text, numeric and embedding parts in one vector; its length and number of filled slots."""
+    from pyspark.ml.functions import vector_to_array
+
+    model, rows = _features(spark, d)
+    ready = model.assemble(model.transform(rows))
+    values = vector_to_array("features")
+    return ready.select("cve_id", F.size(values).alias("size"), F.size(F.filter(values, lambda x: x != 0)).alias("filled"))
+
+
+@query()
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    train, test = classify.hash_split(t.vuln(spark, d).select("cve_id"), "cve_id")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def _trained(spark: SparkSession, d: str):
+    model, rows = _features(spark, d)
+    ready = model.assemble(model.transform(rows))
+    train, test = classify.hash_split(ready, "cve_id")
+    return model, classify.ThreatClassifier.fit(train, **_SMALL), test
+
+
+@query()
+def threat_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities and answers on the hold-out rows."""
+    _, fitted, test = _trained(spark, d)
+    scored = fitted.predict(test)
+    return scored.select("cve_id", *[f"{p}{c}" for c in fixed.CATEGORIES for p in ("prob_", "pred_")])
+
+
+@query()
+def threat_classifier_report(spark: SparkSession, d: str) -> DataFrame:
+    _, fitted, test = _trained(spark, d)
+    return evaluation.classification_report(fitted.predict(test))
+
+
+@query()
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    model, fitted, _ = _trained(spark, d)
+    return classify.feature_importance(spark, fitted, model.names())
+
+
+@query()
+def importance_by_group(spark: SparkSession, d: str) -> DataFrame:
+    model, fitted, _ = _trained(spark, d)
+    return classify.importance_by_group(classify.feature_importance(spark, fitted, model.names(), None))
+
+
+@query()
+def term_importance(spark: SparkSession, d: str) -> DataFrame:
+    rows = cut_lineage(t.flagged(spark, d).select("cve_id", "clean_text", "emerging"))
+    return classify.term_importance(rows, "emerging", "cve_id", trees=10, max_depth=8)
+
+
+@query()
+def compare_feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    model, rows = _features(spark, d)
+    return classify.compare_feature_sets(rows, model, "cve_id", trees=3, max_depth=5)
+
+
+@query()
+def tune_forest(spark: SparkSession, d: str) -> DataFrame:
+    """A small grid over three hash folds of all rows."""
+    model, rows = _features(spark, d)
+    ready = model.assemble(model.transform(rows))
+    return classify.tune_forest(
+        ready, "cve_id", ["Phishing", "XSS", "ZeroDay"], trees=[2, 4], depths=[5], min_splits=[2]
+    )
+
+
+# --- clusters ----------------------------------------------------------------
+@query()
+def kmeans(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.kmeans(t.read(spark, d, "embeddings")).select("vec_id", "cluster")
+
+
+_E = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+@query(
+    f"""{_E}, p AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.v, b.v), 2)) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
+    ab AS (SELECT vec_id, max(CASE WHEN label = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b
+      FROM p GROUP BY vec_id)
+    SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"""
+)
+def silhouette(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.silhouette(t.read(spark, d, "embeddings"), "label").select(_r("silhouette"))
+
+
+@query()
+def silhouette_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Plain-distance silhouette of the 500-row sample the tuning report takes."""
+    return clustering.silhouette_sample(t.read(spark, d, "embeddings"), "vec_id", "label")
+
+
+@query(
+    f"""{_E}, x AS (SELECT label, unnest(range(1, 65)) AS i, v FROM e), l AS (SELECT label, i, v[i] AS x FROM x),
+    m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM l GROUP BY 1, 2), o AS (SELECT i, avg(x) AS o FROM l GROUP BY 1),
+    w AS (SELECT sum(pow(x - m, 2)) AS w FROM l JOIN m USING (label, i)), b AS (SELECT sum(n * pow(m - o, 2)) AS b FROM m JOIN o USING (i)),
+    c AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM e)
+    SELECT round(b / w * (n - k) / (k - 1)::DOUBLE, 6) AS calinski_harabasz FROM w, b, c"""
+)
+def calinski_harabasz(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.calinski_harabasz(t.read(spark, d, "embeddings"), "label").select(_r("calinski_harabasz"))
+
+
+@query(
+    f"""{_E}, s AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+    p AS (SELECT a.label, sum(list_cosine_similarity(a.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1)
+    SELECT s.label AS cluster, n, round(CASE WHEN n > 1 THEN c / (n * (n - 1)) ELSE 0 END, 6) AS mean_cosine FROM s LEFT JOIN p USING (label)"""
+)
+def within_cluster_cosine(spark: SparkSession, d: str) -> DataFrame:
+    w = clustering.within_cluster_cosine(t.read(spark, d, "embeddings"), "label")
+    return w.select("cluster", "n", _r("mean_cosine"))
+
+
+@query(
+    f"""{_E}, s AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+    p AS (SELECT a.label, sum(list_cosine_similarity(a.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label GROUP BY 1)
+    SELECT s.label AS cluster, n, round(CASE WHEN n > 1 THEN c / (n * (n - 1)) ELSE 0 END, 6) AS mean_cosine FROM s JOIN p USING (label)"""
+)
+def within_cluster_cosine_compat(spark: SparkSession, d: str) -> DataFrame:
+    w = clustering.within_cluster_cosine(t.read(spark, d, "embeddings"), "label", reference_compat=True)
+    return w.select("cluster", "n", _r("mean_cosine"))
+
+
+@query()
+def project_2d(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.project_2d(t.read(spark, d, "embeddings")).select("vec_id", "label", "x", "y")
+
+
+@query()
+def sample(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.sample(t.documents(spark, d), "doc_id", 50).select("doc_id", "lang")
+
+
+@query()
+def sample_per_source(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.sample(t.documents(spark, d), "doc_id", 5, by=["source"]).select("doc_id", "source")

@@ -420,7 +420,10 @@ def check_html_remnants(spark: SparkSession, d: str) -> DataFrame:
     return quality.check_html_remnants(_flawed(spark, d)).select(_r("html_rate"), "passed")
 
 
-@query("SELECT CAST(1 AS DOUBLE) AS html_rate, false AS passed FROM (SELECT count(*) FROM pages)")
+@query(
+    """SELECT avg(CASE WHEN regexp_matches(html, '<[^>]+>') THEN 1 ELSE 0 END) AS html_rate,
+       avg(CASE WHEN regexp_matches(html, '<[^>]+>') THEN 1 ELSE 0 END) <= 0.01 AS passed FROM pages"""
+)
 def check_html_remnants_pages(spark: SparkSession, d: str) -> DataFrame:
     return quality.check_html_remnants(t.read(spark, d, "pages"), "html")
 

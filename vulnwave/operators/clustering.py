@@ -60,7 +60,9 @@ def silhouette(df: DataFrame, label: str, vector: str = "embedding") -> DataFram
     )
     clusters = sizes.join(_as_vector(_totals(df, label, vector)), "cluster")
     table = clusters.select(F.collect_list(F.struct("cluster", "n", "squares", "total"))).scalar()
-    points = df.select(F.col(label).alias("_l"), v.alias("_v"), dot(vector, vector).alias("_q"))
+    points = df.select(
+        F.col(label).alias("_l"), v.alias("_v"), dot(vector, vector).alias("_q"), table.alias("_t")
+    )
 
     def far(c):  # summed squared distance of the point to all members of c
         return c["n"] * F.col("_q") + c["squares"] - 2.0 * total(F.zip_with(F.col("_v"), c["total"], lambda a, b: a * b))
@@ -68,7 +70,7 @@ def silhouette(df: DataFrame, label: str, vector: str = "embedding") -> DataFram
     spans = points.select(
         "_l",
         F.transform(
-            table, lambda c: F.struct((c["cluster"] == F.col("_l")).alias("own"), c["n"].alias("n"), far(c).alias("d"))
+            "_t", lambda c: F.struct((c["cluster"] == F.col("_l")).alias("own"), c["n"].alias("n"), far(c).alias("d"))
         ).alias("_c"),
     )
     own = F.element_at(F.filter("_c", lambda s: s["own"]), 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.aggregates import count_if, rows_of, sql_value
 from ..functions.text import keyword_flag
+from ..session import cut_lineage
 from .isolation import IsolationForest
 from .linking import in_spike_days
 from .tfidf import TfidfModel, random_projection
@@ -93,11 +94,19 @@ def with_isolation_flag(
     trees: int = 100,
     seed: int = 42,
 ) -> DataFrame:
-    """Add ``anomaly_score`` and ``if_flag`` from projected TF-IDF vectors."""
+    """Add ``anomaly_score`` and ``if_flag`` from projected TF-IDF vectors.
+
+    Only sampled rows are vectorised to fit; all rows are to score. The scored rows
+    are checkpointed, as the exact cut needs them more than once.
+    """
     model = TfidfModel.fit(df, text, min_df=2, max_df=0.8, max_features=max_features)
-    vectors = random_projection(model.transform(df, text, "_v"), "_v", len(model.terms), components, seed, "_p")
-    forest = IsolationForest(trees=trees, seed=seed).fit(vectors, key, "_p")
-    scored = forest.score(vectors, "_p", "anomaly_score").drop("_v", "_p")
+
+    def vectorise(rows: DataFrame) -> DataFrame:
+        return random_projection(model.transform(rows, text, "_v"), "_v", len(model.terms), components, seed, "_p")
+
+    forest = IsolationForest(trees=trees, seed=seed)
+    forest.grow(vectorise(forest.sample_rows(df.select(key, text), key)), "_p")
+    scored = cut_lineage(forest.score(vectorise(df), "_p", "anomaly_score").drop("_v", "_p"))
     return forest.flag(scored, "anomaly_score", contamination, "if_flag")
 
 

@@ -79,27 +79,41 @@ class IsolationForest:
     fitted: int = 0
 
     def fit(self, df: DataFrame, key: str, vector: str) -> IsolationForest:
+        """Sample rows of a table that holds the vectors and grow the trees."""
+        return self.grow(self.sample_rows(df, key), vector)
+
+    def sample_rows(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows of each tree's sample: the columns of ``df`` plus ``tree`` and ``_rank``.
+
+        About four times the sample passes a hash test inside the scan, then each tree
+        keeps the lowest hashes. A large table deals its rows out to the trees by one
+        hash; a small one draws for every tree, so samples may overlap.
+        """
         n = df.count()
         self.fitted = min(self.sample, n)
-        # Each tree looks at about four times its sample, then keeps the lowest hashes.
-        space = 1 << 40
-        limit = space if n <= 4 * self.sample else int(space * 4 * self.sample / n)
-        draw = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(self.seed)), F.lit(space))
-        hits = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(self.trees - 1)),
-                lambda t: F.struct(t.alias("tree"), draw(t).alias("draw")),
-            ),
-            lambda s: s["draw"] < limit,
-        )
-        lowest = Window.partitionBy("tree").orderBy("draw", "_key")
-        chosen = (
-            df.select(F.col(key).alias("_key"), F.col(key), F.col(vector).alias("_x"))
-            .select("_key", "_x", F.inline(hits))
-            .withColumn("_rank", F.row_number().over(lowest))
-            .filter(F.col("_rank") <= self.sample)
-            .select("tree", "_rank", "_x")
-        )
+        space, wide = 1 << 40, 4 * self.sample
+        draw = lambda *salt: F.pmod(F.xxhash64(F.col(key), *salt, F.lit(self.seed)), F.lit(space))
+        if n > wide * self.trees:
+            limit = int(space * wide * self.trees / n)
+            drawn = df.withColumn("_draw", draw()).filter(F.col("_draw") < limit)
+            drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit("tree")), F.lit(self.trees)).cast("int"))
+        else:
+            limit = space if n <= wide else int(space * wide / n)
+            hits = F.filter(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(self.trees - 1)),
+                    lambda t: F.struct(t.alias("tree"), draw(t).alias("_draw")),
+                ),
+                lambda s: s["_draw"] < limit,
+            )
+            drawn = df.select("*", F.inline(hits))
+        lowest = Window.partitionBy("tree").orderBy("_draw", key)
+        ranked = drawn.withColumn("_rank", F.row_number().over(lowest))
+        return ranked.filter(F.col("_rank") <= self.sample).drop("_draw")
+
+    def grow(self, chosen: DataFrame, vector: str) -> IsolationForest:
+        """Grow each tree from its sample rows, one group per tree."""
+        chosen = chosen.select("tree", "_rank", F.col(vector).cast("array<double>").alias("_x"))
         depth_limit, seed = int(np.ceil(np.log2(max(self.sample, 2)))), self.seed
 
         def grow(group: pd.DataFrame) -> pd.DataFrame:
