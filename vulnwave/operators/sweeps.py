@@ -24,7 +24,7 @@ SWEEP_WEIGHTS = [i / 20 for i in range(11)]
 CONTAMINATIONS = [0.01 + i * 0.09 / 19 for i in range(20)]
 
 
-def sensitivityconstant_rows(base: Mapping[str, float], weights: Sequence[float] = SWEEP_WEIGHTS) -> list[dict]:
+def sensitivity_settings(base: Mapping[str, float], weights: Sequence[float] = SWEEP_WEIGHTS) -> list[dict]:
     """Each factor in turn takes each weight; the others are rescaled to sum 1 with it."""
     rows = []
     for factor, weight in product(base, weights):
@@ -48,7 +48,7 @@ def weight_sensitivity(
     columns = [f"f_{f}" for f in fixed.FACTORS]
     old = weighted_sum(base)
     rows = factors.select(*columns, old.alias("_old"), level_bin(old).alias("_old_level")).select(
-        *columns, "_old", "_old_level", constant_rows(sensitivityconstant_rows(base))
+        *columns, "_old", "_old_level", constant_rows(sensitivity_settings(base))
     )
     scored = rows.withColumn("_new", weighted_sum({f: F.col(f"w_{f}") for f in fixed.FACTORS}))
     scored = scored.select(

@@ -30,9 +30,9 @@ def urgency_factors(
     date is 365 days old. ``sentiment_sign=-1`` makes negative tone raise urgency.
     """
     zero = F.lit(0.0)
-    days = F.coalesce(
-        F.greatest(F.datediff(as_date(as_of), F.col("published_date").cast("date")), F.lit(0)), F.lit(365)
-    )
+    published = F.col("published_date").cast("date")
+    age = F.greatest(F.datediff(as_date(as_of), published), F.lit(0))
+    days = F.when(published.isNotNull(), age).otherwise(365)
     n = F.coalesce(F.col("n_articles"), F.lit(0)) if "n_articles" in df.columns else F.lit(0)
     tone = F.coalesce(nan_to_null(F.col("sentiment").cast("double")), zero) * F.lit(float(sentiment_sign))
     factors = {

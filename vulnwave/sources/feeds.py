@@ -67,9 +67,13 @@ def read_feed(
 def corrupt_records(
     spark: SparkSession, path: str, schema: T.StructType = schemas.FEED, json_lines: bool = False
 ) -> DataFrame:
-    """Records that did not parse, as text."""
+    """Records that did not parse, as text.
+
+    Spark refuses to read the corrupt column alone, so the filter names a data column.
+    """
     rows = scan_feed(spark, path, schema, json_lines).withColumn("file", F.col("_metadata.file_path"))
-    return rows.filter(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
+    parsed = F.coalesce(F.col(schema.names[0]).cast("string"), F.lit(""))
+    return rows.filter(F.col(CORRUPT).isNotNull() & (F.length(parsed) >= 0)).select("file", CORRUPT)
 
 
 def _nested(t: T.DataType) -> bool:
