@@ -57,7 +57,7 @@ _RECORD = f"""named_struct(
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    return t.vuln(spark, d).select(F.expr(_RECORD).alias("cve"))
+    return t.vuln(spark, d, spread=True).select(F.expr(_RECORD).alias("cve"))
 
 
 _SCORE = """CASE k % 6 WHEN 0 THEN cvss_score WHEN 1 THEN CAST(5 AS DOUBLE) WHEN 2 THEN coalesce(cvss_score, CAST(1.5 AS DOUBLE))

@@ -15,6 +15,7 @@ from ..functions import fixed
 from ..functions.aggregates import count_if, exact_quantiles, melt, rows_of, share, sql_value
 from ..functions.bins import level_rank
 from ..functions.text import keyword_flag
+from ..session import cut_lineage
 from ..sources.articles import as_date
 
 SORTS = {"recent": "published_date", "cvss": "cvss_score", "urgency": "urgency_score"}
@@ -189,11 +190,13 @@ def boxplot_stats(df: DataFrame, by: str, value: str = "urgency_score") -> DataF
     """(by, min, q1, median, q3, max, whisker_low, whisker_high, n) per group.
 
     Quartiles are exact with linear interpolation; whiskers are the outermost values
-    within 1.5 quartile ranges.
+    within 1.5 quartile ranges. The two columns are stored first: they are read three
+    times, and what made the score should run once.
     """
     rows = df.select(by, F.col(value).cast("double").alias("_v")).filter(
         F.col(by).isNotNull() & F.col("_v").isNotNull()
     )
+    rows = cut_lineage(rows)
     q = exact_quantiles(rows, "_v", [0.25, 0.5, 0.75], [by])
     pick = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     quartiles = q.groupBy(by).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
@@ -212,7 +215,8 @@ def boxplot_stats(df: DataFrame, by: str, value: str = "urgency_score") -> DataF
 
 
 def describe_factors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(factor, mean, median, std, min, max), medians exact."""
+    """(factor, mean, median, std, min, max), medians exact; the columns are stored first."""
+    df = cut_lineage(df.select(*cols))
     names = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
     stats = df.agg(
         *[F.expr(f"{fn}(CAST(`{c}` AS DOUBLE)) AS {k}{i}") for i, c in enumerate(cols) for k, fn in names.items()]

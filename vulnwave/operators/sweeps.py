@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.aggregates import constant_rows, count_if, exact_quantiles, rows_of, share, sql_value
 from ..functions.bins import level_bin
+from ..session import cut_lineage
 from .tfidf import join_vocabulary, n_docs, term_counts, term_frequencies
 from .urgency import weighted_sum
 
@@ -136,6 +137,7 @@ def weight_contributions(
 
 def score_statistics(df: DataFrame, score: str = "urgency_score") -> DataFrame:
     """One row: mean, median, std, min, max of a score and the count of each level."""
+    df = cut_lineage(df.select(score))
     level = level_bin(score)
     stats = df.agg(
         F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"),
@@ -208,23 +210,20 @@ def tfidf_sweep_top_terms(
     and one aggregate per term holds the sums of all settings.
     """
     grid = list(product(min_dfs, max_dfs))
-    n = n_docs(docs).cast("double")
+    # Counted once: as a subquery it would stand in each of the conditions below.
+    n = float(docs.count())
     counts = term_counts(docs, text).select("term", "doc_count")
     weighted = (
         join_vocabulary(term_frequencies(docs, key, text), counts, None)
         .withColumn("_w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("doc_count"))) + 1.0))
     )
-    per_doc = Window.partitionBy("doc_key")
     # A term is in a setting if its document count lies between the two bounds.
-    bounded = weighted.withColumn("_n", n)
-    kept = [f"doc_count >= {a} AND doc_count <= {sql_value(float(b))} * _n" for a, b in grid]
-    squares = [F.expr(f"CASE WHEN {c} THEN _w * _w END") for c in kept]
-    normed = bounded.select(
-        "term", "_w", *[F.sqrt(F.sum(x).over(per_doc)).alias(f"_l{i}") for i, x in enumerate(squares)],
-        *[F.expr(f"{c} AS _k{i}") for i, c in enumerate(kept)],
+    kept = [f"doc_count >= {a} AND doc_count <= {sql_value(b * n)}" for a, b in grid]
+    lengths = weighted.groupBy("doc_key").agg(
+        *[F.expr(f"sqrt(sum(CASE WHEN {c} THEN _w * _w END)) AS _l{i}") for i, c in enumerate(kept)]
     )
-    sums = normed.groupBy("term").agg(
-        *[F.expr(f"sum(CASE WHEN _k{i} THEN _w / _l{i} END) AS _s{i}") for i in range(len(grid))]
+    sums = weighted.join(lengths, "doc_key").groupBy("term").agg(
+        *[F.expr(f"sum(CASE WHEN {c} THEN _w / _l{i} END) AS _s{i}") for i, c in enumerate(kept)]
     )
     entries = [
         {"min_df": str(a), "max_df": sql_value(float(b)), "_sum": f"_s{i}"} for i, (a, b) in enumerate(grid)
@@ -254,8 +253,10 @@ def contamination_sweep(
 ) -> DataFrame:
     """Cut, number of anomalies and score spread per contamination, from scores made once.
 
-    ``gap`` is the distance of the mean score above the cut to the mean below it.
+    ``gap`` is the distance of the mean score above the cut to the mean below it. The
+    score column is stored first, so a model behind it scores each row once.
     """
+    scores = cut_lineage(scores.select(score))
     cuts = exact_quantiles(scores, score, [1.0 - c for c in values])
     by_setting = cuts.select(
         F.array_sort(F.collect_list(F.struct("prob", F.col("quantile").alias("cut")))).alias("_c")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, terms
-from ..session import checked_broadcast
+from ..session import BROADCAST_ROWS, checked_broadcast, cut_lineage
 
 # A term in more than 1 / HOT_SHARE of all (document, term) rows is a hot join key;
 # there are at most HOT_SHARE such terms.
@@ -82,13 +82,17 @@ def term_frequencies(
 def join_vocabulary(tf: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
     """Postings of kept terms with their document count.
 
-    A vocabulary bounded by ``max_features`` is broadcast. An unbounded one is split:
-    its hot terms, few by construction, are broadcast and the rest is a shuffle join
-    in which no key is hot.
+    A vocabulary bounded by ``max_features`` is broadcast. An unbounded one is stored
+    first, so that it is counted once however often it is read; it is broadcast if that
+    shows it is small. Beyond that its hot terms, few by construction, are broadcast and
+    the rest is a shuffle join in which no key is hot.
     """
     slim = vocab.select("term", "doc_count")
-    if max_features is not None:
-        return tf.join(F.broadcast(slim) if max_features <= 200_000 else slim, "term")
+    if max_features is not None and max_features <= BROADCAST_ROWS:
+        return tf.join(F.broadcast(slim), "term")
+    slim = cut_lineage(slim)
+    if slim.count() <= BROADCAST_ROWS:
+        return tf.join(F.broadcast(slim), "term")
     total = slim.agg(F.sum("doc_count")).scalar()
     marked = slim.withColumn("_hot", F.col("doc_count") * HOT_SHARE > total)
     hot, cold = marked.filter("_hot").drop("_hot"), marked.filter("not _hot").drop("_hot")
