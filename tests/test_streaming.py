@@ -16,16 +16,22 @@ def _land(spark, path, rows):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(path)
 
 
-def test_upsert_over_two_runs(spark, tmp_path):
+def test_upsert_over_runs(spark, tmp_path):
     src, state = str(tmp_path / "in"), str(tmp_path / "state")
     table = sf.VersionedTable(spark, str(tmp_path / "t"))
-    _land(spark, src, [("A", _day(1), "a"), ("A", _day(2), "b"), ("B", _day(1), "x")])
-    sf.stream_upsert(sf.stream_feed(spark, src, SCHEMA), table, state).awaitTermination()
-    assert {(r["cve_id"], r["v"]) for r in table.read().collect()} == {("A", "b"), ("B", "x")}
-    _land(spark, src, [("A", _day(1), "late"), ("B", _day(5), "y"), ("C", _day(1), "z")])
-    sf.stream_upsert(sf.stream_feed(spark, src, SCHEMA), table, state).awaitTermination()
-    assert {(r["cve_id"], r["v"]) for r in table.read().collect()} == {("A", "b"), ("B", "y"), ("C", "z")}
-    assert table.versions() == [0, 1]
+
+    def land(*rows):
+        _land(spark, src, list(rows))
+        sf.stream_upsert(sf.stream_feed(spark, src, SCHEMA), table, state, whole_every=3).awaitTermination()
+        return {(r["cve_id"], r["v"]) for r in table.current("cve_id", "last_modified").collect()}
+
+    assert land(("A", _day(1), "a"), ("A", _day(2), "b"), ("B", _day(1), "x")) == {("A", "b"), ("B", "x")}
+    assert land(("A", _day(1), "late"), ("B", _day(5), "y"), ("C", _day(1), "z")) == {("A", "b"), ("B", "y"), ("C", "z")}
+    assert land(("C", _day(2), "zz")) == {("A", "b"), ("B", "y"), ("C", "zz")}
+    assert table.versions() == [0]
+    assert land(("A", _day(9), "new")) == {("A", "new"), ("B", "y"), ("C", "zz")}
+    assert table.versions() == [0, 3] and table.additions() is None
+    assert table.read().count() == 3
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import fixed
@@ -321,12 +322,10 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     for rows in (v, new, old):
         rows.drop("k").coalesce(1).write.mode("append").json(f"{root}/in")
     schema = "cve_id string, severity string, last_modified date"
-    from pyspark.sql.types import StructType
-
     stream = sf.stream_feed(spark, f"{root}/in", StructType.fromDDL(schema), files_per_trigger=1)
     table = sf.VersionedTable(spark, f"{root}/table")
-    sf.stream_upsert(stream, table, f"{root}/state").awaitTermination()
-    return table.read()
+    sf.stream_upsert(stream, table, f"{root}/state", whole_every=2).awaitTermination()
+    return table.current("cve_id", "last_modified")
 
 
 @query(t.with_views("articles", "SELECT url FROM articles"))

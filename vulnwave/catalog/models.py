@@ -24,8 +24,8 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     """Scores and flags of all embeddings."""
     e = t.read(spark, d, "embeddings")
     forest = IsolationForest().fit(e, "vec_id", "embedding")
-    scored = forest.score(e.select("vec_id", "embedding"), "embedding")
-    return forest.flag(scored, "anomaly_score", 0.03).select("vec_id", "anomaly_score", "if_flag")
+    scored = forest.score(e.select("vec_id", "embedding"), "embedding").drop("embedding")
+    return forest.flag(cut_lineage(scored), "anomaly_score", 0.03).select("vec_id", "anomaly_score", "if_flag")
 
 
 @query()

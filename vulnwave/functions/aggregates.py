@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast, cut_lineage
+
 # Rank error of the sketch that brackets each quantile: n / ACCURACY.
 ACCURACY = 10_000
 
@@ -99,7 +101,10 @@ def exact_quantiles(
         for i, p in enumerate(probs)
     ]
     if keys:
+        # One stored row per group, broadcast when its size allows, so that rows of a
+        # large group stay where they are.
         brackets = sketch.select(*[F.col(k).alias(f"{k}_b") for k in keys], F.array(*bracket).alias("_b"))
+        brackets = checked_broadcast(cut_lineage(brackets))
         same = [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in keys]
         bracketed = base.join(brackets, reduce(lambda x, y: x & y, same))
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.aggregates import count_if, rows_of, sql_value
 from ..functions.text import keyword_flag
-from ..session import cut_lineage
+from ..session import stored
 from .isolation import IsolationForest
 from .linking import in_spike_days
 from .tfidf import TfidfModel, random_projection
@@ -97,7 +97,7 @@ def with_isolation_flag(
     """Add ``anomaly_score`` and ``if_flag`` from projected TF-IDF vectors.
 
     Only sampled rows are vectorised to fit; all rows are to score. The scored rows
-    are checkpointed, as the exact cut needs them more than once.
+    are stored, as the exact cut reads the scores more than once.
     """
     model = TfidfModel.fit(df, text, min_df=2, max_df=0.8, max_features=max_features)
 
@@ -106,7 +106,7 @@ def with_isolation_flag(
 
     forest = IsolationForest(trees=trees, seed=seed)
     forest.grow(vectorise(forest.sample_rows(df.select(key, text), key)), "_p")
-    scored = cut_lineage(forest.score(vectorise(df), "_p", "anomaly_score").drop("_v", "_p"))
+    scored = stored(forest.score(vectorise(df), "_p", "anomaly_score").drop("_v", "_p"), "scored")
     return forest.flag(scored, "anomaly_score", contamination, "if_flag")
 
 

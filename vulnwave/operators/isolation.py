@@ -150,6 +150,9 @@ class IsolationForest:
 
     @staticmethod
     def flag(df: DataFrame, score: str, contamination: float, out: str = "if_flag") -> DataFrame:
-        """Flag scores above the exact (1 - contamination) quantile."""
+        """Flag scores above the exact (1 - contamination) quantile.
+
+        The scores are read three times; pass stored ones (`cut_lineage`).
+        """
         cut = exact_quantiles(df, score, [1.0 - contamination]).select("quantile").scalar()
         return df.withColumn(out, F.coalesce(F.col(score) > cut, F.lit(False)))

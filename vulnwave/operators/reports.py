@@ -15,7 +15,7 @@ from ..functions import fixed
 from ..functions.aggregates import count_if, exact_quantiles, melt, rows_of, share, sql_value
 from ..functions.bins import level_rank
 from ..functions.text import keyword_flag
-from ..session import cut_lineage
+from ..session import checked_broadcast, cut_lineage
 from ..sources.articles import as_date
 
 SORTS = {"recent": "published_date", "cvss": "cvss_score", "urgency": "urgency_score"}
@@ -200,6 +200,7 @@ def boxplot_stats(df: DataFrame, by: str, value: str = "urgency_score") -> DataF
     q = exact_quantiles(rows, "_v", [0.25, 0.5, 0.75], [by])
     pick = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     quartiles = q.groupBy(by).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
+    quartiles = checked_broadcast(cut_lineage(quartiles))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = lambda c: F.when(c, F.col("_v"))
     return (

@@ -15,7 +15,7 @@ from ..operators.labels import binarise, seed_labels
 from ..operators.linking import article_cve_edges, combine, dedupe_latest, doc_key, link
 from ..operators.sentiment import Scorer, sentiment
 from ..operators.urgency import assess_urgency
-from ..session import cut_lineage
+from ..session import stored
 
 
 def prepare_nvd(nvd: DataFrame, scorer: Callable[[], Scorer] | None = None, **clean: bool) -> DataFrame:
@@ -60,12 +60,12 @@ def assess(master: DataFrame, as_of: str | dt.date | Column, **options: object)
 def detect(assessed: DataFrame, *, isolation: bool = True, **forest: object) -> DataFrame:
     """Assessed rows plus the three flags and ``emerging``.
 
-    The isolation forest reads its input several times, so the rows are checkpointed
-    in the shared folder before it.
+    The isolation forest reads its input several times, so the rows are stored in
+    the shared folder before it.
     """
     flagged = with_keyword_and_spike(assessed)
     if isolation:
-        flagged = with_isolation_flag(cut_lineage(flagged), "doc_key", **forest)
+        flagged = with_isolation_flag(stored(flagged, "flagged"), "doc_key", **forest)
     else:
         flagged = flagged.withColumn("if_flag", F.lit(False))
     return emerging(flagged)

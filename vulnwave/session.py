@@ -53,6 +53,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows to Parquet in the shared folder and read them from there.
+
+    For wide rows that are read several times by a few columns each.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and ends the lineage."""
     sc = df.sparkSession.sparkContext

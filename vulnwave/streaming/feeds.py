@@ -31,11 +31,11 @@ def stream_feed(
 
 
 class VersionedTable:
-    """A Parquet table in numbered version folders.
+    """A Parquet table kept in numbered folders: whole versions ``v=N``, additions ``d=N``.
 
-    A batch writes version ``batch_id`` whole and then a marker; readers take the
-    highest marked version. A batch that is run again after a failure writes the same
-    folder again from the version before it, so a retry changes nothing.
+    A batch writes the folder of its own number, whole, and Spark's marker file ends the
+    write; readers only take marked folders. A batch that runs again after a failure
+    writes the same folder again from what lies before it, so a retry changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -44,25 +44,44 @@ class VersionedTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        """Version numbers that were written completely."""
+    def _numbers(self, kind: str) -> list[int]:
         root = self._path(self.path)
         if not self._fs.exists(root):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
         return sorted(
             int(n[2:]) for n in names
-            if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))
+            if n.startswith(f"{kind}=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))
         )
 
+    def versions(self) -> list[int]:
+        """Numbers of the whole versions that were written completely."""
+        return self._numbers("v")
+
     def read(self, before: int | None = None) -> DataFrame | None:
-        """Latest version, or the latest below ``before``; None if there is none."""
+        """Latest whole version, or the latest below ``before``; None if there is none."""
         found = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
 
+    def additions(self, before: int | None = None) -> DataFrame | None:
+        """Rows added after the latest whole version below ``before``; None if there are none."""
+        base = max((v for v in self.versions() if before is None or v < before), default=-1)
+        found = [n for n in self._numbers("d") if n > base and (before is None or n < before)]
+        return self.spark.read.parquet(*[f"{self.path}/d={n}" for n in found]) if found else None
+
+    def current(self, key: str, version: str, before: int | None = None) -> DataFrame | None:
+        """Newest row per key over the latest whole version and what was added since."""
+        base, added = self.read(before), self.additions(before)
+        if base is None or added is None:
+            return base if added is None else dedupe_latest(added, key, version)
+        return upsert(base, added, key, version)
+
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
 
+    def add(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/d={version}")
+
 
 def _run(stream: DataFrame, handler, checkpoint: str, interval: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
@@ -73,13 +92,20 @@ def _run(stream: DataFrame, handler, checkpoint: str, interval: str | None) -> S
 
 def stream_upsert(
     stream: DataFrame, table: VersionedTable, checkpoint: str, *, key: str = "cve_id",
-    version: str = "last_modified", interval: str | None = None,
+    version: str = "last_modified", whole_every: int = 20, interval: str | None = None,
 ) -> StreamingQuery:
-    """Keep the newest record per key in a versioned table."""
+    """Keep the newest record per key in a versioned table; read it with ``current``.
+
+    A batch only adds its own newest rows. The large table is rewritten whole at the
+    first batch and then at every ``whole_every``-th.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         newest = dedupe_latest(batch, key, version)
-        existing = table.read(before=batch_id)
+        if batch_id % whole_every:
+            table.add(newest, batch_id)
+            return
+        existing = table.current(key, version, before=batch_id)
         table.write(newest if existing is None else upsert(existing, newest, key, version), batch_id)
 
     return _run(stream, apply, checkpoint, interval)
