@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.aggregates import count_if, latest
 from ..functions.text import extract_cves
+from ..session import checked_broadcast, cut_lineage
 
 # A CVE's list of articles is kept in rows of about this many urls.
 CHUNK = 1_000
-_SALTS = 64
+SALTS = 64
 
 
 def article_cve_edges(articles: DataFrame, cves: str = "cves", text: str | None = "text") -> DataFrame:
@@ -38,7 +39,7 @@ def link_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def link_chunks(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def link_chunks(edges: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> DataFrame:
     """(cve_id, part, linked_articles): all urls of a CVE in lists of bounded size.
 
     A CVE with at most ``chunk`` articles has the single part 0. The urls of one with
@@ -46,14 +47,14 @@ def link_chunks(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     meet their edges, so one CVE holding a third of all edges is neither joined nor
     collected in one task.
     """
-    salt = F.pmod(F.xxhash64("url", F.lit("salt")), F.lit(_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("url", F.lit("salt")), F.lit(salts)).cast("int")
     hot = (
         link_counts(edges)
         .filter(F.col("n_articles") > chunk)
         .select(
             F.col("cve_id").alias("_hot"),
             F.ceil(F.col("n_articles") / chunk).alias("_parts"),
-            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_hot_salt"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_hot_salt"),
         )
     )
     salted = edges.select("cve_id", "url", salt.alias("_salt"))
@@ -212,14 +213,14 @@ def in_spike_days(
 ) -> DataFrame:
     """Flag rows published on a spike day.
 
-    ``spikes`` has one row per day (and key of ``keys``), bounded by the calendar when
-    there are no keys, so it is broadcast then; with keys the optimizer decides.
+    ``spikes`` has one row per day (and key of ``keys``). Without keys the calendar
+    bounds it and it is broadcast; with keys it is stored and broadcast if small.
     """
     days = spikes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("day").alias("_day"), F.lit(True).alias(out))
     on = F.col(date).cast("date") == F.col("_day")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    side = days if keys else F.broadcast(days)
+    side = checked_broadcast(cut_lineage(days)) if keys else F.broadcast(days)
     return (
         df.join(side, on, "left")
         .withColumn(out, F.coalesce(out, F.lit(False)))

@@ -164,16 +164,13 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """(bin, low, high, n) of equal-width bins, the last one closed; empty bins are kept."""
     value = F.col(col).cast("double")
     rows = df.select(value.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    span = rows.agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
-    low, high = span.select("a").scalar(), span.select("b").scalar()
+    span = rows.agg(F.struct(F.min("_v").alias("a"), F.max("_v").alias("b")).alias("s")).scalar()
+    low, high = span["a"], span["b"]
     width = (high - low) / float(bins)
     index = F.when(width > 0, F.least(F.floor((F.col("_v") - low) / width), F.lit(bins - 1))).otherwise(0)
     counts = rows.groupBy(index.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    edges = span.filter("a is not null").select(
-        "a",
-        ((F.col("b") - F.col("a")) / float(bins)).alias("w"),
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-    )
+    numbers = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), low.alias("a"), width.alias("w"))
+    edges = numbers.filter("a is not null")
     return edges.join(counts, "bin", "left").select(
         "bin",
         (F.col("a") + F.col("bin") * F.col("w")).alias("low"),

@@ -45,8 +45,12 @@ def prepare_articles(articles: DataFrame, scorer: Callable[[], Scorer] | None =
 def build_master(
     nvd: DataFrame, articles: DataFrame, scorer: Callable[[], Scorer] | None = None, **clean: bool
 ) -> DataFrame:
-    """The wide table of CVEs and articles with links, keyed by ``doc_key``."""
-    cves, news = prepare_nvd(nvd, scorer, **clean), prepare_articles(articles, scorer, **clean)
+    """The wide table of CVEs and articles with links, keyed by ``doc_key``.
+
+    The cleaned articles are stored, as both the links and the table read them.
+    """
+    cves = prepare_nvd(nvd, scorer, **clean)
+    news = stored(prepare_articles(articles, scorer, **clean), "articles")
     edges = article_cve_edges(news, cves="all_cves", text=None)
     master = combine(link(cves, edges), news)
     return master.withColumn("doc_key", doc_key())
