@@ -267,6 +267,41 @@ def test_tfidf_by_hand(spark):
     assert {(r["doc_key"], r["term"]): round(r["weight"], 9) for r in bounded.collect()} == {k: round(v, 9) for k, v in got.items()}
 
 
+def _hot_docs(spark, n=400):
+    """One word in every document, others in a few: the word holds a third of all postings."""
+    return spark.range(n).select("id", F.concat(F.lit("common word"), F.col("id") % 40, F.lit(" rare"), "id").alias("t"))
+
+
+def test_unbounded_vocabulary_joins_every_posting(spark, monkeypatch):
+    docs = _hot_docs(spark)
+    vocab = tfidf.vocabulary(docs, "t")
+    want = {(r["doc_key"], r["term"]): round(r["weight"], 9) for r in tfidf.tfidf(docs, vocab, "id", "t").collect()}
+    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(tfidf, "HOT_SHARE", 10)
+    split = tfidf.tfidf(docs, vocab, "id", "t")
+    assert {(r["doc_key"], r["term"]): round(r["weight"], 9) for r in split.collect()} == want
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and len(want) == 1200
+
+
+def test_broadcast_only_when_small(spark):
+    from vulnwave.session import checked_broadcast
+
+    df = spark.range(20)
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(checked_broadcast(df, 20)) and not hinted(checked_broadcast(df, 19))
+
+
+def test_lookup_without_broadcast(spark, monkeypatch):
+    from vulnwave.sources import nvd
+
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, "CWE-1").otherwise(F.concat(F.lit("CWE-"), "id")).alias("cwe"))
+    catalog = spark.createDataFrame([("CWE-1", "one"), ("CWE-1", "one"), ("CWE-4", "four")], "cwe_id string, text string")
+    monkeypatch.setattr(nvd, "checked_broadcast", lambda d: d)
+    got = {r["cwe"]: r["n"] for r in nvd.describe_cwe(df, catalog).groupBy("cwe").agg(F.count("*").alias("n")).collect()}
+    assert got["CWE-1: one"] == 101 and got["CWE-4: four"] == 1 and sum(got.values()) == 300
+
+
 def test_vector_and_long_form_agree(spark):
     docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma{i % 5} alpha") for i in range(30)], "i int, t string")
     model = tfidf.TfidfModel.fit(docs, "t", min_df=1, max_df=1.0)

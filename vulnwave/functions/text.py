@@ -180,7 +180,8 @@ def clean_text(df: DataFrame, col: str, out: str = "clean_text", **options: bool
     would be pushed below the projection and run the whole chain twice.
     """
     one = F.filter(F.array(clean_text_expr(col, **options)), lambda t: F.trim(t) != "")
-    return df.select("*", F.explode(one).alias(out))
+    kept = [c for c in df.columns if c != out]
+    return df.select(*kept, F.explode(one).alias(out))
 
 
 def is_blank(c: Column | str) -> Column:

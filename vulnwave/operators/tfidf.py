@@ -248,7 +248,7 @@ def project_long(weights: DataFrame, signs: DataFrame) -> DataFrame:
     """(doc_key, component, value) of long-form weights; combined before the shuffle."""
     grouped = signs.groupBy("term").agg(F.collect_list(F.struct("component", "sign")).alias("_s"))
     return (
-        weights.join(checked_broadcast(grouped), "term")
+        weights.join(checked_broadcast(cut_lineage(grouped)), "term")
         .select("doc_key", "weight", F.inline("_s"))
         .groupBy("doc_key", "component")
         .agg(F.sum(F.col("weight") * F.col("sign")).alias("value"))
