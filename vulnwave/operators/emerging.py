@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.aggregates import count_if, rows_of, sql_value
 from ..functions.text import keyword_flag
-from ..session import stored
+from ..session import cut_lineage, stored
 from .isolation import IsolationForest
 from .linking import in_spike_days
 from .tfidf import TfidfModel, random_projection
@@ -96,17 +96,24 @@ def with_isolation_flag(
 ) -> DataFrame:
     """Add ``anomaly_score`` and ``if_flag`` from projected TF-IDF vectors.
 
-    Only sampled rows are vectorised to fit; all rows are to score. The scored rows
-    are stored, as the exact cut reads the scores more than once.
+    A large table vectorises only its sampled rows to fit, and all rows to score. A
+    small one, whose samples overlap, keeps the vectors of all rows for both. The
+    scored rows are stored, as the exact cut reads the scores more than once.
     """
     model = TfidfModel.fit(df, text, min_df=2, max_df=0.8, max_features=max_features)
 
     def vectorise(rows: DataFrame) -> DataFrame:
-        return random_projection(model.transform(rows, text, "_v"), "_v", len(model.terms), components, seed, "_p")
+        vectors = model.transform(rows, text, "_v")
+        return random_projection(vectors, "_v", len(model.terms), components, seed, "_p").drop("_v")
 
     forest = IsolationForest(trees=trees, seed=seed)
-    forest.grow(vectorise(forest.sample_rows(df.select(key, text), key)), "_p")
-    scored = stored(forest.score(vectorise(df), "_p", "anomaly_score").drop("_v", "_p"), "scored")
+    if forest.is_small(model.n):
+        vectors = cut_lineage(vectorise(df))
+        forest.grow(forest.sample_rows(vectors.select(key, "_p"), key, model.n), "_p")
+    else:
+        vectors = vectorise(df)
+        forest.grow(vectorise(forest.sample_rows(df.select(key, text), key, model.n)), "_p")
+    scored = stored(forest.score(vectors, "_p", "anomaly_score").drop("_p"), "scored")
     return forest.flag(scored, "anomaly_score", contamination, "if_flag")
 
 
