@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnwave.llm import bpe, langid, simhash
+from vulnwave.llm import bpe, fingerprints, langid, mixing, simhash
 from vulnwave.llm.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document, of its edited text, and how near they are to each other and to the next document."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(mixing.MIX_SQL)
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of one and a half times the corpus takes from each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest id it is linked to, over any number of links."""
