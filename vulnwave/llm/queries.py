@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnwave.llm import bpe, fingerprints, langid, mixing, simhash
+from vulnwave.llm import bpe, fingerprints, langid, mixing, simhash, warc
 from vulnwave.llm.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query(warc.SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest id it is linked to, over any number of links."""
