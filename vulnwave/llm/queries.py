@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnwave.llm import bpe, fingerprints, langid, mixing, simhash, warc
+from vulnwave.llm import bpe, fingerprints, langid, mixing, pii, simhash, warc
 from vulnwave.llm.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the field adds."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query(mixing.MIX_SQL)
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of one and a half times the corpus takes from each document."""
