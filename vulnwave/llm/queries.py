@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnwave.llm import bpe, fingerprints, langid, mixing, pii, simhash, warc
+from vulnwave.llm import ann, bpe, fingerprints, langid, mixing, pii, simhash, warc
 from vulnwave.llm.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+@query()
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every twentieth vector by inner product."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest id it is linked to, over any number of links."""
