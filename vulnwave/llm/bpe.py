@@ -29,7 +29,7 @@ from vulnwave.llm.util import slices
 
 PIECE_BYTES = 4_000_000
 # Words kept encoded in a worker between pieces; the table is emptied when it holds more.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 # Words of one text held at a time.
 WINDOW_WORDS = 400_000
 
