@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnwave.llm import ann, bpe, fingerprints, langid, mixing, pii, simhash, token_counts, warc
+from vulnwave.llm import ann, bpe, fingerprints, langid, mixing, pii, simhash, suffixes, token_counts, warc
 from vulnwave.llm.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without the strings of 400 bytes that start elsewhere too."""
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded as a whole."""
