@@ -89,7 +89,7 @@ class SuffixAutomaton:
 class Model:
     languages: list[str]
     points: np.ndarray  # sorted code points with a class of their own
-    roots: np.ndarray  # row offset of each language's root
+    roots: np.ndarray  # row offset of the state in which each language begins
     moves: np.ndarray  # row offset + class -> 2 x next row offset + (1 if a new phrase began)
     bits: np.ndarray  # log2 of the size of each language's text
 
@@ -117,7 +117,7 @@ class Model:
         owner, first, length = owner[order], first[order], length[order]
         symbols = self.classes(np.concatenate(texts))
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        found = np.ones(state.shape, np.int64)
+        found = np.zeros(state.shape, np.int64)
         running = np.searchsorted(-length, -np.arange(length[0]), side="left")  # blocks longer than t
         for t, n in enumerate(running):
             move = self.moves[state[:, :n] + symbols[first[:n] + t]]
@@ -161,18 +161,19 @@ def build(texts: dict[str, list[np.ndarray]], letters: int = 126) -> Model:
         codes = model.classes(symbols)
         automaton = SuffixAutomaton(codes.tolist())
         n = len(automaton.next)
-        table = np.full((n, width), -1, np.int64)
+        table = np.full((n + 1, width), -1, np.int64)
         for state, moves in enumerate(automaton.next):
             for symbol, target in moves.items():
                 if symbol != RARE:
                     table[state, symbol] = target
-        start = np.where(table[0] >= 0, table[0], 0)
+        # state n stands where no phrase is open: every symbol begins one, and one without a match is a phrase by itself
+        begin = np.where(table[0] >= 0, table[0], n)
         missing = table < 0
-        rows = np.where(missing, start[None, :], table) * width + base
+        rows = np.where(missing, begin[None, :], table) * width + base
         tables.append((rows * 2 + missing).ravel())
-        roots.append(base)
+        roots.append(n * width + base)
         bits.append(np.log2(len(symbols) + 1))
-        base += n * width
+        base += (n + 1) * width
     kind = np.int32 if base < 2**30 else np.int64
     moves = np.concatenate(tables).astype(kind) if tables else empty
     return Model(languages, model.points, np.array(roots, kind), moves, np.array(bits))

@@ -36,6 +36,8 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 BUCKET = 2048
+# Levels of masks: 64, 32, 16 and 8 positions.
+LEVELS = 3
 PIECE_BYTES = 2_000_000
 # Shingles of one text that are hashed at a time.
 HASHES = 50_000
@@ -116,7 +118,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
     rows = fingerprints.select("fingerprint", F.lit(0).cast("long").alias("mask"))
     found = None
     level = {0}
-    while True:
+    for depth in range(1, LEVELS + 1):
         # the masks below each one: 31, 961 or 29,791 fixed values, each with half the positions left
         below = {m: [m | x for x in covering_masks(_positions(~m & (1 << BITS) - 1), radius)] for m in level}
         table = [(_signed(m), [_signed(b) for b in masks]) for m, masks in below.items()]
@@ -124,15 +126,17 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
         keyed = rows.join(F.broadcast(table), "mask").select("fingerprint", F.explode("below").alias("mask"))
         keyed = keyed.withColumn("key", F.col("fingerprint").bitwiseAND(F.col("mask")))
         counts = cut_lineage(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = keyed.join(counts.where(F.col("n") <= bucket).select("mask", "key"), ["mask", "key"])
+        small = counts.where(F.col("n") <= bucket) if depth < LEVELS else counts  # 256 at most by then
+        shared = keyed.join(small.select("mask", "key"), ["mask", "key"])
         groups = shared.groupBy("mask", "key").agg(F.collect_list("fingerprint").alias("of"))
         edges = _edges(groups, radius)
         found = edges if found is None else found.union(edges)
         large = counts.where(F.col("n") > bucket).select("mask", "key")
-        if large.isEmpty():
-            return found
+        if depth == LEVELS or large.isEmpty():
+            break
         rows = cut_lineage(keyed.join(large, ["mask", "key"]).select("fingerprint", "mask").distinct())
         level = {m & (1 << BITS) - 1 for masks in below.values() for m in masks}
+    return found
 
 
 def _edges(groups: DataFrame, radius: int) -> DataFrame:
