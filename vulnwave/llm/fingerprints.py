@@ -12,6 +12,7 @@ have likeness and containment 1, an empty and another 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,13 +89,13 @@ def _bucket(order: Column, bounds: list[int]) -> Column:
     return F.when(coarse >= len(parts), len(bounds)).otherwise(coarse * step + inside)
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], text: str) -> DataFrame:
-    """``key``, ``carried`` and next_<column> of each carried column: that of the next row by descending key, and for
-    the last row of the first.
+def with_next(docs: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame], derived: str) -> DataFrame:
+    """``key``, ``text``, what ``derive`` makes of it in column ``derived``, and next_<text>, next_<derived>: those of the next row by
+    descending key, and for the last row of the first.
 
     Null keys come last, by text hash; equal keys by text. Rows are cut into ranges of keys (approximate quantiles, twice as
     many as shuffle partitions), each of which is ordered by itself; the first row of each range is put at the
-    end of the one before as well. One shuffle.
+    end of the one before as well. One shuffle, of key and text: the derived column is made behind it.
     """
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
@@ -116,12 +117,12 @@ def with_next(docs: DataFrame, key: str, carried: list[str], text: str) -> DataF
     order = (F.col(key).desc_nulls_last(), F.col("__tie"), F.col(text))
     nth = F.row_number().over(Window.partitionBy("__of").orderBy(*order))
     heads = heads.withColumn("__nth", nth).where("__nth = 1").withColumn("__cell", F.col("__to"))
-    names = [key, *carried, "__tie", "__cell"]
+    names = [key, text, "__tie", "__cell"]
     all_ = rows.select(*names, F.lit(0).alias("__extra")).union(heads.select(*names, F.lit(1).alias("__extra")))
     ahead = Window.partitionBy("__cell").orderBy("__extra", *order)
-    following = F.lead(F.struct(*carried)).over(ahead)
-    found = all_.withColumn("__next", following).where("__extra = 0")
-    return found.select(key, *carried, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in carried])
+    found = derive(all_.withColumn(f"next_{text}", F.lead(text).over(ahead)))
+    found = found.withColumn(f"next_{derived}", F.lead(derived).over(ahead)).where("__extra = 0")
+    return found.select(key, text, derived, f"next_{text}", f"next_{derived}")
 
 
 def edited(text: str, following: str) -> Column:
@@ -134,7 +135,7 @@ def edited(text: str, following: str) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of every document and of its edited text, and their likeness to each other and to the next document's."""
     rows = docs.select("doc_id", whole_text("text").alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), "doc_id", ["text", "sketch"], "text")
+    rows = with_next(rows, "doc_id", "text", lambda r: with_sketch(r, "text", "sketch"), "sketch")
     rows = rows.withColumn("edited", edited("text", "next_text")).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", "edited"
     )
