@@ -3,8 +3,8 @@
 Largest inner product becomes least Euclidean distance: a candidate x gets one more coordinate, sqrt(M^2 - |x|^2) with M the largest
 norm, a query, scaled to norm M, gets 0. Distances are projected to ``DIMS`` dimensions by Gaussian (2-stable) vectors: the squared
 projected distance over the squared distance is chi-square with ``DIMS`` degrees of freedom. A query takes candidates in the order of
-their projected distance and computes their true inner products, until that distance, squared, over the squared
-distance of its k-th nearest so far passes the ``SURE`` quantile: a candidate not yet seen would then be nearer
+their projected distance, a leaf of a kd-tree at a time, and computes their true inner products, until that distance, squared, over the
+squared distance of its k-th nearest so far passes the ``SURE`` quantile: a candidate not yet seen would then be nearer
 with a probability below 1 - ``SURE`` only.
 
 Spread over tasks: a kd-tree over a bounded sample of projections (``SAMPLE`` rows by hash) cuts space into cells; every row is put into
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -32,11 +31,11 @@ from pyspark.sql import functions as F
 from vulnwave.session import cut_lineage
 
 DIMS = 10
-SURE = 0.97
+SURE = 0.95
 K = 20
 SAMPLE = 20_000
 PART = 20_000
-LEAF = 32
+LEAF = 256
 QUERIES = 500
 SEED = 20
 
@@ -78,54 +77,32 @@ def aimed(vectors: np.ndarray, most: float) -> np.ndarray:
 
 
 class KdTree:
-    """Points cut at medians of the widest dimension, down to leaves of at most ``leaf``; each node has its bounding box."""
+    """Points cut at medians of the widest dimension, down to leaves of at most ``leaf``; each leaf has its bounding box."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.order = np.arange(len(points))
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.span: list[tuple[int, int]] = []
-        self.children: list[tuple[int, int] | None] = []
-        todo = [(0, len(points), -1, 0)]
+        order = np.arange(len(points))
+        self.leaves: list[np.ndarray] = []
+        boxes = []
+        todo = [order]
         while todo:
-            start, end, parent, side = todo.pop()
-            own = points[self.order[start:end]]
+            rows = todo.pop()
+            own = points[rows]
             low, high = own.min(0), own.max(0)
-            node = len(self.span)
-            self.low.append(low)
-            self.high.append(high)
-            self.span.append((start, end))
-            self.children.append(None)
-            if parent >= 0:
-                pair = list(self.children[parent] or (-1, -1))
-                pair[side] = node
-                self.children[parent] = tuple(pair)
             axis = int((high - low).argmax())
-            if end - start > leaf and high[axis] > low[axis]:
-                middle = (end - start) // 2
-                cut = np.argpartition(own[:, axis], middle)
-                self.order[start:end] = self.order[start:end][cut]
-                todo += [(start, start + middle, node, 0), (start + middle, end, node, 1)]
-        self.box = np.array(self.low), np.array(self.high)
-        leaves = [k for k, c in enumerate(self.children) if c is None]
-        self.leaves = np.array(leaves, int)
-
-    def leaves_by_distance(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Squared distance of a leaf's box and its points, nearest first, one leaf at a time."""
-        heap = [(self._gap(0, point), 0)]
-        while heap:
-            gap, node = heappop(heap)
-            children = self.children[node]
-            if children is None:
-                start, end = self.span[node]
-                yield gap, self.order[start:end]
+            if len(rows) > leaf and high[axis] > low[axis]:
+                middle = len(rows) // 2
+                cut = rows[np.argpartition(own[:, axis], middle)]
+                todo += [cut[:middle], cut[middle:]]
             else:
-                for child in children:
-                    heappush(heap, (self._gap(child, point), child))
+                # equal points can't be cut apart by place, only by number
+                for part in np.array_split(rows, -(-len(rows) // leaf)):
+                    self.leaves.append(part)
+                    boxes.append(np.concatenate([low, high]))
+        self.boxes = np.array(boxes)
 
-    def _gap(self, node: int, point: np.ndarray) -> float:
-        out = np.maximum(self.low[node] - point, 0) + np.maximum(point - self.high[node], 0)
-        return float(out @ out)
+    def gaps(self, points: np.ndarray) -> np.ndarray:
+        """Squared distance of each point from the box of each leaf."""
+        return np.stack([_gaps(self.boxes, p) for p in points])
 
 
 @dataclass(frozen=True)
@@ -326,14 +303,11 @@ def _searched(asked: DataFrame, parts: DataFrame, index, limit: float, k: int) -
                 points = np.frombuffer(row["points"], "<f8").reshape(-1, own.width)
                 reach = np.frombuffer(row["reach"], "<f8")
                 projected = aimed(points, own.most) @ m
-                out: list[list] = [[], [], [], []]
-                for q in range(len(asked)):
-                    norm = float(np.sqrt(points[q] @ points[q]))
-                    found, gaps = nearest(tree, keys, vectors, points[q], projected[q], asked[q], own.most / norm, own.most, limit, reach[q], k)
-                    out[0] += [int(asked[q])] * len(found)
-                    out[1] += keys[found].tolist()
-                    out[2] += [exact(points[q], vectors[i]) for i in found]
-                    out[3] += gaps.tolist()
+                out: list = [[], [], [], []]
+                norms = np.sqrt(np.einsum("ij,ij->i", points, points))
+                q, found, gaps = nearest(tree, keys, vectors, points, projected, asked, own.most / norms, own.most, limit, reach, k)
+                out[0], out[1], out[3] = asked[q], keys[found], gaps
+                out[2] = exact(points[q], vectors[found])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())],
                     names=["query_id", "vec_id", "score", "gap"],
@@ -343,42 +317,50 @@ def _searched(asked: DataFrame, parts: DataFrame, index, limit: float, k: int) -
     return met.mapInArrow(run, "query_id long, vec_id long, score double, gap double")
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> float:
-    """Inner product in double precision, summed from the first component on."""
-    return float(np.add.accumulate(a * b)[-1])
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed from the first component on."""
+    return np.add.accumulate(a * b, axis=1)[:, -1] if len(a) else np.zeros(0)
 
 
-def nearest(tree, keys, vectors, query, point, own_key, scale, most, limit, reach, k) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the ``k`` nearest and their squared distances, by incremental search in the projection."""
-    kept = np.zeros(0, int)
-    gaps = np.zeros(0)
-    bound = reach
-    held: list[np.ndarray] = []
-    count = 0
-    for gap, rows in tree.leaves_by_distance(point):
-        if gap > limit * bound:
+def nearest(tree, keys, vectors, queries, points, asked, scale, most, limit, reach, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the ``k`` nearest of each query and a few more, by incremental search in the projection.
+
+    Each query takes the leaves in the order of their distance from it, until the test stops it. In each round all
+    queries that go on take their next leaf, those that take the same one in one matrix product.
+    """
+    gaps = tree.gaps(points)
+    order = np.argsort(gaps, axis=1, kind="stable")
+    going = np.ones(len(queries), bool)
+    bound = np.array(reach, float)
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row, squared distance
+    everyone = np.arange(len(queries))
+    for turn in range(gaps.shape[1]):
+        leaf = order[:, turn]
+        going &= gaps[everyone, leaf] <= limit * bound
+        if not going.any():
             break
-        held.append(rows)
-        count += len(rows)
-        if count < 64:
-            continue
-        kept, gaps, bound = _verified(kept, gaps, held, keys, vectors, query, own_key, scale, most, reach, k)
-        held, count = [], 0
-    if held:
-        kept, gaps, bound = _verified(kept, gaps, held, keys, vectors, query, own_key, scale, most, reach, k)
-    return kept, gaps
-
-
-def _verified(kept, gaps, held, keys, vectors, query, own_key, scale, most, reach, k):
-    rows = np.concatenate(held)
-    rows = rows[keys[rows] != own_key]
-    # |x' - q'|^2 = 2 M^2 - 2 <x, q> M / |q|
-    new = np.maximum(2 * most * most - 2 * scale * (vectors[rows] @ query), 0.0)
-    rows, new = np.concatenate([kept, rows]), np.concatenate([gaps, new])
-    best = np.lexsort((keys[rows], new))[: k + 4]  # a few more: ties are settled by exact scores in the end
-    rows, new = rows[best], new[best]
-    bound = min(reach, new[k - 1]) if len(new) >= k else reach
-    return rows, new, bound
+        new = [held]
+        for at in np.unique(leaf[going]):
+            who = np.nonzero(going & (leaf == at))[0]
+            rows = tree.leaves[at]
+            # |x' - q'|^2 = 2 M^2 - 2 <x, q> M / |q|
+            found = 2 * most * most - 2 * scale[who][:, None] * (queries[who] @ vectors[rows].T)
+            found = np.maximum(found, 0.0)
+            found[asked[who][:, None] == keys[rows][None, :]] = np.inf
+            i, j = np.nonzero(found <= bound[who][:, None] + 1e-9 * most * most)
+            keep = np.isfinite(found[i, j])
+            i, j = i[keep], j[keep]
+            new.append([who[i], rows[j], found[i, j]])
+        held = [np.concatenate(x) for x in zip(*new)]
+        # equal vectors may differ in the last bits of a product: ties go by key within a rounding
+        ranked = np.lexsort((keys[held[1]], np.round(held[2] / (most * most), 10), held[0]))
+        held = [x[ranked] for x in held]
+        first = np.searchsorted(held[0], everyone)
+        nth = np.arange(len(held[0])) - first[held[0]]
+        full = nth == k - 1
+        bound[held[0][full]] = np.minimum(reach[held[0][full]], held[2][full])
+        held = [x[nth < k + 4] for x in held]
+    return held[0], held[1], held[2]
 
 
 def neighbours(table: DataFrame, every: int = 20) -> DataFrame:
