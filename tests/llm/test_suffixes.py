@@ -98,7 +98,7 @@ def test_loser_tree_merges_and_knows_prefixes():
         runs = [sorted((bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), r.randint(0, 9), r.randint(0, 9)) for _ in range(r.randint(0, 30))) for _ in range(n)]
         coded = []
         for run in runs:
-            shared = [0] + [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(run, run[1:])]
+            shared = ([0] + [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(run, run[1:])])[: len(run)]
             assert suffixes.front_decode(suffixes.front_code(run, shared)) == (run, shared)
             coded.append((run, shared))
         out = list(suffixes.LoserTree(coded))
