@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vulnwave.operators import classify
@@ -42,12 +43,16 @@ def test_fit_is_repeatable(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a.model, b.model))
 
 
-def test_large_tables_draw_once(spark):
-    df = spark.range(50_000).select(F.col("id").alias("i"))
+@pytest.mark.parametrize("n", [40, 1_000, 50_000])
+def test_one_sampling_rule(spark, n):
+    """Each tree draws for itself, at every size: the rows of the lowest hashes."""
+    df = spark.range(n).select(F.col("id").alias("i"))
     rows = IsolationForest(trees=4, sample=64).sample_rows(df, "i")
-    sizes = {r["tree"]: r["count"] for r in rows.groupBy("tree").count().collect()}
-    assert sizes == {0: 64, 1: 64, 2: 64, 3: 64}
-    assert rows.select("i").distinct().count() == 256
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["tree"], set()).add(r["i"])
+    lowest = lambda t: {r["i"] for r in df.orderBy(F.pmod(F.xxhash64("i", F.lit(t), F.lit(42)), F.lit(1 << 40)), "i").limit(64).collect()}
+    assert got == {t: lowest(t) for t in range(4)}
 
 
 def test_hash_split(spark):

@@ -60,10 +60,14 @@ def test_links_of_a_hot_cve(spark):
     assert back.count() == 15_000 and back.exceptAll(edges.select("cve_id", "url")).count() == 0
     assert chunks.agg(F.max(F.size("linked_articles"))).first()[0] < 700
     nvd = spark.createDataFrame([("HOT",), ("C1",), ("none",)], "cve_id string")
-    rows = {r["cve_id"]: r for r in linking.link(nvd, edges, chunk=500).collect()}
-    assert rows["HOT"]["n_articles"] == 5_000 and rows["HOT"]["linked_articles"] is None
-    assert rows["C1"]["n_articles"] == len(rows["C1"]["linked_articles"]) == 4
-    assert (rows["none"]["n_articles"], rows["none"]["linked_articles"]) == (0, [])
+    rows = {}
+    for r in linking.link(nvd, edges, chunk=500).collect():
+        rows.setdefault(r["cve_id"], []).append(r)
+    urls = [u for r in rows["HOT"] for u in r["linked_articles"]]
+    assert len(urls) == len(set(urls)) == 5_000 and {r["n_articles"] for r in rows["HOT"]} == {5_000}
+    assert sorted(r["part"] for r in rows["HOT"]) == list(range(10))
+    assert [(r["n_articles"], len(r["linked_articles"])) for r in rows["C1"]] == [(4, 4)]
+    assert [(r["n_articles"], r["part"], r["linked_articles"]) for r in rows["none"]] == [(0, 0, [])]
 
 
 def test_link_counts_add_up(spark):
@@ -128,6 +132,21 @@ def test_urgency_like_pandas(spark):
     assert np.allclose(got.urgency_score, want)
 
 
+def test_a_text_that_fails_leaves_the_others_alone(spark):
+    def load():
+        def model(texts):
+            if texts.str.contains("bad").any():
+                raise ValueError("bad text")
+            return texts.str.len() / 10.0
+
+        return model
+
+    df = spark.createDataFrame([(i, "bad" if i == 7 else "x" * (i % 5)) for i in range(100)], "i int, clean_text string").coalesce(1)
+    rows = sentiment.sentiment(df, scorer=load, failed="failed").collect()
+    assert [r["i"] for r in rows if r["failed"]] == [7]
+    assert all(r["sentiment"] == (0.0 if r["i"] == 7 else min(1.0, r["i"] % 5 / 10)) for r in rows)
+
+
 def test_sentiment_sign(spark):
     df = spark.createDataFrame([(-1.0, "t", DAY, 0.0)], "sentiment double, clean_text string, published_date date, cvss_score double")
     assert urgency.urgency_factors(df, DAY, sentiment_sign=-1).first()["f_sentiment"] == 1.0

@@ -51,7 +51,7 @@ _RECORD = f"""named_struct(
   'weaknesses', CASE WHEN cwe <> 'No CWE Identified' THEN array(named_struct('description',
      array(named_struct('lang', 'en', 'value', cwe)))) END,
   'configurations', array(named_struct('nodes', array(named_struct('cpeMatch', array(
-     named_struct('vulnerable', true, 'criteria', concat('cpe:2.3:a:vendor', k % 7, ':web_server:', k % 4, ':*'), 'versionEndIncluding', cast(NULL AS string)),
+     named_struct('vulnerable', true, 'criteria', concat('cpe:2.3:a:vendor', k % 7, ':log4j2_web-api:', k % 4, ':*'), 'versionEndIncluding', cast(NULL AS string)),
      named_struct('vulnerable', k % 2 = 0, 'criteria', concat('cpe:2.3:a:acme:big_tool:', k % 3, ':*'), 'versionEndIncluding', concat('9.', k % 5)),
      named_struct('vulnerable', true, 'criteria', 'cpe:2.3:o:node:node_core:-:*', 'versionEndIncluding', cast(NULL AS string)),
      named_struct('vulnerable', true, 'criteria', 'cpe:broken', 'versionEndIncluding', cast(NULL AS string))))))))"""
@@ -65,7 +65,7 @@ _SCORE = """CASE k % 6 WHEN 0 THEN cvss_score WHEN 1 THEN CAST(5 AS DOUBLE) WHEN
     WHEN 3 THEN CAST(5 AS DOUBLE) END"""
 _SEVERITY = """CASE k % 6 WHEN 0 THEN severity WHEN 1 THEN 'V2' WHEN 2 THEN CASE WHEN cvss_score IS NULL THEN 'LOW' ELSE severity END
     WHEN 3 THEN 'V2' WHEN 4 THEN 'Unknown' ELSE 'V2' END"""
-_PRODUCTS = """array_to_string(list_sort(list_filter(['Vendor' || k % 7 || ' Web Server ' || k % 4,
+_PRODUCTS = """array_to_string(list_sort(list_filter(['Vendor' || k % 7 || ' Log4J2 Web-Api ' || k % 4,
     CASE WHEN k % 2 = 0 THEN 'Acme Big Tool (up to 9.' || k % 5 || ')' END, 'Node Core'], lambda p: p IS NOT NULL)), '|')"""
 _CWE_NAMED = "CASE cwe " + " ".join(f"WHEN {t.q(k)} THEN {t.q(f'{k}: {v}')}" for k, v in fixed.CWE_FALLBACK.items()) + " ELSE cwe END"
 _DESCRIBED = "CASE WHEN k % 10 = 0 THEN '' ELSE description END"
@@ -140,30 +140,32 @@ def date_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- weakness catalogue ------------------------------------------------------
-_ELEMENTS = """SELECT 'CWE-' || doc_id AS cwe_id, CASE WHEN doc_id % 5 = 0 THEN name
-      WHEN length(body) > 100 THEN substr(body, 1, 97) || '...' ELSE body END AS text
-    FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1 + doc_id % 3), '(?s)<.*?>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS body,
-      trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS name FROM documents)
+_ELEMENTS = """SELECT 'CWE-' || doc_id * 5 AS cwe_id, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM documents
+    UNION ALL SELECT 'CWE-' || doc_id, CASE WHEN length(body) > 100 THEN substr(body, 1, 97) || '...' ELSE body END
+    FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?s)<.*?>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS body FROM documents)
+    WHERE doc_id NOT IN (SELECT doc_id * 5 FROM documents)
     UNION ALL SELECT 'NVD-CWE-Other', 'Weakness not included in CWE list'
     UNION ALL SELECT 'NVD-CWE-noinfo', 'Insufficient information to assign CWE'"""
 
 
 @query(_ELEMENTS)
 def cwe_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue of elements whose texts come from ``documents``; every fifth is a category too."""
-    docs = t.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
-    body = F.expr("substr(text, 1 + int(doc_id % 3))")
-    weak = docs.select(F.lit("weakness").alias("kind"), "id", body.alias("text"))
-    named = docs.filter("doc_id % 5 = 0").select(F.lit("category").alias("kind"), "id", "text")
+    """Catalogue of elements whose texts come from ``documents``: weaknesses by id, categories by five times the id."""
+    docs = t.read(spark, d, "documents")
+    weak = docs.select(F.lit("weakness").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    named = docs.select(F.lit("category").alias("kind"), (F.col("doc_id") * 5).cast("string").alias("id"), "text")
     return cwe.cwe_catalog(weak.unionByName(named))
 
 
 # --- articles ----------------------------------------------------------------
+_ARTICLE_SQL = r"(?is)<article\b[^>]*>(.*?)</article>"
+# the inline elements that the test pages have
+_LINK_SQL = r"(?is)<(?:b|a|i|em|strong)(?:\s[^>]*)?>.*?(?:</(?:b|a|i|em|strong)\s*>|\z)"
 _TITLE = f"trim(split_part({t.sql_squeeze(t.sql_entities('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)'''))}, '–', 1))"
 _INNER = f"""regexp_replace(regexp_replace(regexp_split_to_array(p, '(?i)</p\\s*>')[1],
-    {t.q(rf'(?is)<(?:{art._INLINE})(?:' + chr(92) + rf's[^>]*)?>.*?(?:</(?:{art._INLINE})' + chr(92) + r's*>|\z)')}, ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+    {t.q(_LINK_SQL)}, ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
 _BODY = f"""SELECT page_id, array_to_string(list_filter(list_transform(
-    list_slice(regexp_split_to_array(regexp_extract(html, {t.q('(?is)' + art.ARTICLE_CONTAINER)}, 1), '(?i)<p(?:\\s[^>]*)?>'), 2, 100000),
+    list_slice(regexp_split_to_array(regexp_extract(html, {t.q(_ARTICLE_SQL)}, 1), '(?i)<p(?:\\s[^>]*)?>'), 2, 100000),
     lambda p: {t.sql_squeeze(t.sql_entities(_INNER))}), lambda x: x <> ''), ' ') AS body FROM pages"""
 
 
@@ -173,9 +175,35 @@ def article_text(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("url", "text")
 
 
-@query()
+_DATE_SQL = "DATE '2001-01-01' + CAST(page_id % 900 AS INTEGER)"
+
+
+def _news_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' articles as news pages: body in nested divs, labels, a log-in link and a footer after it, date by page id."""
+    body = F.regexp_extract("html", _ARTICLE_SQL, 1)
+    stamp = F.concat(F.expr("date_add(DATE'2001-01-01', int(page_id % 900))").cast("string"), F.lit("T08:00:00Z"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    page = F.concat(
+        F.lit("<html><head><title>"), title, F.lit(' – News</title><meta content="'), stamp,
+        F.lit('" property="article:published_time"></head><body><div class="nav"><p>Menu</p></div>'),
+        F.lit('<div id="x" class="post articlebody clear"><div class="lead">'), body, F.lit("</div><div><div></div></div></div>"),
+        F.lit('<span class="p-tags categ"><a href="/t"><span>Malware</span></a> <a href="/u"><span>Tag '), F.col("page_id") % 7,
+        F.lit('</span></a></span><span><a href="/in"><span>Login</span></a></span><div><p>Subscribe now, CVE-2020-12345</p></div></body></html>'),
+    )
+    return t.read(spark, d, "pages", spread=True).select("url", page.alias("html"))
+
+
+@query(
+    f"""WITH b AS ({_BODY}) SELECT 'thehackernews' AS source, url, {_TITLE} || '. ' || body AS text, {_DATE_SQL} AS published_date,
+        'Malware|Tag ' || page_id % 7 AS tags, CAST('{t.AS_OF}' AS TIMESTAMP) AS ingest_ts_thn,
+        array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '(?i)CVE-[0-9]{{4}}-[0-9]{{4,6}}'), lambda c: upper(c))
+          || ['CVE-2020-12345'])), '|') AS cves
+        FROM pages JOIN b USING (page_id)"""
+)
 def parse_article(spark: SparkSession, d: str) -> DataFrame:
-    return art.parse_article(t.read(spark, d, "pages", spread=True), t.AS_OF, container=art.ARTICLE_CONTAINER)
+    """All columns but the products, which have a query of their own."""
+    rows = art.parse_article(_news_pages(spark, d), t.AS_OF).drop("products")
+    return rows.withColumns({"tags": F.array_join("tags", "|"), "cves": F.array_join(F.array_sort("cves"), "|")})
 
 
 @query(
@@ -313,19 +341,21 @@ def stream_feed(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """All rows as one file, newer and older versions of every second row as others."""
+    """All rows, then each again: newer ones for even keys, older ones for the others; three runs of the stream."""
     root = scratch_path(spark, "stream-upsert")
     v = t.vuln(spark, d).select("k", "cve_id", "severity", "last_modified")
-    even = v.filter("k % 2 = 0")
-    new = even.withColumns({"severity": F.lit("NEW"), "last_modified": F.date_add("last_modified", 5)})
-    old = even.withColumns({"severity": F.lit("OLD"), "last_modified": F.date_sub("last_modified", 5)})
-    for rows in (v, new, old):
-        rows.drop("k").coalesce(1).write.mode("append").json(f"{root}/in")
+    even = F.col("k") % 2 == 0
+    moved = F.when(even, F.date_add("last_modified", 5)).otherwise(F.date_sub("last_modified", 5))
+    word = F.when(even, "NEW").otherwise("OLD")
+    again = v.withColumns({"severity": word, "last_modified": moved})
+    stale = v.withColumns({"severity": F.lit("STALE"), "last_modified": F.date_sub("last_modified", 9)})
     schema = "cve_id string, severity string, last_modified date"
-    stream = sf.stream_feed(spark, f"{root}/in", StructType.fromDDL(schema), files_per_trigger=1)
-    table = sf.VersionedTable(spark, f"{root}/table")
-    sf.stream_upsert(stream, table, f"{root}/state", whole_every=2).awaitTermination()
-    return table.current("cve_id", "last_modified")
+    log = sf.BatchLog(spark, f"{root}/table")
+    for rows in (v, again, stale):
+        rows.drop("k").write.mode("append").json(f"{root}/in")
+        stream = sf.stream_feed(spark, f"{root}/in", StructType.fromDDL(schema))
+        sf.stream_upsert(stream, log, f"{root}/state").awaitTermination()
+    return log.newest(["cve_id"], "last_modified")
 
 
 @query(t.with_views("articles", "SELECT url FROM articles"))
@@ -357,10 +387,10 @@ def windowed_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(_EVENT_DAYS)
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "stream-counts")
-    table = sf.VersionedTable(spark, f"{root}/table")
+    log = sf.BatchLog(spark, f"{root}/table")
     counts = sf.stream_daily_counts(_event_stream(spark, d), "ts", ["event_type"])
-    sf.write_counts(counts, table, f"{root}/state", keys=["event_type"]).awaitTermination()
-    return table.read().select("day", "event_type", "x")
+    sf.write_counts(counts, log, f"{root}/state").awaitTermination()
+    return log.newest(["day", "event_type"]).select("day", "event_type", "x")
 
 
 @query(
@@ -371,8 +401,6 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_spikes(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "stream-spikes")
-    daily, spikes = sf.VersionedTable(spark, f"{root}/daily"), sf.VersionedTable(spark, f"{root}/spikes")
-    sf.stream_spikes(
-        _event_stream(spark, d), daily, spikes, f"{root}/state", date="ts", keys=["event_type"], z=1
-    ).awaitTermination()
-    return spikes.read().select("event_type", "day", "x")
+    log = sf.BatchLog(spark, f"{root}/daily")
+    sf.stream_spikes(_event_stream(spark, d), log, f"{root}/state", date="ts", keys=["event_type"]).awaitTermination()
+    return sf.spikes(log, ["event_type"], z=1).select("event_type", "day", "x")

@@ -36,12 +36,32 @@ _LINK = """SELECT v.cve_id, CAST(coalesce(l.n_articles, 0) AS INTEGER) AS n_arti
 
 @query(t.with_views("vuln edges", _LINK))
 def link(spark: SparkSession, d: str) -> DataFrame:
-    linked = linking.link(t.vuln(spark, d), t.edges(spark, d))
+    linked = linking.link(t.vuln(spark, d), t.edges(spark, d), chunk=1_000_000)
     return linked.select(
         "cve_id", "n_articles", F.array_join("linked_articles", ",").alias("linked_articles"), "earliest_article_date"
     )
 
 
+_HOT_EDGES = "SELECT cve_id, url, published_date FROM edges UNION SELECT 'CVE-HOT', url, published_date FROM articles"
+
+
+@query(
+    t.with_views(
+        "vuln edges articles",
+        """SELECT v.cve_id, CAST(count(url) OVER (PARTITION BY v.cve_id) AS INTEGER) AS n_articles, e.url
+           FROM (SELECT cve_id FROM vuln UNION ALL SELECT 'CVE-HOT') v LEFT JOIN hot e USING (cve_id)""",
+        hot=_HOT_EDGES,
+    )
+)
+def link_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Every article on one CVE besides its own links: lists in parts, none lost."""
+    hot = t.articles(spark, d).select(F.lit("CVE-HOT").alias("cve_id"), "url", "published_date")
+    edges = t.edges(spark, d).select("cve_id", "url", "published_date").unionByName(hot)
+    cves = t.vuln(spark, d).select("cve_id").unionByName(spark.range(1).select(F.lit("CVE-HOT").alias("cve_id")))
+    linked = linking.link(cves, edges, chunk=50)
+    return linked.select("cve_id", "n_articles", F.explode_outer("linked_articles").alias("url"))
+
+
 @query(t.with_views("edges", "SELECT cve_id, url FROM edges"))
 def link_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of at most about 10 urls, unrolled again: every edge must come back once."""
@@ -89,26 +109,28 @@ def doc_key(spark: SparkSession, d: str) -> DataFrame:
     return both.select(linking.doc_key().alias("doc_key"))
 
 
-# A stored table (two of three rows) and a batch (every second row, later, plus a
-# repeat of each with an older date; one third of the batch is older than the table).
-_STORED = "SELECT cve_id, severity, last_modified FROM vuln WHERE k % 3 <> 0"
+# The whole table as stored, and a batch with every row under a key of its own (new), under
+# the stored key with a later or an earlier date, and once more with an older date.
+_STORED = "SELECT cve_id, severity, last_modified FROM vuln"
 _BATCH = """SELECT cve_id, 'NEW' AS severity, CASE WHEN k % 6 = 4 THEN last_modified - 1 ELSE last_modified + 5 END AS last_modified
-    FROM vuln WHERE k % 2 = 0
-    UNION ALL SELECT cve_id, 'OLD', last_modified - 9 FROM vuln WHERE k % 2 = 0"""
+    FROM vuln
+    UNION ALL SELECT cve_id, 'OLD', last_modified - 9 FROM vuln
+    UNION ALL SELECT cve_id || 'x', severity, last_modified FROM vuln"""
 _UPSERT = """SELECT cve_id, severity, last_modified FROM (SELECT *, row_number() OVER (PARTITION BY cve_id
     ORDER BY last_modified DESC, pri DESC) AS rn FROM (SELECT *, 1 AS pri FROM stored UNION ALL SELECT *, 0 FROM batch)) WHERE rn = 1"""
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return t.vuln(spark, d).filter("k % 3 <> 0").select("cve_id", "severity", "last_modified")
+    return t.vuln(spark, d).select("cve_id", "severity", "last_modified")
 
 
 def _batch(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.vuln(spark, d).filter("k % 2 = 0")
+    rows = t.vuln(spark, d)
     shift = F.when(F.col("k") % 6 == 4, -1).otherwise(5)
     new = rows.select("cve_id", F.lit("NEW").alias("severity"), F.date_add("last_modified", shift).alias("last_modified"))
     old = rows.select("cve_id", F.lit("OLD").alias("severity"), F.date_sub("last_modified", 9).alias("last_modified"))
-    return new.unionByName(old)
+    other = rows.select(F.concat("cve_id", F.lit("x")).alias("cve_id"), "severity", "last_modified")
+    return new.unionByName(old).unionByName(other)
 
 
 @query(t.with_views("vuln", _UPSERT, stored=_STORED, batch=_BATCH))
@@ -143,20 +165,18 @@ def dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
 @query(
     t.with_views(
         "articles",
-        """SELECT url, published_date FROM (SELECT url, published_date FROM articles WHERE doc_id % 4 <> 0
-           UNION ALL SELECT url, max(published_date) FROM (
-             SELECT url, published_date FROM articles WHERE doc_id % 2 = 0
-             UNION ALL SELECT url, published_date - 3 FROM articles WHERE doc_id % 6 = 0)
-           WHERE url NOT IN (SELECT url FROM articles WHERE doc_id % 4 <> 0) GROUP BY url)""",
+        """SELECT url, published_date FROM articles
+           UNION ALL SELECT url || '/new', max(published_date) FROM (
+             SELECT url, published_date FROM articles
+             UNION ALL SELECT url, published_date - 3 FROM articles) GROUP BY url""",
     )
 )
 def append_new(spark: SparkSession, d: str) -> DataFrame:
-    a = t.articles(spark, d)
-    cols = ["url", "published_date"]
-    batch = a.filter("doc_id % 2 = 0").select(*cols).unionByName(
-        a.filter("doc_id % 6 = 0").select("url", F.date_sub("published_date", 3).alias("published_date"))
-    )
-    return linking.append_new(a.filter("doc_id % 4 <> 0").select(*cols), batch)
+    a = t.articles(spark, d).select("url", "published_date")
+    later = a.select(F.concat("url", F.lit("/new")).alias("url"), "published_date")
+    earlier = later.select("url", F.date_sub("published_date", 3).alias("published_date"))
+    seen = a.select("url", F.date_add("published_date", 1).alias("published_date"))
+    return linking.append_new(a, later.unionByName(earlier).unionByName(seen))
 
 
 @query(

@@ -96,8 +96,7 @@ def with_isolation_flag(
 ) -> DataFrame:
     """Add ``anomaly_score`` and ``if_flag`` from projected TF-IDF vectors.
 
-    A large table vectorises only its sampled rows to fit, and all rows to score. A
-    small one, whose samples overlap, keeps the vectors of all rows for both. The
+    Only the sampled rows are vectorised to fit, and all rows to score. The
     scored rows are stored, as the exact cut reads the scores more than once.
     """
     model = TfidfModel.fit(df, text, min_df=2, max_df=0.8, max_features=max_features)
@@ -107,12 +106,8 @@ def with_isolation_flag(
         return random_projection(vectors, "_v", len(model.terms), components, seed, "_p").drop("_v")
 
     forest = IsolationForest(trees=trees, seed=seed)
-    if forest.is_small(model.n):
-        vectors = cut_lineage(vectorise(df))
-        forest.grow(forest.sample_rows(vectors.select(key, "_p"), key, model.n), "_p")
-    else:
-        vectors = vectorise(df)
-        forest.grow(vectorise(forest.sample_rows(df.select(key, text), key, model.n)), "_p")
+    forest.grow(vectorise(forest.sample_rows(df.select(key, text), key, model.n)), "_p")
+    vectors = vectorise(df)
     scored = stored(forest.score(vectors, "_p", "anomaly_score").drop("_p"), "scored")
     return forest.flag(scored, "anomaly_score", contamination, "if_flag")
 

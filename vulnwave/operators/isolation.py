@@ -82,35 +82,26 @@ class IsolationForest:
         """Sample rows of a table that holds the vectors and grow the trees."""
         return self.grow(self.sample_rows(df, key), vector)
 
-    def is_small(self, n: int) -> bool:
-        """Whether ``n`` rows are too few to deal a separate sample to each tree."""
-        return n <= 4 * self.sample * self.trees
-
     def sample_rows(self, df: DataFrame, key: str, n: int | None = None) -> DataFrame:
         """Rows of each tree's sample: the columns of ``df`` plus ``tree`` and ``_rank``.
 
-        About four times the sample passes a hash test inside the scan, then each tree
-        keeps the lowest hashes. A large table deals its rows out to the trees by one
-        hash; a small one draws for every tree, so samples may overlap.
+        Every tree draws for itself, by one rule at every size: about four times the
+        sample passes a hash test inside the scan, then the tree keeps the lowest
+        hashes. A row may be in several samples.
         """
         n = df.count() if n is None else n
         self.fitted = min(self.sample, n)
         space, wide = 1 << 40, 4 * self.sample
-        draw = lambda *salt: F.pmod(F.xxhash64(F.col(key), *salt, F.lit(self.seed)), F.lit(space))
-        if not self.is_small(n):
-            limit = int(space * wide * self.trees / n)
-            drawn = df.withColumn("_draw", draw()).filter(F.col("_draw") < limit)
-            drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit("tree")), F.lit(self.trees)).cast("int"))
-        else:
-            limit = space if n <= wide else int(space * wide / n)
-            hits = F.filter(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(self.trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), draw(t).alias("_draw")),
-                ),
-                lambda s: s["_draw"] < limit,
-            )
-            drawn = df.select("*", F.inline(hits))
+        draw = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(self.seed)), F.lit(space))
+        limit = space if n <= wide else int(space * wide / n)
+        hits = F.filter(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(self.trees - 1)),
+                lambda t: F.struct(t.alias("tree"), draw(t).alias("_draw")),
+            ),
+            lambda s: s["_draw"] < limit,
+        )
+        drawn = df.select("*", F.inline(hits))
         lowest = Window.partitionBy("tree").orderBy("_draw", key)
         ranked = drawn.withColumn("_rank", F.row_number().over(lowest))
         return ranked.filter(F.col("_rank") <= self.sample).drop("_draw")

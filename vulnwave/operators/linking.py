@@ -14,7 +14,6 @@ from ..session import checked_broadcast, cut_lineage
 
 # A CVE's list of articles is kept in rows of about this many urls.
 CHUNK = 1_000
-SALTS = 64
 
 
 def article_cve_edges(articles: DataFrame, cves: str = "cves", text: str | None = "text") -> DataFrame:
@@ -39,28 +38,20 @@ def link_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def link_chunks(edges: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> DataFrame:
+def link_chunks(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(cve_id, part, linked_articles): all urls of a CVE in lists of bounded size.
 
     A CVE with at most ``chunk`` articles has the single part 0. The urls of one with
-    more are spread over parts by hash. Only such CVEs are replicated, over salts, to
-    meet their edges, so one CVE holding a third of all edges is neither joined nor
-    collected in one task.
+    more are spread over as many parts as its count asks for, by hash. The number of
+    parts of those CVEs is looked up before the shuffle (at most one of them per
+    ``chunk`` edges), so a CVE holding a third of all edges is never collected in one task.
     """
-    salt = F.pmod(F.xxhash64("url", F.lit("salt")), F.lit(salts)).cast("int")
     hot = (
         link_counts(edges)
         .filter(F.col("n_articles") > chunk)
-        .select(
-            F.col("cve_id").alias("_hot"),
-            F.ceil(F.col("n_articles") / chunk).alias("_parts"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_hot_salt"),
-        )
-    )
-    salted = edges.select("cve_id", "url", salt.alias("_salt"))
-    met = salted.join(
-        hot, (F.col("cve_id") == F.col("_hot")) & (F.col("_salt") == F.col("_hot_salt")), "left"
+        .select(F.col("cve_id").alias("_hot"), F.ceil(F.col("n_articles") / chunk).alias("_parts"))
     )
+    met = edges.select("cve_id", "url").join(checked_broadcast(hot), F.col("cve_id") == F.col("_hot"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("url", F.lit("part")), F.col("_parts")), F.lit(0))
     return (
         met.groupBy("cve_id", part.cast("int").alias("part"))
@@ -69,32 +60,24 @@ def link_chunks(edges: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> Dat
 
 
 def link(nvd: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """CVE rows with ``n_articles``, ``linked_articles`` and ``earliest_article_date``.
+    """CVE rows with ``n_articles``, ``earliest_article_date``, ``part`` and ``linked_articles``.
 
-    ``linked_articles`` is NULL only for a CVE with more than ``chunk`` articles, whose
-    full list stays in `link_chunks`.
+    Every article of every CVE is there: a CVE with more than ``chunk`` articles has a
+    row for each part of its list (see `link_chunks`), numbered from 0; all others have
+    one row. A CVE without articles has an empty list.
     """
-    counts = link_counts(edges)
-    small = (
-        link_chunks(edges, chunk)
-        .groupBy("cve_id")
-        .agg(F.max("part").alias("_last"), F.min_by("linked_articles", "part").alias("linked_articles"))
-        .filter("_last = 0")
-        .drop("_last")
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        nvd.join(counts.join(small, "cve_id", "left"), "cve_id", "left")
-        .withColumn(
-            "linked_articles",
-            F.when(F.col("n_articles").isNull(), empty).otherwise(F.col("linked_articles")),
-        )
-        .withColumn("n_articles", F.coalesce("n_articles", F.lit(0)).cast("int"))
+    lists = link_chunks(edges, chunk)
+    found = with_link_counts(nvd, edges).join(lists, "cve_id", "left")
+    return found.withColumns(
+        {
+            "part": F.coalesce("part", F.lit(0)),
+            "linked_articles": F.coalesce("linked_articles", F.array().cast("array<string>")),
+        }
     )
 
 
 def with_link_counts(nvd: DataFrame, edges: DataFrame) -> DataFrame:
-    """`link` without the url lists, for scoring."""
+    """One row per CVE with ``n_articles`` and ``earliest_article_date``, for scoring."""
     return nvd.join(link_counts(edges), "cve_id", "left").withColumn(
         "n_articles", F.coalesce("n_articles", F.lit(0)).cast("int")
     )

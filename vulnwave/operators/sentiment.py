@@ -38,28 +38,49 @@ def lexicon_score(
     return F.coalesce(counted, F.lit(0.0))
 
 
+def _scores(model: Scorer, texts: pd.Series) -> pd.Series:
+    """Scores of the texts; one that the model fails on is NaN, the others keep theirs.
+
+    A batch that fails is halved until the failing texts stand alone.
+    """
+    try:
+        return pd.Series(pd.Series(model(texts)).to_numpy(dtype=float), index=texts.index)
+    except Exception:  # noqa: BLE001 - any failure of a user's model
+        if len(texts) == 1:
+            return pd.Series(float("nan"), index=texts.index)
+        half = len(texts) // 2
+        return pd.concat([_scores(model, texts.iloc[:half]), _scores(model, texts.iloc[half:])])
+
+
 def sentiment(
-    df: DataFrame, text: str = "clean_text", scorer: Callable[[], Scorer] | None = None, out: str = "sentiment"
+    df: DataFrame,
+    text: str = "clean_text",
+    scorer: Callable[[], Scorer] | None = None,
+    out: str = "sentiment",
+    failed: str | None = None,
 ) -> DataFrame:
     """Add a score in [-1, 1].
 
     ``scorer`` is a factory that loads a model once per Python worker and returns a
-    function Series -> Series; it sees whole texts in Arrow batches. A batch that
-    fails scores 0. Without one the lexicon is used.
+    function Series -> Series; it sees whole texts in Arrow batches. A text that it
+    fails on scores 0, others of its batch keep theirs; ``failed`` names a column that
+    tells which. Without a scorer the lexicon is used.
     """
     if scorer is None:
-        return df.withColumn(out, lexicon_score(text))
+        scored = df.withColumn(out, lexicon_score(text))
+        return scored.withColumn(failed, F.lit(False)) if failed else scored
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = scorer()
         for batch in batches:
-            try:
-                yield pd.Series(model(batch.fillna(""))).astype(float).clip(-1.0, 1.0)
-            except Exception:  # noqa: BLE001 - a failed batch counts as neutral
-                yield pd.Series(0.0, index=batch.index)
+            yield _scores(model, batch.fillna("")).clip(-1.0, 1.0)
 
-    return df.withColumn(out, score(F.col(text)))
+    raw = f"_{out}_raw"
+    scored = df.withColumn(raw, F.nanvl(score(F.col(text)), F.lit(None).cast("double")))
+    if failed:
+        scored = scored.withColumn(failed, F.col(raw).isNull())
+    return scored.withColumn(out, F.coalesce(raw, F.lit(0.0))).drop(raw)
 
 
 def embed(

@@ -12,7 +12,7 @@ from ..functions.bins import nan_to_null, severity_bin
 from ..functions.text import clean_text, extract_cves
 from ..operators.emerging import emerging, with_isolation_flag, with_keyword_and_spike
 from ..operators.labels import binarise, seed_labels
-from ..operators.linking import article_cve_edges, combine, dedupe_latest, doc_key, link
+from ..operators.linking import article_cve_edges, combine, dedupe_latest, doc_key, link_chunks, with_link_counts
 from ..operators.sentiment import Scorer, sentiment
 from ..operators.urgency import assess_urgency
 from ..session import stored
@@ -45,17 +45,24 @@ def prepare_articles(articles: DataFrame, scorer: Callable[[], Scorer] | None =
 def build_master(
     nvd: DataFrame, articles: DataFrame, scorer: Callable[[], Scorer] | None = None, **clean: bool
 ) -> DataFrame:
-    """The wide table of CVEs and articles with links, keyed by ``doc_key``.
+    """The wide table of CVEs and articles, keyed by ``doc_key``; `build_links` has the lists of links.
 
-    The cleaned articles are stored, as both the links and the table read them.
+    The cleaned articles are stored, as both the link counts and the table read them.
     """
     cves = prepare_nvd(nvd, scorer, **clean)
     news = stored(prepare_articles(articles, scorer, **clean), "articles")
     edges = article_cve_edges(news, cves="all_cves", text=None)
-    master = combine(link(cves, edges), news)
+    master = combine(with_link_counts(cves, edges), news)
     return master.withColumn("doc_key", doc_key())
 
 
+def build_links(master: DataFrame) -> DataFrame:
+    """(doc_key, part, linked_articles): every article linked to a CVE of the master, in lists of bounded size."""
+    edges = article_cve_edges(master.filter("url IS NOT NULL"), cves="all_cves", text=None)
+    links = link_chunks(edges).join(master.filter("cve_id IS NOT NULL").select("cve_id"), "cve_id", "left_semi")
+    return links.withColumnRenamed("cve_id", "doc_key")
+
+
 def assess(master: DataFrame, as_of: str | dt.date | Column, **options: object) -> DataFrame:
     """Master plus ``urgency_score`` and ``urgency_level``."""
     return assess_urgency(master, as_of, **options)
