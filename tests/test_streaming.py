@@ -18,36 +18,33 @@ def _land(spark, path, rows):
 
 def test_upsert_over_runs(spark, tmp_path):
     src, state = str(tmp_path / "in"), str(tmp_path / "state")
-    table = sf.VersionedTable(spark, str(tmp_path / "t"))
+    log = sf.BatchLog(spark, str(tmp_path / "t"))
+    assert log.newest(["cve_id"], "last_modified") is None
 
     def land(*rows):
         _land(spark, src, list(rows))
-        sf.stream_upsert(sf.stream_feed(spark, src, SCHEMA), table, state, whole_every=3).awaitTermination()
-        return {(r["cve_id"], r["v"]) for r in table.current("cve_id", "last_modified").collect()}
+        sf.stream_upsert(sf.stream_feed(spark, src, SCHEMA), log, state).awaitTermination()
+        return {(r["cve_id"], r["v"]) for r in log.newest(["cve_id"], "last_modified").collect()}
 
     assert land(("A", _day(1), "a"), ("A", _day(2), "b"), ("B", _day(1), "x")) == {("A", "b"), ("B", "x")}
     assert land(("A", _day(1), "late"), ("B", _day(5), "y"), ("C", _day(1), "z")) == {("A", "b"), ("B", "y"), ("C", "z")}
-    assert land(("C", _day(2), "zz")) == {("A", "b"), ("B", "y"), ("C", "zz")}
-    assert table.versions() == [0]
-    assert land(("A", _day(9), "new")) == {("A", "new"), ("B", "y"), ("C", "zz")}
-    assert table.versions() == [0, 3] and table.additions() is None
-    assert table.read().count() == 3
+    assert land(("C", _day(2), "zz"), ("B", _day(5), "tie")) == {("A", "b"), ("B", "y"), ("C", "zz")}
+    moved = log.compacted(str(tmp_path / "u"), ["cve_id"], "last_modified")
+    assert moved.read().count() == 3 and sorted(moved.newest(["cve_id"], "last_modified").collect()) == sorted(log.newest(["cve_id"], "last_modified").collect())
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    table = sf.VersionedTable(spark, str(tmp_path / "t"))
+    log = sf.BatchLog(spark, str(tmp_path / "t"))
     for _ in range(2):
-        base = table.read(before=1)
-        assert base is None
-        table.write(spark.createDataFrame([("A", _day(1), "a")], SCHEMA), 1)
-    assert table.versions() == [1] and table.read().count() == 1
+        log.write(spark.createDataFrame([("A", _day(1), "a")], SCHEMA), 1)
+    assert log.read().count() == 1
 
 
-def test_unfinished_version_is_not_read(spark, tmp_path):
-    table = sf.VersionedTable(spark, str(tmp_path / "t"))
-    table.write(spark.createDataFrame([("A", _day(1), "a")], SCHEMA), 0)
-    (tmp_path / "t" / "v=1").mkdir()
-    assert table.versions() == [0]
+def test_counts_of_later_batches_replace_earlier_ones(spark, tmp_path):
+    log = sf.BatchLog(spark, str(tmp_path / "t"))
+    log.write(spark.createDataFrame([("a", 1), ("b", 5)], "day string, x long"), 0)
+    log.write(spark.createDataFrame([("a", 3)], "day string, x long"), 1)
+    assert sorted(tuple(r) for r in log.newest(["day"]).collect()) == [("a", 3), ("b", 5)]
 
 
 def test_daily_counts_equal_batch(spark, sf_dir):

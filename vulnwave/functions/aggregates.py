@@ -131,5 +131,8 @@ def exact_quantiles(
     return out.select(
         *[F.col(k).alias(g) for k, g in zip(keys, groups)],
         F.col("p").alias("prob"),
-        (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("quantile"),
+        F.coalesce(
+            F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a")),
+            F.raise_error(F.lit("a quantile lies outside the bracket of its sketch")).cast("double"),
+        ).alias("quantile"),
     )

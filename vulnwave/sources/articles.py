@@ -12,8 +12,34 @@ from ..functions.text import decode_entities, extract_cves, squeeze
 
 # Tags whose content is not a direct text node of its paragraph.
 _INLINE = "a|abbr|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
-DEFAULT_CONTAINER = r"""<div\b[^>]*class=["'][^"']*\barticlebody\b[^"']*["'][^>]*>(.*)</div>"""
-ARTICLE_CONTAINER = r"<article\b[^>]*>(.*?)</article>"
+# Containers: the element's name and the pattern of its start tag.
+DEFAULT_CONTAINER = ("div", r"""<div\b[^>]*\bclass=["'][^"'>]*\barticlebody\b[^"'>]*["'][^>]*>""")
+ARTICLE_CONTAINER = ("article", r"<article\b[^>]*>")
+TAGS_CONTAINER = ("span", r"""<span\b[^>]*\bclass=["'][^"'>]*\bcateg\b[^"'>]*["'][^>]*>""")
+
+
+def element_content(html: Column, element: tuple[str, str]) -> Column:
+    """Content of the first element with that start tag, up to the end tag that closes it.
+
+    The rest of the page is cut before each start and end tag of the name; the running
+    depth over the pieces tells which end tag is the element's own. One that is
+    never closed holds the rest of the page.
+    """
+    name, start = element
+    rest = F.regexp_extract(html, f"(?is){start}(.*)", 1)
+    pieces = F.split(rest, rf"(?i)(?=</?{name}[\s>])")
+    opened = F.lit(rf"(?i)^<{name}[\s>]")
+    closed = F.lit(rf"(?i)^</{name}[\s>]")
+    first = lambda depth, seen, end: F.struct(depth.alias("depth"), seen.alias("seen"), end.alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        move = F.when(F.regexp(piece, closed), -1).when(F.regexp(piece, opened), 1).otherwise(0)
+        depth = state["depth"] + move
+        end = F.coalesce(state["end"], F.when(depth < 0, state["seen"]))
+        return first(depth, state["seen"] + 1, end)
+
+    found = F.aggregate(pieces, first(F.lit(0), F.lit(0), F.lit(None).cast("int")), step)["end"]
+    return F.array_join(F.slice(pieces, F.lit(1), F.coalesce(found, F.size(pieces))), "")
 
 
 def as_date(value: str | dt.date | Column) -> Column:
@@ -28,12 +54,12 @@ def page_title(html: Column) -> Column:
     return F.trim(F.get(F.split(squeeze(decode_entities(raw)), "–"), F.lit(0)))
 
 
-def page_body(html: Column, container: str = DEFAULT_CONTAINER) -> Column:
+def page_body(html: Column, container: tuple[str, str] = DEFAULT_CONTAINER) -> Column:
     """Direct text of the paragraphs inside the container, joined by blanks.
 
     Text inside nested tags (links, bold) is not part of the body.
     """
-    region = F.regexp_extract(html, f"(?is){container}", 1)
+    region = element_content(html, container)
 
     def paragraph(p: Column) -> Column:
         inner = F.get(F.split(p, r"(?i)</p\s*>"), F.lit(0))
@@ -107,7 +133,7 @@ def product_mentions(text: Column) -> Column:
 
 def page_tags(html: Column) -> Column:
     """Labels of the page: text of spans inside links of the category span."""
-    block = F.regexp_extract(html, r"""(?is)<span\b[^>]*class=["'][^"']*\bcateg\b[^"']*["'][^>]*>(.*)</span>""", 1)
+    block = element_content(html, TAGS_CONTAINER)
     links = F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>\s*<span[^>]*>(.*?)</span>"), 1)
     return F.filter(F.transform(links, lambda t: squeeze(decode_entities(t))), lambda t: t != "")
 
@@ -118,14 +144,17 @@ def parse_article(
     *,
     url: str = "url",
     html: str = "html",
-    container: str = DEFAULT_CONTAINER,
+    container: tuple[str, str] = DEFAULT_CONTAINER,
     ingest_ts: Column | None = None,
 ) -> DataFrame:
     """One article row per (url, html) page."""
     h = F.col(html)
-    meta = F.regexp_extract(
-        h, r"""(?is)<meta\b[^>]*property=["']article:published_time["'][^>]*content=["']([^"']*)["']""", 1
+    # the tag first, then its attributes, in whatever order they stand
+    published = F.filter(
+        F.regexp_extract_all(h, F.lit(r"(?is)<meta\b[^>]*>"), 0),
+        lambda m: m.rlike(r"""(?is)\bproperty=["']article:published_time["']"""),
     )
+    meta = F.regexp_extract(F.coalesce(F.get(published, F.lit(0)), F.lit("")), r"""(?is)\bcontent=["']([^"']*)["']""", 1)
     full_text = all_text(h)
     return pages.select(
         F.lit(fixed.SOURCE_NEWS).alias("source"),

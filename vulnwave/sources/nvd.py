@@ -31,6 +31,12 @@ def cvss_pick(metrics: Column) -> Column:
     return F.coalesce(*with_score, *reversed(without), unknown)
 
 
+def title_case(name: Column) -> Column:
+    """Underscores as blanks; each run of letters with a capital first, also after digits and signs."""
+    runs = F.regexp_extract_all(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def cpe_products(configurations: Column) -> Column:
     """Sorted distinct readable names of the vulnerable CPE matches."""
     nodes = F.flatten(F.transform(F.filter(configurations, lambda c: c["nodes"].isNotNull()), lambda c: c["nodes"]))
@@ -39,17 +45,16 @@ def cpe_products(configurations: Column) -> Column:
     def name(m: Column) -> Column:
         parts = F.split(m["criteria"], ":")
         vendor, product, version = (F.get(parts, F.lit(i)) for i in (3, 4, 5))
-        title = lambda x: F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))
         with_version = (
-            F.when(version.isin("*", "-"), title(product))
+            F.when(version.isin("*", "-"), title_case(product))
             .when(
                 m["versionEndIncluding"].isNotNull(),
-                F.concat(title(product), F.lit(" (up to "), m["versionEndIncluding"], F.lit(")")),
+                F.concat(title_case(product), F.lit(" (up to "), m["versionEndIncluding"], F.lit(")")),
             )
-            .otherwise(F.concat_ws(" ", title(product), version))
+            .otherwise(F.concat_ws(" ", title_case(product), version))
         )
         redundant = F.contains(F.lower(product), vendor) | (vendor == "*")
-        full = F.when(redundant, with_version).otherwise(F.concat_ws(" ", title(vendor), with_version))
+        full = F.when(redundant, with_version).otherwise(F.concat_ws(" ", title_case(vendor), with_version))
         return F.when(F.size(parts) > 5, full)
 
     names = F.transform(F.filter(matches, lambda m: m["vulnerable"]), name)

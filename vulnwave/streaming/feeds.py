@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..functions.aggregates import latest
 from ..operators.emerging import daily_counts, spike_days
-from ..operators.linking import dedupe_latest, upsert
+from ..operators.linking import dedupe_latest
 from ..sources.feeds import with_source
 
 
@@ -30,85 +32,59 @@ def stream_feed(
     return with_source(rows) if "source" in rows.columns else rows
 
 
-class VersionedTable:
-    """A Parquet table kept in numbered folders: whole versions ``v=N``, additions ``d=N``.
+class BatchLog:
+    """Rows by micro-batch: a Parquet dataset partitioned by ``batch``, the number of the batch that wrote them.
 
-    A batch writes the folder of its own number, whole, and Spark's marker file ends the
-    write; readers only take marked folders. A batch that runs again after a failure
-    writes the same folder again from what lies before it, so a retry changes nothing.
+    A batch only writes its own folder, and writes it anew when it runs again after a
+    failure, so a retry changes nothing and stored rows are never rewritten. What
+    the log says is settled when it is read: see `newest` and `spikes`.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _numbers(self, kind: str) -> list[int]:
-        root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(
-            int(n[2:]) for n in names
-            if n.startswith(f"{kind}=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))
-        )
-
-    def versions(self) -> list[int]:
-        """Numbers of the whole versions that were written completely."""
-        return self._numbers("v")
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """Latest whole version, or the latest below ``before``; None if there is none."""
-        found = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
-
-    def additions(self, before: int | None = None) -> DataFrame | None:
-        """Rows added after the latest whole version below ``before``; None if there are none."""
-        base = max((v for v in self.versions() if before is None or v < before), default=-1)
-        found = [n for n in self._numbers("d") if n > base and (before is None or n < before)]
-        return self.spark.read.parquet(*[f"{self.path}/d={n}" for n in found]) if found else None
-
-    def current(self, key: str, version: str, before: int | None = None) -> DataFrame | None:
-        """Newest row per key over the latest whole version and what was added since."""
-        base, added = self.read(before), self.additions(before)
-        if base is None or added is None:
-            return base if added is None else dedupe_latest(added, key, version)
-        return upsert(base, added, key, version)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-    def add(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/d={version}")
-
-
-def _run(stream: DataFrame, handler, checkpoint: str, interval: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self) -> DataFrame | None:
+        """All rows with their ``batch``; None before the first batch."""
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def newest(self, keys: Sequence[str], version: str | None = None) -> DataFrame | None:
+        """Newest row per key: by ``version`` (of equals the first that came), or by batch without one."""
+        rows = self.read()
+        if rows is None:
+            return None
+        order = [F.col(version), -F.col("batch")] if version else [F.col("batch")]
+        return latest(rows, list(keys), order).drop("batch")
+
+    def compacted(self, path: str, keys: Sequence[str], version: str | None = None) -> BatchLog:
+        """A log at ``path`` that begins with the newest rows of this one, for the stream to go on with."""
+        new = BatchLog(self.spark, path)
+        rows = self.newest(keys, version)
+        if rows is not None:
+            new.write(rows, -1)
+        return new
+
+
+def _run(stream: DataFrame, handler, checkpoint: str, interval: str | None, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handler).option("checkpointLocation", checkpoint)
     # With no interval the stream takes what is there and stops.
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
 def stream_upsert(
-    stream: DataFrame, table: VersionedTable, checkpoint: str, *, key: str = "cve_id",
-    version: str = "last_modified", whole_every: int = 20, interval: str | None = None,
+    stream: DataFrame, log: BatchLog, checkpoint: str, *, key: str = "cve_id", version: str = "last_modified",
+    interval: str | None = None,
 ) -> StreamingQuery:
-    """Keep the newest record per key in a versioned table; read it with ``current``.
-
-    A batch only adds its own newest rows. The large table is rewritten whole at the
-    first batch and then at every ``whole_every``-th.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = dedupe_latest(batch, key, version)
-        if batch_id % whole_every:
-            table.add(newest, batch_id)
-            return
-        existing = table.current(key, version, before=batch_id)
-        table.write(newest if existing is None else upsert(existing, newest, key, version), batch_id)
-
-    return _run(stream, apply, checkpoint, interval)
+    """Log the newest record per key of each batch; read the table with ``log.newest([key], version)``."""
+    return _run(stream, lambda batch, n: log.write(dedupe_latest(batch, key, version), n), checkpoint, interval)
 
 
 def stream_dedupe(stream: DataFrame, key: str = "url", ts: str = "ingest_ts_thn", delay: str = "30 days") -> DataFrame:
@@ -140,36 +116,22 @@ def stream_daily_counts(stream: DataFrame, ts: str, keys: Sequence[str], delay:
     return windowed_daily_counts(_on_instant(stream, ts).withWatermark(ts, delay), ts, keys)
 
 
-def write_counts(counts: DataFrame, table: VersionedTable, checkpoint: str, *, keys: Sequence[str], interval: str | None = None) -> StreamingQuery:
-    """Keep the latest count per day and key in a versioned table."""
-    day_keys = ["day", *keys]
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        existing = table.read(before=batch_id)
-        if existing is not None:
-            batch = batch.unionByName(existing.join(batch.select(*day_keys), day_keys, "left_anti"))
-        table.write(batch, batch_id)
-
-    writer = counts.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+def write_counts(counts: DataFrame, log: BatchLog, checkpoint: str, *, interval: str | None = None) -> StreamingQuery:
+    """Log the counts that a batch changed; read them with ``log.newest(["day", *keys])``."""
+    return _run(counts, log.write, checkpoint, interval, mode="update")
 
 
 def stream_spikes(
-    stream: DataFrame, daily: VersionedTable, spikes: VersionedTable, checkpoint: str, *,
-    date: str = "published_date", keys: Sequence[str] = (), interval: str | None = None, **rule: object,
+    stream: DataFrame, log: BatchLog, checkpoint: str, *, date: str = "published_date", keys: Sequence[str] = (),
+    interval: str | None = None,
 ) -> StreamingQuery:
-    """Add each batch to the daily table and find spike days on it anew.
-
-    The trailing window reaches back over days of earlier batches, so it runs on the
-    daily table, which stays small, and not inside the stream.
-    """
+    """Log the daily counts of each batch; `spikes` finds the spike days in them."""
+    return _run(stream, lambda batch, n: log.write(daily_counts(batch, date, keys), n), checkpoint, interval)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        fresh = daily_counts(batch, date, keys)
-        existing = daily.read(before=batch_id)
-        both = fresh if existing is None else existing.unionByName(fresh)
-        daily.write(both.groupBy(*keys, "day").agg(F.sum("x").alias("x")), batch_id)
-        spikes.write(spike_days(daily.read(), keys=keys, **rule), batch_id)
 
-    return _run(stream, apply, checkpoint, interval)
+def spikes(log: BatchLog, keys: Sequence[str] = (), **rule: object) -> DataFrame | None:
+    """Spike days over all batches so far: the trailing window reaches back over days of earlier ones."""
+    rows = log.read()
+    if rows is None:
+        return None
+    return spike_days(rows.groupBy(*keys, "day").agg(F.sum("x").alias("x")), keys=keys, **rule)
