@@ -70,5 +70,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     out = bpe.encode(docs, PATH, P.PATTERN).collect()
     assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in out) == [(0, 0), (1, 0), (1, 2), (1, 2)]
+    back = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH).collect()
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in back)
+    assert bpe.decode(docs.selectExpr("cast(null as array<int>) ids"), PATH).first()["decoded"] == b""
     assert bpe.digests(docs, PATH, P.PATTERN).count() == 4
     assert bpe.digests(docs.limit(0), PATH, P.PATTERN).count() == 0

@@ -124,7 +124,7 @@ def test_depths_over_ranges():
         for k in range(len(splitters) + 1):
             blobs, before, after = parts[k]
             got += zip(*suffixes.merge_range(blobs, splitters[k - 1] if k else None, splitters[k] if k < len(splitters) else None, before, after, 1))
-        assert [x for x, _ in got] == everything
-        for i, (x, depths) in enumerate(got):
+        assert [x for x, _ in got] == [x[1:] for x in everything]
+        for i, (x, (_, depths)) in enumerate(zip(everything, got)):
             others = {len(os.path.commonprefix([x[0], y[0]])) for j, y in enumerate(everything) if j != i}
-            assert set(depths) == {d for d in others if d >= 1}
+            assert suffixes.unpack(depths) == sorted(d for d in others if d >= 1)

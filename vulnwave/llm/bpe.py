@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 
 PIECE_BYTES = 4_000_000
 # Words kept encoded in a worker between pieces; the table is emptied when it holds more.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 # Words of one text held at a time.
 WINDOW_WORDS = 400_000
 
@@ -59,7 +59,7 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word. A word that is a token itself is that token."""
-        if len(self.joined) > 1_000_000:
+        if len(self.joined) > 300_000:
             self.joined.clear()
         out: list[list[int] | None] = []
         token: list[int] = []
@@ -203,41 +203,44 @@ def _encoded(texts: list[str | None], replay: MergeReplay, pattern: regex.Patter
     return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), ends
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` with the token ids of ``text`` in ``ids`` (replaced if it is there already).
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with the token ids of ``text`` in ``ids`` and, if a name is given, the bytes that these ids decode to
+    in ``decoded`` (columns of these names are replaced).
 
     ``path``: a rank file (base64 token and rank a line) that every executor has.
     """
-    kept = docs.drop(ids)
-    schema = T.StructType(kept.schema.fields + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kept = small_batches(docs).drop(ids, *([decoded] if decoded else []))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, compiled, known = _ready(path, pattern)
         for piece in slices(batches, text, PIECE_BYTES):
             flat, ends = _encoded(piece.column(text).to_pylist(), replay, compiled, known)
             lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*piece.columns, lists], names=[*piece.schema.names, ids])
+            new = [lists, _decoded(lists, replay.tokens)] if decoded else [lists]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *[f.name for f in added]])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields + added))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns with the bytes of the tokens in ``out`` (replaced if it is there already); null ids: none."""
-    kept = encoded.drop(out)
+    kept = small_batches(encoded).drop(out)
     schema = T.StructType(kept.schema.fields + [T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = load_ranks(path)
-        of = [b""] * (max(tokens.values(), default=-1) + 1)
-        for token, rank in tokens.items():
-            of[rank] = token
+        tokens = {rank: token for token, rank in load_ranks(path).items()}
         for batch in batches:
-            texts = [b"".join(map(of.__getitem__, row or ())) for row in _rows(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(ids), tokens)], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
 
 
+def _decoded(lists: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:
+    """The bytes of each list of ids."""
+    return pa.array([b"".join(map(tokens.__getitem__, row)) for row in _rows(lists)], pa.binary())
+
+
 def _rows(lists: pa.ListArray) -> Iterator[list[int]]:
     """The lists one at a time, so that the ids of a batch aren't all Python objects at once."""
     for k in range(len(lists)):
@@ -248,7 +251,7 @@ def _rows(lists: pa.ListArray) -> Iterator[list[int]]:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(rows, path, pattern).drop("text"), path)
+    back = encode(rows, path, pattern, decoded="decoded").drop("text")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 
 UNKNOWN = "und"
 BLOCK = 512
@@ -205,7 +205,7 @@ def fit(
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1) and phrase_chars (replaced if they are there already)."""
-    kept = docs.drop("lang_pred", "score", "phrase_chars")
+    kept = small_batches(docs).drop("lang_pred", "score", "phrase_chars")
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_chars", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
@@ -409,7 +409,7 @@ _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 def find(docs: DataFrame, field: SemiMarkovField, text: str = "text", out: str = "pii") -> DataFrame:
     """All columns of ``docs`` with the spans of ``text`` in ``out``, by kind and start (replaced if it is there already)."""
-    kept = docs.drop(out)
+    kept = small_batches(docs).drop(out)
     weights = field.weights
     order = {k: i for i, k in enumerate(KINDS)}
 
@@ -452,7 +452,7 @@ def redact(docs: DataFrame, field: SemiMarkovField, text: str = "text") -> DataF
             columns[at] = pa.array([clean(t, own) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

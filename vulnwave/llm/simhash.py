@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnwave.llm.components import components
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 from vulnwave.session import cut_lineage, stored
 
 BITS = 64
@@ -64,7 +64,7 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` with the fingerprint as a long (replaced if it is there already)."""
-    kept = docs.drop(out)
+    kept = small_batches(docs).drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, text, PIECE_BYTES):

@@ -29,6 +29,7 @@ id and text aren't looked at.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 from vulnwave.session import cut_lineage, stored
 
 LENGTH = 400
@@ -49,7 +50,7 @@ PIECE_BYTES = 1_000_000
 # Bytes of strings that a task sorts at once.
 RUN_BYTES = 24_000_000
 # Strings of a range, and most ranges there are.
-RANGE = 20_000
+RANGE = 10_000
 RANGES = 20_000
 SAMPLES_A_RANGE = 10
 KEY_BYTES = 8
@@ -266,35 +267,55 @@ class LoserTree:
             self.top = player
 
 
-def stack_depths(shared: list[int], before: list[int], floor: int) -> Iterator[list[int]]:
-    """For each of the strings in turn, the distinct minima of ``shared`` back from it, ascending. shared[i]: common prefix with
-    the string before; ``before``: the minima seen from the string before the first."""
-    stack = list(before)
+def stack_depths(shared: list[int], before: list[int], floor: int) -> Iterator[bytes]:
+    """For each of the strings in turn, the distinct minima of ``shared`` back from it, ascending and packed (two bytes each).
+    shared[i]: common prefix with the string before; ``before``: the minima seen from the string before the first."""
+    stack = array("H", before)
+    packed = stack.tobytes()
     for n in shared:
+        changed = False
         while stack and stack[-1] > n:
             stack.pop()
+            changed = True
         if n >= floor and (not stack or stack[-1] < n):
             stack.append(n)
-        yield stack
+            changed = True
+        if changed:
+            packed = stack.tobytes()
+        yield packed
+
+
+def unpack(depths: bytes) -> list[int]:
+    return array("H", depths).tolist()
 
 
 def merge_range(
     blobs: list[bytes], low: Item | None, high: Item | None, before: set[int], after: set[int], floor: int
-) -> tuple[list[Item], list[list[int]]]:
-    """Items of a range in order, and the distinct common prefixes (of ``floor`` at least) of each with all others."""
-    items, shared = [], []
-    for item, n in LoserTree([front_decode(b) for b in blobs]):
-        items.append(item)
+) -> tuple[list[tuple[int, int]], list[bytes]]:
+    """Document and place of the items of a range in order, and the distinct common prefixes (of ``floor`` at least) of each with
+    all others, packed. The strings themselves aren't kept once they have left the tree."""
+    places, shared = [], []
+    first = last = b""
+    for (string, doc, place), n in LoserTree([front_decode(b) for b in blobs]):
+        if not places:
+            first = string
+        last = string
+        places.append((doc, place))
         shared.append(n)
-    if not items:
+    if not places:
         return [], []
-    shared[0] = common(low[0], items[0][0]) if low else 0
-    left = [s[:] for s in stack_depths(shared, sorted(before), floor)]
-    back = [common(high[0], items[-1][0]) if high else 0, *shared[:0:-1]]
-    depths = []
-    for mine, theirs in zip(reversed(left), stack_depths(back, sorted(after), floor)):
-        depths.append(sorted({*mine, *theirs}) if mine and theirs and mine != theirs else (mine or theirs)[:])
-    return items, depths[::-1]
+    if low:  # what lies before the range is seen through the splitter
+        before = {min(d, common(low[0], first)) for d in before}
+    shared[0] = max(before, default=0)
+    left = list(stack_depths(shared, sorted(before), floor))
+    back = [common(high[0], last) if high else 0, *shared[:0:-1]]
+    for i, theirs in zip(range(len(left) - 1, -1, -1), stack_depths(back, sorted(after), floor)):
+        mine = left[i]
+        if not mine:
+            left[i] = theirs
+        elif theirs and mine != theirs:
+            left[i] = array("H", sorted({*unpack(mine), *unpack(theirs)})).tobytes()
+    return places, left
 
 
 # ---- the operator
@@ -309,12 +330,12 @@ def _strings(data: bytes, places: list[int], doc: int, side: int, length: int, g
             yield xxhash.xxh3_64_digest(data[a : a + gram]) + data[max(0, a - (length - gram)) : a][::-1], doc, a
 
 
-def candidate_starts(places: list[int], after: dict[int, list[int]], before: dict[int, list[int]], n: int, length: int) -> set[int]:
-    """Starts of the strings that could be the first or the last repeated one around an anchor."""
+def candidate_starts(after: dict[int, list[int]], before: dict[int, list[int]], n: int, length: int) -> list[int]:
+    """Starts of the strings that could be the first or the last repeated one around an anchor (place -> depths on either side)."""
     out = set()
-    for a in places:
-        right, left = after.get(a), before.get(a)
-        if not right or left is None:
+    for a, right in after.items():
+        left = before.get(a)
+        if left is None:
             continue
         far, near = right[-1], left[-1] if left else 0
         if far + near < length:
@@ -325,7 +346,7 @@ def candidate_starts(places: list[int], after: dict[int, list[int]], before: dic
         for r in right:
             if 0 <= length - r <= near:
                 out.add(a - (length - r))
-    return {p for p in out if 0 <= p <= n - length}
+    return sorted(p for p in out if 0 <= p <= n - length)
 
 
 def spans_of(starts: list[int], length: int) -> list[tuple[int, int]]:
@@ -429,29 +450,36 @@ def repeated_starts(rows: DataFrame, places: DataFrame, length: int = LENGTH, gr
         items, depths = merge_range(
             [b for b in frame["blob"] if b is not None], own[part - 1] if part else None, own[part] if part < len(own) else None, before, after, floor
         )
-        less = KEY_BYTES if side else 0
         return pd.DataFrame({
-            "row": np.array([i[1] for i in items], np.int64), "side": np.full(len(items), side, np.int32), "place": np.array([i[2] for i in items], np.int64),
-            "depths": [[d - less for d in x] for x in depths],
+            "row": np.array([i[0] for i in items], np.int64), "side": np.full(len(items), side, np.int32),
+            "place": np.array([i[1] for i in items], np.int64), "depths": depths,
         })
 
     pieces = texts.mapInArrow(runs, "side int, part int, blob binary, lower array<int>, upper array<int>")
-    depths = pieces.groupBy("side", "part").applyInPandas(merged, "row long, side int, place long, depths array<int>")
-    by_row = depths.where(F.size("depths") > 0).groupBy("row").agg(F.collect_list(F.struct("side", "place", "depths")).alias("found"))
+    depths = pieces.groupBy("side", "part").applyInPandas(merged, "row long, side int, place long, depths binary")
+    by_row = depths.where(F.octet_length("depths") > 0).groupBy("row").agg(F.collect_list(F.struct("side", "place", "depths")).alias("found"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
             for row, text, found in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("found")):
                 data = text.as_py().encode()
+                parts = found.values.flatten()
                 sides: tuple[dict, dict] = ({}, {})
-                for f in found.as_py():
-                    sides[f["side"]][f["place"]] = f["depths"]
-                starts = sorted(candidate_starts(sorted(sides[0]), sides[0], sides[1], len(data), length))
-                if starts:
-                    hashes = [xxhash.xxh3_128_digest(data[p : p + length]) for p in starts]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(hashes, pa.binary())], names=["row", "start", "hash"]
-                    )
+                for side, place, packed in zip(*(p.to_pylist() for p in parts)):
+                    sides[side][place] = unpack(packed) if side == 0 else [d - KEY_BYTES for d in unpack(packed)]
+                starts = candidate_starts(sides[0], sides[1], len(data), length)
+                out[0].extend([row] * len(starts))
+                out[1].extend(starts)
+                out[2].extend(xxhash.xxh3_128_digest(data[p : p + length]) for p in starts)
+                if len(out[0]) > 50_000:
+                    yield _strings_batch(out)
+                    out = ([], [], [])
+            if out[0]:
+                yield _strings_batch(out)
+
+    def _strings_batch(out: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["row", "start", "hash"])
 
     strings = stored(texts.select("row", "text").join(by_row, "row").mapInArrow(windows, "row long, start long, hash binary"), "strings")
     twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -460,7 +488,7 @@ def repeated_starts(rows: DataFrame, places: DataFrame, length: int = LENGTH, gr
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """key, n_bytes, spans (array of start, end in bytes: the maximal removed runs), kept_sha256 of every document."""
-    rows = _keyed(docs, key, text)
+    rows = _keyed(small_batches(docs), key, text)
     found = stored(_with_anchors(rows, length, gram), "anchors")
     same = cut_lineage(found.groupBy("sha").agg(F.min("row").alias("first"), F.count("*").alias("copies")))
     single = found.join(same.select("first"), found["row"] == F.col("first")).select("row", F.explode(F.arrays_zip("places", "keys")).alias("a"))

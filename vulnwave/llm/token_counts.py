@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnwave.llm.bpe import load_ranks
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 
 PIECE_BYTES = 4_000_000
 RULES = ("start", "end", "most", "share")
@@ -93,7 +93,7 @@ def sections(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text
     """key, section (from 0), start, end (characters), n_tokens, n_crossing (tokens that come in over its first boundary)."""
     if rule not in RULES:
         raise ValueError(f"no rule {rule}")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     names = ["section", "start", "end", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def fields(rows: DataFrame, columns: list[str], path: str, pattern: str, rule: s
     """All columns of ``rows`` with <column>_tokens of each of the text columns, encoded as one text joined by line breaks."""
     joined, bounds = "__joined", "__bounds"
     text = [F.coalesce(F.col(c), F.lit("")) for c in columns]
-    ready = rows.withColumn(joined, F.concat_ws("\n", *text)).withColumn(bounds, F.array(*[F.octet_length(t).cast("long") for t in text]))
+    ready = small_batches(rows).withColumn(joined, F.concat_ws("\n", *text)).withColumn(bounds, F.array(*[F.octet_length(t).cast("long") for t in text]))
     added = [f"{c}_tokens" for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

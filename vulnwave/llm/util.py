@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows of an Arrow batch.
+BATCH_ROWS = 500
 # Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -18,17 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to ``BATCH_ROWS`` rows: a batch of whole texts is held outside the heap,
+    twice in the executor and once in the Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def whole_text(name: str) -> Column:
     """The text, an empty one for null."""
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def with_arrays(batch: pa.RecordBatch, schema: pa.Schema, **arrays: pa.Array) -> pa.RecordBatch:
-    """The batch in ``schema``: columns named in ``arrays`` from there, the others passed through."""
-    columns = [arrays[f.name] if f.name in arrays else batch.column(f.name).cast(f.type) for f in schema]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of a piece hold about ``size`` bytes; a longer text stands alone."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnwave.llm.util import slices
+from vulnwave.llm.util import slices, small_batches
 from vulnwave.session import cut_lineage, scratch_path
 
 PIECE = 1 << 16
@@ -125,7 +125,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield _listed(folder, name, n)
 
-    return with_firsts(pages).mapInArrow(run, "path string, records long")
+    return with_firsts(small_batches(pages)).mapInArrow(run, "path string, records long")
 
 
 def _listed(folder: str, name: str, records: int) -> pa.RecordBatch:
