@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.draws import draw_sql
 from ..operators import classify, clustering, emerging, evaluation
 from ..operators.isolation import IsolationForest
 from ..plans import assess as plan
@@ -32,19 +33,18 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 def isolation_flag_text(spark: SparkSession, d: str) -> DataFrame:
     """Scores and flags of all documents, from projected TF-IDF vectors."""
     docs = t.documents(spark, d).select("doc_id", F.col("text").alias("clean_text"))
-    flagged = emerging.with_isolation_flag(docs, "doc_id", trees=50)
+    flagged = emerging.with_isolation_flag(docs, "doc_id")
     return flagged.select("doc_id", "anomaly_score", "if_flag")
 
 
 @query()
 def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
     """All stages from raw rows: master, urgency, flags."""
-    news = t.documents(spark, d).select(
-        F.lit(fixed.SOURCE_NEWS).alias("source"), "text", F.lit(t.AS_OF).cast("date").alias("published_date"),
-        F.concat(F.lit("https://news.example/"), "doc_id").alias("url"), F.array().cast("array<string>").alias("cves"),
-    )
+    tagged = t.edges(spark, d).groupBy("url").agg(F.collect_set("cve_id").alias("cves"))
+    news = t.articles(spark, d).select("source", "text", "published_date", "url").join(tagged, "url", "left")
+    news = news.withColumn("source", F.lit(fixed.SOURCE_NEWS))
     master = plan.build_master(t.vuln(spark, d, spread=True).drop("sentiment"), news)
-    found = plan.detect(plan.assess(master, t.AS_OF), trees=50, components=64, max_features=1000)
+    found = plan.detect(plan.assess(master, t.AS_OF))
     return found.select(
         "doc_key", "source", "urgency_score", "urgency_level", "zero_day_flag", "spike_flag", "if_flag", "emerging"
     )
@@ -56,11 +56,12 @@ _SMALL = {"trees": 10, "max_depth": 8}
 
 def _features(spark: SparkSession, d: str) -> tuple[classify.FeatureModel, DataFrame]:
     rows = t.labelled(spark, d).select(
-        "cve_id", "clean_text", "sentiment", "cvss_score", "n_articles", *[f"label_{c}" for c in fixed.CATEGORIES],
-        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.sin(F.col("k") + i).cast("float")).alias("embedding"),
+        "k", "cve_id", "clean_text", "sentiment", "cvss_score", "n_articles", *[f"label_{c}" for c in fixed.CATEGORIES]
     )
+    vectors = t.read(spark, d, "embeddings").select("vec_id", "embedding")
+    rows = rows.withColumn("vec_id", F.col("k") % F.lit(vectors.count())).join(vectors, "vec_id").drop("k", "vec_id")
     rows = cut_lineage(rows)
-    return classify.FeatureModel.fit(rows, embedding="embedding", max_features=500), rows
+    return classify.FeatureModel.fit(rows, embedding="embedding"), rows
 
 
 @query()
@@ -74,7 +75,9 @@ def assemble_features(spark: SparkSession, d: str) -> DataFrame:
     return ready.select("cve_id", F.size(values).alias("size"), F.size(F.filter(values, lambda x: x != 0)).alias("filled"))
 
 
-@query()
+@query(
+    t.with_views("vuln", f"SELECT cve_id, CASE WHEN {draw_sql(42, 'cve_id')} >= 0.2 THEN 'train' ELSE 'test' END AS part FROM vuln")
+)
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     train, test = classify.hash_split(t.vuln(spark, d).select("cve_id"), "cve_id")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -196,11 +199,14 @@ def project_2d(spark: SparkSession, d: str) -> DataFrame:
     return clustering.project_2d(t.read(spark, d, "embeddings")).select("vec_id", "label", "x", "y")
 
 
-@query()
+@query(f"SELECT doc_id, lang FROM documents ORDER BY {draw_sql(42, 'doc_id')}, doc_id LIMIT 50")
 def sample(spark: SparkSession, d: str) -> DataFrame:
     return clustering.sample(t.documents(spark, d), "doc_id", 50).select("doc_id", "lang")
 
 
-@query()
+@query(
+    f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source
+        ORDER BY {draw_sql(42, 'doc_id')}, doc_id) AS nth FROM documents) WHERE nth <= 5"""
+)
 def sample_per_source(spark: SparkSession, d: str) -> DataFrame:
     return clustering.sample(t.documents(spark, d), "doc_id", 5, by=["source"]).select("doc_id", "source")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..functions.draws import draw_sql
 from ..operators import clustering, sentiment, sweeps, tfidf
 from . import tables as t
 from .registry import query
@@ -242,12 +243,21 @@ def random_projection(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.random_projection(vectors, "tfidf", len(model.terms)).select("doc_id", "projected")
 
 
-@query()
+@query(
+    f"""WITH doc_terms AS ({_DOC_TERMS}), tc AS ({_TERM_COUNTS}),
+    v AS (SELECT * FROM tc WHERE doc_count >= 2 AND doc_count <= CAST(0.8 AS DOUBLE) * {_N} ORDER BY corpus_count DESC, term LIMIT 5000),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY 1, 2),
+    w AS (SELECT doc_id, term, tf * (ln((1 + {_N}) / (1 + doc_count)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term)),
+    l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id),
+    u AS (SELECT term, component, {draw_sql(42, 'term', 'component')} AS u FROM v, (SELECT unnest(range(256))::INTEGER AS component)),
+    s AS (SELECT term, component, CASE WHEN u < 0.5 / sqrt(5000) THEN 1 ELSE -1 END / sqrt(256 / sqrt(5000)) AS sign FROM u WHERE u < 1 / sqrt(5000))
+    SELECT doc_id AS doc_key, component, round(sum(w / l * sign), 6) AS value FROM w JOIN l USING (doc_id) JOIN s USING (term) GROUP BY 1, 2"""
+)
 def project_long(spark: SparkSession, d: str) -> DataFrame:
     docs = t.documents(spark, d)
     vocab = tfidf.vocabulary(docs, "text", min_df=2, max_df=0.8, max_features=5000)
     weights = tfidf.tfidf(docs, vocab, "doc_id", "text", max_features=5000)
-    return tfidf.project_long(weights, tfidf.projection_terms(vocab, 5000, 64))
+    return tfidf.project_long(weights, tfidf.projection_terms(vocab, 5000)).select("doc_key", "component", _r("value"))
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,16 +13,28 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..functions.vectors import cosine, dot, total, unit
+from ..session import checked_broadcast
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
-    """``n`` rows (per group of ``by``) with the lowest hash of key and seed."""
-    draw = F.xxhash64(F.col(key), F.lit(seed))
+    """``n`` rows (per group of ``by``) with the lowest draw of key and seed.
+
+    Per group, only rows whose draw lies below a bound that about four times ``n`` of
+    its rows pass are ranked, so a group holding a third of all rows makes no large task.
+    A group too small for that is ranked whole.
+    """
+    place = draw(seed, F.col(key))
     if not by:
-        return df.orderBy(draw, key).limit(n)
-    w = Window.partitionBy(*by).orderBy(draw, F.col(key))
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+        return df.orderBy(place, key).limit(n)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], (F.lit(4.0 * n + 40) / F.col("_size")).alias("_bound"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    near = df.withColumn("_draw", place).join(checked_broadcast(sizes), reduce(lambda x, y: x & y, same))
+    w = Window.partitionBy(*by).orderBy("_draw", F.col(key))
+    ranked = near.filter(F.col("_draw") < F.col("_bound")).withColumn("_rank", F.row_number().over(w))
+    return ranked.filter(F.col("_rank") <= n).select(*df.columns)
 
 
 def kmeans(df: DataFrame, vector: str = "embedding", k: int = 5, seed: int = 42, out: str = "cluster") -> DataFrame:

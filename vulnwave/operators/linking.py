@@ -116,18 +116,24 @@ def upsert(
     """New keys are added, newer versions replace, everything else stays.
 
     The existing row wins a tie, so a second run with the same batch changes nothing.
+    ``existing`` has one row per key, as this function leaves it. The batch is reduced to
+    its newest rows, and their keys are looked up in the existing table: for a batch
+    that can be broadcast the existing rows are neither shuffled nor sorted.
     """
-    both = existing.withColumn("_existing", F.lit(1)).unionByName(
-        batch.filter(F.col(key).isNotNull()).withColumn("_existing", F.lit(0)), allowMissingColumns=True
-    )
-    return latest(both, [key], _newest_first(both, key, version)).drop("_existing")
+    newest = dedupe_latest(batch, key, version)
+    keys = checked_broadcast(newest.select(F.col(key).alias("_key")))
+    known = existing.join(keys, F.col(key) == F.col("_key")).select("_key", F.col(version).alias("_old"))
+    newer = F.col("_key").isNull() | (F.col(version) > F.col("_old")) | (F.col("_old").isNull() & F.col(version).isNotNull())
+    winners = newest.join(known, F.col(key) == F.col("_key"), "left").filter(newer).select(*newest.columns)
+    replaced = checked_broadcast(winners.select(F.col(key).alias("_key")))
+    kept = existing.join(replaced, F.col(key) == F.col("_key"), "left_anti")
+    return kept.unionByName(winners, allowMissingColumns=True)
 
 
 def _newest_first(df: DataFrame, key: str, version: str) -> list[Column]:
     # NULL versions sort lowest; the hash makes the pick among equals repeatable.
-    rest = [F.col(c) for c in df.columns if c not in (key, "_existing")]
-    prior = [F.col("_existing")] if "_existing" in df.columns else []
-    return [F.col(version).isNotNull(), F.col(version), *prior, F.xxhash64(*rest)]
+    rest = [F.col(c) for c in df.columns if c != key]
+    return [F.col(version).isNotNull(), F.col(version), F.xxhash64(*rest)]
 
 
 def upsert_counts(

@@ -15,6 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..functions.text import squeeze, terms
 from ..session import BROADCAST_ROWS, checked_broadcast, cut_lineage
 
@@ -234,11 +235,11 @@ def random_projection(
 def projection_terms(vocab: DataFrame, n_features: int, k: int = 256, seed: int = 42) -> DataFrame:
     """(term, component, sign): the sparse sign table, drawn by hash of term and component."""
     density = 1.0 / float(np.sqrt(n_features))
-    draw = F.pmod(F.xxhash64("term", "component", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    place = draw(seed, F.col("term"), F.col("component"))
     value = 1.0 / float(np.sqrt(density * k))
     return (
         vocab.select("term", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("component"))
-        .withColumn("_u", draw)
+        .withColumn("_u", place)
         .filter(F.col("_u") < density)
         .select("term", "component", F.when(F.col("_u") < density / 2, value).otherwise(-value).alias("sign"))
     )

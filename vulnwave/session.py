@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a lookup side is broadcast by hint. Beyond it the join is left
+# Rows and bytes up to which a lookup side is broadcast by hint. Beyond it the join is left
 # to the optimizer (shuffle join, adaptive skew handling).
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = 8, app: str = "vulnwave", **conf: str) -> SparkSession:
@@ -71,9 +72,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if at most ``max_rows`` rows, else the table as it is.
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint if there are at most ``max_rows`` rows of ``max_bytes`` in all, else the table as it is.
 
-    The check reads no more than ``max_rows + 1`` rows.
+    The check reads no more than ``max_rows + 1`` rows; sizes are those of the rows as JSON.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(row).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= max_rows and (found["size"] or 0) <= max_bytes else df
