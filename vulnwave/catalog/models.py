@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.draws import draw_sql
 from ..operators import classify, clustering, emerging, evaluation
 from ..operators.isolation import IsolationForest
 from ..plans import assess as plan
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from . import tables as t
 from .registry import query
 
@@ -98,6 +100,25 @@ def threat_classifier(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("cve_id", *[f"{p}{c}" for c in fixed.CATEGORIES for p in ("prob_", "pred_")])
 
 
+@query(t.with_views("vuln", f"SELECT cve_id, true AS same FROM vuln WHERE {draw_sql(42, 'cve_id')} < 0.2"))
+def saved_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Features and forests saved and loaded again: new rows, from their texts on, score as before."""
+    features, rows = _features(spark, d)
+    train, test = classify.hash_split(rows, "cve_id")
+    fitted = classify.ThreatClassifier.fit(features.assemble(features.transform(train)), **_SMALL)
+    path = scratch_path(spark, "classifier")
+    features.save(f"{path}/features")
+    fitted.save(f"{path}/forests")
+    again = classify.FeatureModel.load(spark, f"{path}/features")
+    forests = classify.ThreatClassifier.load(spark, f"{path}/forests")
+    before = fitted.predict(features.assemble(features.transform(test)))
+    after = forests.predict(again.assemble(again.transform(test)), prob="again_", pred="answer_")
+    names = [f"prob_{c}" for c in fixed.CATEGORIES]
+    both = before.select("cve_id", *names).join(after.select("cve_id", *[f"again_{c}" for c in fixed.CATEGORIES]), "cve_id")
+    same = reduce(lambda a, b: a & b, [F.col(f"prob_{c}") == F.col(f"again_{c}") for c in fixed.CATEGORIES])
+    return both.select("cve_id", same.alias("same"))
+
+
 @query()
 def threat_classifier_report(spark: SparkSession, d: str) -> DataFrame:
     _, fitted, test = _trained(spark, d)
