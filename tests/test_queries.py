@@ -5,8 +5,6 @@ import pytest
 from verify import compare
 from vulnwave.catalog import ORACLES, QUERIES
 
-SLOW = {"compare_feature_sets", "tune_forest", "importance_by_group", "threat_classifier_report"}
-
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
@@ -23,7 +21,7 @@ def test_matches_sql(name, spark, duck, sf_dir):
     assert compare(got, want) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
