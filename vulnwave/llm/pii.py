@@ -377,9 +377,13 @@ def examples(words: list[str], n: int = 500, seed: int = 7) -> list[tuple[str, l
 
 
 def fit(docs: DataFrame, text: str = "text") -> SemiMarkovField:
-    """The field, trained with words of at most ``TRAIN_DOCS`` documents (those of the least text hashes)."""
+    """The field, trained with words of at most ``TRAIN_DOCS`` different documents (of those that a hash test lets through, the
+    least hashes), so that what reaches the driver doesn't grow with the table."""
+    n = docs.count()
     rows = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.substring(text, 1, TRAIN_CHARS).alias("t"))
-    words = [w for r in rows.orderBy("h", "t").limit(TRAIN_DOCS).collect() for w in r["t"].split() if w.isalpha()]
+    near = rows.where(F.shiftrightunsigned("h", 11) / float(2**53) < min(1.0, 8.0 * TRAIN_DOCS / max(n, 1)))
+    found = near.distinct().orderBy("h", "t").limit(TRAIN_DOCS).collect()
+    words = [w for r in found for w in r["t"].split() if w.isalpha()]
     return train(examples(words[:5000] or FILLER))
 
 
