@@ -46,9 +46,9 @@ from vulnwave.session import cut_lineage, stored
 
 LENGTH = 400
 GRAM = 128
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 # Bytes of strings that a task sorts at once.
-RUN_BYTES = 24_000_000
+RUN_BYTES = 12_000_000
 # Strings of a range, and most ranges there are.
 RANGE = 10_000
 RANGES = 20_000
