@@ -72,9 +72,15 @@ def vocabulary(
 def term_frequencies(
     docs: DataFrame, key: str, text: str = "clean_text", ngrams: tuple[int, int] = (1, 1)
 ) -> DataFrame:
-    """(doc_key, term, tf); a document's terms are combined before the shuffle."""
+    """(doc_key, term, tf), dealt out by document.
+
+    The texts are shuffled once, by document, and are smaller than their postings; the
+    counts and whatever else is grouped by document then need no further shuffle.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("_text")).repartition(parts, "doc_key")
     return (
-        docs.select(F.col(key).alias("doc_key"), F.explode(terms(text, ngrams)).alias("term"))
+        dealt.select("doc_key", F.explode(terms("_text", ngrams)).alias("term"))
         .groupBy("doc_key", "term")
         .agg(F.count("*").alias("tf"))
     )
