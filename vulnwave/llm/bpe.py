@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vulnwave.llm.util import slices, small_batches
+from vulnwave.llm.util import kept, slices, small_batches
 
 PIECE_BYTES = 4_000_000
 # Words kept encoded in a worker between pieces; the table is emptied when it holds more.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 # Words of one text held at a time.
 WINDOW_WORDS = 400_000
 
@@ -150,15 +150,13 @@ class MergeReplay:
         return out  # type: ignore[return-value]
 
 
-_READY: dict[tuple[str, str], tuple[MergeReplay, regex.Pattern, dict[str, bytes]]] = {}
-
-
 def _ready(path: str, pattern: str) -> tuple[MergeReplay, regex.Pattern, dict[str, bytes]]:
     """Ranks, pattern and known words of this worker."""
-    if (path, pattern) not in _READY:
-        _READY.clear()
-        _READY[path, pattern] = MergeReplay(load_ranks(path)), regex.compile(pattern), {}
-    return _READY[path, pattern]
+    store = kept("bpe")
+    if (path, pattern) not in store:
+        store.clear()
+        store[path, pattern] = MergeReplay(load_ranks(path)), regex.compile(pattern), {}
+    return store[path, pattern]
 
 
 def _encoded(texts: list[str | None], replay: MergeReplay, pattern: regex.Pattern, known: dict) -> tuple[np.ndarray, list[int]]:
@@ -209,7 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     ``path``: a rank file (base64 token and rank a line) that every executor has.
     """
-    kept = small_batches(docs).drop(ids, *([decoded] if decoded else []))
+    rows = small_batches(docs).drop(ids, *([decoded] if decoded else []))
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,20 +218,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             new = [lists, _decoded(lists, replay.tokens)] if decoded else [lists]
             yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *[f.name for f in added]])
 
-    return kept.mapInArrow(run, T.StructType(kept.schema.fields + added))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + added))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns with the bytes of the tokens in ``out`` (replaced if it is there already); null ids: none."""
-    kept = small_batches(encoded).drop(out)
-    schema = T.StructType(kept.schema.fields + [T.StructField(out, T.BinaryType())])
+    rows = small_batches(encoded).drop(out)
+    schema = T.StructType(rows.schema.fields + [T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in load_ranks(path).items()}
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(ids), tokens)], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _decoded(lists: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:

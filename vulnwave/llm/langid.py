@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnwave.llm import util
 from vulnwave.llm.util import slices, small_batches
 
 UNKNOWN = "und"
@@ -210,6 +211,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        util.kept("langid")
         for piece in slices(batches, text, PIECE_BYTES):
             names, scores, means = shared.value.predict(piece.column(text).to_pylist())
             new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(means, pa.float64())]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnwave.llm import util
 from vulnwave.llm.util import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -418,6 +419,7 @@ def find(docs: DataFrame, field: SemiMarkovField, text: str = "text", out: str =
     order = {k: i for i, k in enumerate(KINDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        util.kept("pii")
         own = SemiMarkovField(weights)
         for piece in slices(batches, text, PIECE_BYTES):
             rows = []
@@ -450,6 +452,7 @@ def redact(docs: DataFrame, field: SemiMarkovField, text: str = "text") -> DataF
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        util.kept("pii")
         own = SemiMarkovField(weights)
         for piece in slices(batches, text, PIECE_BYTES):
             columns = list(piece.columns)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnwave.llm import util
 from vulnwave.llm.components import components
 from vulnwave.llm.util import slices, small_batches
 from vulnwave.session import cut_lineage, stored
@@ -67,6 +68,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     kept = small_batches(docs).drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        util.kept("simhash")
         for piece in slices(batches, text, PIECE_BYTES):
             found = pa.array([simhash(t) for t in piece.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*piece.columns, found], names=[*piece.schema.names, out])

@@ -32,6 +32,16 @@ def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task. Workers are shared: what others kept is let go."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of a piece hold about ``size`` bytes; a longer text stands alone."""
     for batch in batches:
