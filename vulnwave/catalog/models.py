@@ -53,9 +53,6 @@ def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- classifier --------------------------------------------------------------
-_SMALL = {"trees": 10, "max_depth": 8}
-
-
 def _features(spark: SparkSession, d: str) -> tuple[classify.FeatureModel, DataFrame]:
     rows = t.labelled(spark, d).select(
         "k", "cve_id", "clean_text", "sentiment", "cvss_score", "n_articles", *[f"label_{c}" for c in fixed.CATEGORIES]
@@ -89,7 +86,7 @@ def _trained(spark: SparkSession, d: str):
     model, rows = _features(spark, d)
     ready = model.assemble(model.transform(rows))
     train, test = classify.hash_split(ready, "cve_id")
-    return model, classify.ThreatClassifier.fit(train, **_SMALL), test
+    return model, classify.ThreatClassifier.fit(train), test
 
 
 @query()
@@ -105,7 +102,7 @@ def saved_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Features and forests saved and loaded again: new rows, from their texts on, score as before."""
     features, rows = _features(spark, d)
     train, test = classify.hash_split(rows, "cve_id")
-    fitted = classify.ThreatClassifier.fit(features.assemble(features.transform(train)), **_SMALL)
+    fitted = classify.ThreatClassifier.fit(features.assemble(features.transform(train)))
     path = scratch_path(spark, "classifier")
     features.save(f"{path}/features")
     fitted.save(f"{path}/forests")
@@ -140,23 +137,20 @@ def importance_by_group(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def term_importance(spark: SparkSession, d: str) -> DataFrame:
     rows = cut_lineage(t.flagged(spark, d).select("cve_id", "clean_text", "emerging"))
-    return classify.term_importance(rows, "emerging", "cve_id", trees=10, max_depth=8)
+    return classify.term_importance(rows, "emerging", "cve_id")
 
 
 @query()
 def compare_feature_sets(spark: SparkSession, d: str) -> DataFrame:
     model, rows = _features(spark, d)
-    return classify.compare_feature_sets(rows, model, "cve_id", trees=3, max_depth=5)
+    return classify.compare_feature_sets(rows, model, "cve_id")
 
 
 @query()
 def tune_forest(spark: SparkSession, d: str) -> DataFrame:
-    """A small grid over three hash folds of all rows."""
+    """The whole grid over three hash folds of all rows, for all categories."""
     model, rows = _features(spark, d)
-    ready = model.assemble(model.transform(rows))
-    return classify.tune_forest(
-        ready, "cve_id", ["Phishing", "XSS", "ZeroDay"], trees=[2, 4], depths=[5], min_splits=[2]
-    )
+    return classify.tune_forest(model.assemble(model.transform(rows)), "cve_id")
 
 
 # --- clusters ----------------------------------------------------------------
