@@ -11,8 +11,9 @@ of a piece walk through the automata in step, one NumPy look-up a character.
 
 The fit reads a bounded sample: at most ``docs_per_language`` texts of each language and ``chars_per_doc`` normalised
 characters of each; which ones depends on a hash of id and text only. Everything else reads whole texts.
-The model is a table of at most 2 x docs_per_language x chars_per_doc states by ``letters`` + 2 classes for each
-language, and is broadcast.
+Every letter of the sample has a class. The model is a table of at most 2 x docs_per_language x chars_per_doc states by
+``letters`` + 2 classes for each language, for the most frequent letters, and a sorted list of the transitions by all other
+letters, of which there are at most 3 x docs_per_language x chars_per_doc. It is broadcast.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if there is no labelled row.
 Ties go to the language first in code-point order. Null ids, repeated rows and empty tables need no care.
@@ -89,9 +90,14 @@ class SuffixAutomaton:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    points: np.ndarray  # sorted code points with a class of their own
+    points: np.ndarray  # sorted code points of the letters
+    codes: np.ndarray  # class of each
+    width: int  # classes that the table has
     roots: np.ndarray  # row offset of the state in which each language begins
     moves: np.ndarray  # row offset + class -> 2 x next row offset + (1 if a new phrase began)
+    zeros: np.ndarray  # row offset of each automaton's first state
+    keys: np.ndarray  # sorted: row offset x (number of classes) + class, of transitions by classes that the table hasn't
+    targets: np.ndarray  # next row offset of each
     bits: np.ndarray  # log2 of the size of each language's text
 
     def classes(self, points: np.ndarray) -> np.ndarray:
@@ -99,7 +105,24 @@ class Model:
         if not len(self.points):
             return np.where(points == 0, SEPARATOR, RARE)
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(points == 0, SEPARATOR, np.where(self.points[at] == points, at + 2, RARE))
+        return np.where(points == 0, SEPARATOR, np.where(self.points[at] == points, self.codes[at], RARE))
+
+    def _listed(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Next row offset by the list of transitions, -1 if there is none."""
+        keys = state.astype(np.int64) * (len(self.points) + 2) + symbols
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.targets[at], -1)
+
+    def _move(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """As ``moves``, for all classes."""
+        other = np.nonzero(symbols >= self.width)[0]
+        if not len(other):
+            return self.moves[state + symbols]
+        move = self.moves[state + np.where(symbols < self.width, symbols, RARE)]
+        found = self._listed(state[:, other], symbols[other])
+        begin = self._listed(self.zeros[:, None], symbols[other])
+        move[:, other] = np.where(found >= 0, 2 * found, 2 * np.where(begin >= 0, begin, self.roots[:, None]) + 1)
+        return move
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each normalised text by each language."""
@@ -121,7 +144,7 @@ class Model:
         found = np.zeros(state.shape, np.int64)
         running = np.searchsorted(-length, -np.arange(length[0]), side="left")  # blocks longer than t
         for t, n in enumerate(running):
-            move = self.moves[state[:, :n] + symbols[first[:n] + t]]
+            move = self._move(state[:, :n], symbols[first[:n] + t])
             found[:, :n] += move & 1
             state[:, :n] = move >> 1
         for k in range(len(self.languages)):
@@ -146,17 +169,20 @@ class Model:
 
 
 def build(texts: dict[str, list[np.ndarray]], letters: int = 126) -> Model:
-    """Model of normalised labelled texts by language; the ``letters`` most frequent letters have a class each."""
+    """Model of normalised labelled texts by language; the ``letters`` most frequent letters are in its table, all others in its list."""
     seen: Counter[int] = Counter()
     for parts in texts.values():
         for part in parts:
             seen.update(part[part > 0].tolist())
-    chosen = sorted(p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])
+    ranked = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+    chosen = sorted(ranked[:letters]) + ranked[letters:]
+    order = np.argsort(np.array(chosen, np.uint32))
     languages = sorted(k for k, parts in texts.items() if any(len(p) for p in parts))
     empty = np.zeros(0, np.int64)
-    model = Model(languages, np.array(chosen, np.uint32), empty, empty, empty)
-    width = len(chosen) + 2
-    roots, tables, bits, base = [], [], [], 0
+    width = min(len(chosen), letters) + 2
+    model = Model(languages, np.array(chosen, np.uint32)[order], order + 2, width, empty, empty, empty, empty, empty, empty)
+    roots, zeros, tables, bits, base = [], [], [], [], 0
+    keys, targets = [], []
     for language in languages:
         symbols = np.concatenate([np.append(p, 0) for p in texts[language] if len(p)])
         codes = model.classes(symbols)
@@ -165,19 +191,25 @@ def build(texts: dict[str, list[np.ndarray]], letters: int = 126) -> Model:
         table = np.full((n + 1, width), -1, np.int64)
         for state, moves in enumerate(automaton.next):
             for symbol, target in moves.items():
-                if symbol != RARE:
+                if symbol < width:
                     table[state, symbol] = target
+                else:
+                    keys.append((state * width + base) * (len(chosen) + 2) + symbol)
+                    targets.append(target * width + base)
         # state n stands where no phrase is open: every symbol begins one, and one without a match is a phrase by itself
         begin = np.where(table[0] >= 0, table[0], n)
         missing = table < 0
         rows = np.where(missing, begin[None, :], table) * width + base
         tables.append((rows * 2 + missing).ravel())
         roots.append(n * width + base)
+        zeros.append(base)
         bits.append(np.log2(len(symbols) + 1))
         base += (n + 1) * width
     kind = np.int32 if base < 2**30 else np.int64
     moves = np.concatenate(tables).astype(kind) if tables else empty
-    return Model(languages, model.points, np.array(roots, kind), moves, np.array(bits))
+    keys, targets = np.array(keys, np.int64), np.array(targets, np.int64)
+    order = np.argsort(keys)
+    return Model(languages, model.points, model.codes, width, np.array(roots, kind), moves, np.array(zeros, kind), keys[order], targets[order], np.array(bits))
 
 
 def fit(
