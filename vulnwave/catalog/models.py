@@ -39,19 +39,28 @@ def isolation_flag_text(spark: SparkSession, d: str) -> DataFrame:
     return flagged.select("doc_id", "anomaly_score", "if_flag")
 
 
-@query()
-def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
-    """All stages from raw rows: master, urgency, flags."""
+def _master(spark: SparkSession, d: str) -> DataFrame:
     tagged = t.edges(spark, d).groupBy("url").agg(F.collect_set("cve_id").alias("cves"))
     news = t.articles(spark, d).select("source", "text", "published_date", "url").join(tagged, "url", "left")
     news = news.withColumn("source", F.lit(fixed.SOURCE_NEWS))
-    master = plan.build_master(t.vuln(spark, d, spread=True).drop("sentiment"), news)
-    found = plan.detect(plan.assess(master, t.AS_OF))
+    return plan.build_master(t.vuln(spark, d, spread=True).drop("sentiment"), news)
+
+
+@query()
+def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
+    """All stages from raw rows: master, urgency, flags."""
+    found = plan.detect(plan.assess(_master(spark, d), t.AS_OF))
     return found.select(
         "doc_key", "source", "urgency_score", "urgency_level", "zero_day_flag", "spike_flag", "if_flag", "emerging"
     )
 
 
+@query(t.with_views("edges", "SELECT cve_id AS doc_key, url FROM edges"))
+def master_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every link of the master's CVEs, a row each."""
+    return plan.build_links(_master(spark, d)).select("doc_key", F.explode("linked_articles").alias("url"))
+
+
 # --- classifier --------------------------------------------------------------
 def _features(spark: SparkSession, d: str) -> tuple[classify.FeatureModel, DataFrame]:
     rows = t.labelled(spark, d).select(
