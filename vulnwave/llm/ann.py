@@ -13,8 +13,8 @@ A query first searches a part of the cell that it lies in; its k-th distance the
 cells and parts can still matter, and it is sent to those alone. Queries travel in blocks of ``QUERIES``.
 
 Vectors that are null, empty, zero, hold null or non-finite components or aren't as long as most take no part. Ties go to the smaller
-id. Rows with the query's id aren't its candidates; null ids take no part. Repeated rows are candidates each.
-An empty table gives none.
+id. Rows with the query's id aren't its candidates; null ids take no part. Repeated rows are candidates each;
+of the usable vectors of a query's id the least in array order is asked. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -264,7 +264,7 @@ def usable_queries(queries: DataFrame, key: str, vector: str, width: int) -> Dat
     rows = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") == width)).where(finite)
-    return rows.dropDuplicates(["key"])
+    return rows.groupBy("key").agg(F.min("v").alias("v"))
 
 
 def _gaps(box: np.ndarray, point: np.ndarray) -> np.ndarray:
