@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnwave.llm import ann, bpe, fingerprints, langid, mixing, pii, simhash, suffixes, token_counts, warc
+from vulnwave.llm import ann, bpe, conversations, decontaminate, fingerprints, langid, mixing, pii, simhash, spelling, suffixes, token_counts, warc
 from vulnwave.llm.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the ids decoded again, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query()
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of ten words of some benchmark item."""
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits that mend it, and the digest of what they give."""
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of the spelling variants in the vocabulary of the documents."""
+    return spelling.corpus_variants(table(spark, sf_dir, "documents"))
