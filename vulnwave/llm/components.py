@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from vulnwave.session import stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", seed: int | None = None) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (both long): every node of the edges with one node of its component, the same for all of it.
 
     In each round a node moves to its least neighbour (or stays, if it is less), and edges move with their
     ends; what becomes a loop or a repeat goes. Least is by id in even rounds, so that stars vanish at once, and by
     a hash that changes with the round in odd ones, so that chains in id order shrink by a constant factor
-    too. Where the centres of stars are least by ``xxhash64(seed, id)``, give that seed: it orders the even rounds then.
-    Ends after as many rounds as it takes; each round stores its moves and its edges. Loops and nulls among the edges are ignored.
+    too. Ends after as many rounds as it takes; each round stores its moves and its edges. Loops and nulls among the edges are ignored.
     """
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
@@ -24,8 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", seed: int | None =
     turn = 0
     while not left.isEmpty():
         def rank(node, turn=turn):
-            even = F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), node)
-            return F.struct((F.xxhash64(node, F.lit(turn)) if turn % 2 else even).alias("order"), F.col(node).alias("id"))
+            order = F.xxhash64(node, F.lit(turn)) if turn % 2 else F.lit(0).cast("long")
+            return F.struct(order.alias("order"), F.col(node).alias("id"))
 
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
         nearest = ends.groupBy("u").agg(F.min(rank("v")).alias("v"))
