@@ -55,7 +55,9 @@ def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(t.with_views("edges", "SELECT cve_id AS doc_key, url FROM edges"))
+@query(  # an article of which cleaning leaves nothing isn't in the master
+    t.with_views("edges", f"SELECT cve_id AS doc_key, url FROM edges JOIN articles USING (url) WHERE trim({t.sql_clean('articles.text')}) <> ''")
+)
 def master_links(spark: SparkSession, d: str) -> DataFrame:
     """Every link of the master's CVEs, a row each."""
     return plan.build_links(_master(spark, d)).select("doc_key", F.explode("linked_articles").alias("url"))
