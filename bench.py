@@ -33,7 +33,7 @@ def train_80_trees(spark, sf_dir: str) -> None:
 
     features, rows = models._features(spark, sf_dir)
     ready = features.assemble(features.transform(rows), ["text", "numeric"])
-    classify.ThreatClassifier.fit(classify.hash_split(ready, "cve_id")[0], trees=80, max_depth=10)
+    classify.ThreatClassifier.fit(classify.hash_split(ready, "cve_id")[0], "cve_id", trees=80, max_depth=10)
 
 
 def main() -> None:

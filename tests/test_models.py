@@ -78,7 +78,7 @@ def test_classifier_learns_rules(spark, tmp_path):
     assert features.numeric == ["sentiment", "cvss_score"]
     ready = features.assemble(features.transform(df))
     train, test = classify.hash_split(ready, "key")
-    model = classify.ThreatClassifier.fit(train, ["A", "B", "C"], trees=8, max_depth=5)
+    model = classify.ThreatClassifier.fit(train, "key", ["A", "B", "C"], trees=8, max_depth=5)
     out = model.predict(test)
     assert out.filter("pred_A <> label_A or pred_B <> label_B or pred_C <> 0").count() == 0
     assert out.filter("prob_A < 0 or prob_A > 1 or prob_C <> 0").count() == 0

@@ -97,7 +97,7 @@ def _trained(spark: SparkSession, d: str):
     model, rows = _features(spark, d)
     ready = model.assemble(model.transform(rows))
     train, test = classify.hash_split(ready, "cve_id")
-    return model, classify.ThreatClassifier.fit(train), test
+    return model, classify.ThreatClassifier.fit(train, "cve_id"), test
 
 
 @query()
@@ -113,7 +113,7 @@ def saved_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Features and forests saved and loaded again: new rows, from their texts on, score as before."""
     features, rows = _features(spark, d)
     train, test = classify.hash_split(rows, "cve_id")
-    fitted = classify.ThreatClassifier.fit(features.assemble(features.transform(train)))
+    fitted = classify.ThreatClassifier.fit(features.assemble(features.transform(train)), "cve_id")
     path = scratch_path(spark, "classifier")
     features.save(f"{path}/features")
     fitted.save(f"{path}/forests")
