@@ -1,9 +1,12 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vulnwave.functions.draws import draw
 from vulnwave.operators import classify
-from vulnwave.operators.isolation import IsolationForest, average_path, grow_tree, path_lengths
+from vulnwave.operators.isolation import SPACE, IsolationForest, average_path, grow_tree, node_draw, path_lengths
 
 
 def _cloud(spark, n=2000):
@@ -20,11 +23,48 @@ def test_average_path():
 
 def test_tree_isolates_every_point():
     points = np.arange(8.0).reshape(-1, 1)
-    tree = np.array(grow_tree(points, np.random.default_rng(0), 20), dtype=float)
-    assert (tree[:, 0] < 0).sum() == 8
+    tree = grow_tree(points, 0, 0, 20)
+    assert sum(n[1] < 0 for n in tree) == 8
     assert path_lengths(tree, points).min() >= 1
-    same = np.array(grow_tree(np.ones((5, 2)), np.random.default_rng(0), 8), dtype=float)
-    assert len(same) == 1
+    assert len(grow_tree(np.ones((5, 2)), 0, 0, 8)) == 1
+
+
+def test_space_is_prime_and_node_draws_are_those_of_columns(spark):
+    witnesses = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+    odd, twos = SPACE - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    for w in witnesses:
+        x = pow(w, odd, SPACE)
+        assert x in (1, SPACE - 1) or any((x := x * x % SPACE) == SPACE - 1 for _ in range(twos - 1))
+    got = spark.range(1).select(draw(42, F.lit(3), F.lit(17), F.lit("cut"))).first()[0]
+    assert got == node_draw(42, 3, 17, "cut")
+
+
+def test_scores_equal_a_walk_by_hand(spark):
+    """Scores of the JVM are those of plain Python; null vectors have none, NaN goes right, and no Python worker scores."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(size=(300, 4)))] + [(300, None), (301, [float("nan")] * 4), (302, [1e9] * 4)]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    forest = IsolationForest(trees=20, sample=64).fit(df, "i", "v")
+    scored = forest.score(df, "v")
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert forest.fitted == 64 and len(forest.model) == 20
+    norm = float(average_path(64))
+    for i, v, got in scored.collect():
+        if v is None:
+            assert got is None
+            continue
+        mean = sum(path_lengths(t, np.array([v]))[0] for t in forest.model) / 20
+        assert abs(got - 2 ** (-mean / norm)) < 1e-9
+
+
+def test_a_forest_of_no_rows_scores_nothing(spark):
+    df = spark.createDataFrame([], "i int, v array<double>")
+    assert IsolationForest(trees=3).fit(df, "i", "v").score(df, "v").columns == ["i", "v", "anomaly_score"]
+    one = spark.createDataFrame([(1, [2.0]), (2, [2.0])], "i int, v array<double>")
+    scores = {r["anomaly_score"] for r in IsolationForest(trees=3).fit(one, "i", "v").score(one, "v").collect()}
+    assert len(scores) == 1
 
 
 def test_outliers_score_highest(spark):
@@ -40,7 +80,7 @@ def test_outliers_score_highest(spark):
 def test_fit_is_repeatable(spark):
     df = _cloud(spark)
     a, b = (IsolationForest(trees=5).fit(d, "i", "v") for d in (df, df.repartition(3)))
-    assert all(np.array_equal(x, y) for x, y in zip(a.model, b.model))
+    assert a.model == b.model and len(a.model) == 5
 
 
 @pytest.mark.parametrize("n", [40, 1_000, 50_000])
@@ -51,7 +91,13 @@ def test_one_sampling_rule(spark, n):
     got = {}
     for r in rows.collect():
         got.setdefault(r["tree"], set()).add(r["i"])
-    lowest = lambda t: {r["i"] for r in df.orderBy(F.pmod(F.xxhash64("i", F.lit(t), F.lit(42)), F.lit(1 << 40)), "i").limit(64).collect()}
+    def lowest(t):
+        def of(i):
+            h = hashlib.md5(f"42:{i}".encode()).hexdigest()
+            return (int(h[:13], 16) + t * int(h[13:26], 16)) % SPACE, i
+
+        return set(sorted(range(n), key=of)[:64])
+
     assert got == {t: lowest(t) for t in range(4)}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.draws import draw_sql
 from ..operators import classify, clustering, emerging, evaluation
-from ..operators.isolation import IsolationForest
+from ..operators.isolation import EULER, SPACE, IsolationForest
 from ..plans import assess as plan
 from ..session import cut_lineage, scratch_path
 from . import tables as t
@@ -22,13 +22,53 @@ def _r(c: str, places: int = 6):
 
 
 # --- isolation forest --------------------------------------------------------
-@query()
+def _forest_sql(table: str, key: str, vector: str, contamination: float, forest: IsolationForest) -> str:
+    """Samples, trees level by level, walks and flags in SQL: key, anomaly_score, if_flag."""
+    deep, piece = forest.depth_limit, "('0x' || substr(md5('{seed}:' || {key}), {at}, 13))::BIGINT"
+    a, b = (piece.format(seed=forest.seed, key=key, at=at) for at in (1, 14))
+    parts = [
+        f"rows AS MATERIALIZED (SELECT {key} AS key, {vector}::DOUBLE[] AS x, {a} AS a, {b} AS b FROM {table} WHERE {vector} IS NOT NULL)",
+        f"trees AS (SELECT unnest(range({forest.trees})) AS tree)",
+        f"""level0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, x FROM (SELECT tree, x, row_number() OVER
+            (PARTITION BY tree ORDER BY (a + tree * b) % {SPACE}, key) AS place FROM rows, trees) WHERE place <= {forest.sample})""",
+        "walk0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, key, x FROM rows, trees)",
+    ]
+    child = "CASE WHEN x[feature] <= cut THEN 2 * node ELSE 2 * node + 1 END"
+    u = {w: draw_sql(forest.seed, "tree", "node", f"'{w}'") for w in ("feature", "cut")}
+    for d in range(deep):
+        parts += [
+            f"sides{d} AS (SELECT tree, node, i, min(v) AS low, max(v) AS high FROM (SELECT tree, node, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM level{d}) GROUP BY ALL)",
+            f"spread{d} AS (SELECT tree, node, list({{'i': i, 'low': low, 'high': high}} ORDER BY i) AS s FROM sides{d} WHERE high > low GROUP BY ALL)",
+            f"picked{d} AS (SELECT tree, node, s[1 + floor({u['feature']} * len(s))::BIGINT] AS p, {u['cut']} AS u FROM spread{d})",
+            f"""inner{d} AS MATERIALIZED (SELECT tree, node, p.i AS feature,
+                CASE WHEN p.low + u * (p.high - p.low) < p.high THEN p.low + u * (p.high - p.low) ELSE p.low END AS cut FROM picked{d})""",
+            f"level{d + 1} AS MATERIALIZED (SELECT tree, {child} AS node, x FROM level{d} JOIN inner{d} USING (tree, node))",
+            f"walk{d + 1} AS MATERIALIZED (SELECT tree, CASE WHEN cut IS NULL THEN node ELSE {child} END AS node, key, x FROM walk{d} LEFT JOIN inner{d} USING (tree, node))",
+        ]
+    mean = f"2 * (ln(n - 1) + {t.dbl(EULER)}) - 2 * (n - 1) / n::DOUBLE"
+    c = f"CASE WHEN n > 2 THEN {mean} WHEN n = 2 THEN 1 ELSE 0 END"
+    leaves = [
+        f"SELECT tree, node, {d} + {c} AS path FROM (SELECT tree, node, count(*) AS n FROM level{d}"
+        + (f" ANTI JOIN inner{d} USING (tree, node)" if d < deep else "") + " GROUP BY ALL)"
+        for d in range(deep + 1)
+    ]
+    parts += [
+        f"leaves AS MATERIALIZED ({' UNION ALL '.join(leaves)})",
+        f"norm AS (SELECT {c} AS norm FROM (SELECT least(count(*), {forest.sample}) AS n FROM rows))",
+        f"means AS (SELECT key, list_sum(list(path ORDER BY tree)) / {t.dbl(float(forest.trees))} AS path FROM walk{deep} JOIN leaves USING (tree, node) GROUP BY key)",
+        "scores AS MATERIALIZED (SELECT key, pow(2, -path / norm) AS score FROM means, norm)",
+        f"cut AS (SELECT quantile_cont(score, {t.dbl(1.0 - contamination)}) AS bound FROM scores)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT key AS {key}, round(score, 9) AS anomaly_score, score > bound AS if_flag FROM scores, cut"
+
+
+@query(_forest_sql("embeddings", "vec_id", "embedding", 0.03, IsolationForest()))
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     """Scores and flags of all embeddings."""
     e = t.read(spark, d, "embeddings")
     forest = IsolationForest().fit(e, "vec_id", "embedding")
     scored = forest.score(e.select("vec_id", "embedding"), "embedding").drop("embedding")
-    return forest.flag(cut_lineage(scored), "anomaly_score", 0.03).select("vec_id", "anomaly_score", "if_flag")
+    return forest.flag(cut_lineage(scored), "anomaly_score", 0.03).select("vec_id", _r("anomaly_score", 9), "if_flag")
 
 
 @query()

@@ -1,147 +1,172 @@
-"""Isolation forest (Liu, Ting and Zhou, 2008) fitted and scored on Spark."""
+"""Isolation forest (Liu, Ting and Zhou, 2008): bounded samples by key hash, trees grown on the executors, scores on the JVM.
+
+A tree is held in heap order: node 1 is the root, the children of node i are 2i (at most the cut) and 2i + 1. All that is drawn comes from
+md5 of the seed and a name, so any SQL engine can grow the same forest.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import exact_quantiles
 
-_EULER = 0.5772156649015329
+EULER = 0.5772156649015329
+# Number of values a draw for a sample can take: the largest prime below 2^52.
+SPACE = (1 << 52) - 47
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search in a tree of n points."""
     n = np.asarray(n, dtype=float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        c = 2.0 * (np.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
+        c = 2.0 * (np.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
-    """Nodes as (left, right, feature, cut, path); leaves have left = -1."""
-    nodes: list[tuple] = []
+def node_draw(seed: int, *name: object) -> float:
+    """The number in [0, 1) that ``functions.draws.draw`` gives for the name."""
+    text = ":".join(str(x) for x in (seed, *name))
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / float(1 << 52)
+
 
-    def grow(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append(())
+def grow_tree(points: np.ndarray, seed: int, tree: int, depth_limit: int) -> list[tuple]:
+    """Nodes as (node, feature, cut, path); a leaf has feature -1, and its path counts its depth and its rows."""
+    nodes: list[tuple] = []
+    todo = [(1, 0, points)]
+    while todo:
+        node, depth, rows = todo.pop()
         spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
         if depth >= depth_limit or len(spread) == 0:
-            nodes[at] = (-1, -1, -1, 0.0, depth + float(average_path(len(rows))))
-            return at
-        feature = int(rng.choice(spread))
-        low, high = rows[:, feature].min(), rows[:, feature].max()
-        cut = float(rng.uniform(low, high))
+            nodes.append((node, -1, 0.0, depth + float(average_path(len(rows)))))
+            continue
+        feature = int(spread[int(node_draw(seed, tree, node, "feature") * len(spread))])
+        low, high = float(rows[:, feature].min()), float(rows[:, feature].max())
+        cut = low + node_draw(seed, tree, node, "cut") * (high - low)
+        if not cut < high:
+            cut = low
+        nodes.append((node, feature, cut, 0.0))
         left = rows[:, feature] <= cut
-        if left.all():
-            cut, left = float(low), rows[:, feature] <= low
-        a = grow(rows[left], depth + 1)
-        b = grow(rows[~left], depth + 1)
-        nodes[at] = (a, b, feature, cut, 0.0)
-        return at
-
-    grow(points, 0)
+        todo += [(2 * node, depth + 1, rows[left]), (2 * node + 1, depth + 1, rows[~left])]
     return nodes
 
 
-def path_lengths(tree: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Path length of each point in one tree given as rows of node fields."""
-    at = np.zeros(len(points), dtype=int)
-    rows = np.arange(len(points))
-    while True:
-        inner = tree[at, 0] >= 0
-        if not inner.any():
-            return tree[at, 4]
-        node = tree[at[inner]]
-        left = points[rows[inner], node[:, 2].astype(int)] <= node[:, 3]
-        at[inner] = np.where(left, node[:, 0], node[:, 1]).astype(int)
+def path_lengths(nodes: list[tuple], points: np.ndarray) -> np.ndarray:
+    """Path length of each point in one tree, node by node."""
+    known = {n[0]: n for n in nodes}
+    out = np.zeros(len(points))
+    for i, p in enumerate(points):
+        node = known[1]
+        while node[1] >= 0:
+            node = known[2 * node[0] + (0 if p[node[1]] <= node[2] else 1)]
+        out[i] = node[3]
+    return out
 
 
 @dataclass
 class IsolationForest:
-    """Trees over samples of the rows; the model is ``trees`` times at most 511 nodes.
+    """Trees over samples of the rows; the model is ``trees`` times at most ``2 * sample`` nodes.
 
     A row's place in a tree's sample depends only on a hash of its key, the tree and
     the seed, so a fit can be repeated. Each tree grows in its own group of at most
-    ``sample`` rows.
+    ``sample`` rows. Rows without a vector are not fitted and have no score.
     """
 
     trees: int = 100
     sample: int = 256
     seed: int = 42
-    model: list[np.ndarray] = field(default_factory=list)
+    model: list[list[tuple]] = field(default_factory=list)
     fitted: int = 0
 
+    @property
+    def depth_limit(self) -> int:
+        return int(np.ceil(np.log2(max(self.sample, 2))))
+
     def fit(self, df: DataFrame, key: str, vector: str) -> IsolationForest:
         """Sample rows of a table that holds the vectors and grow the trees."""
-        return self.grow(self.sample_rows(df, key), vector)
+        return self.grow(self.sample_rows(df.filter(F.col(vector).isNotNull()), key), vector)
+
+    def draws(self, key: str) -> Column:
+        """For each tree a number below ``SPACE``: two numbers a and b from one hash of the key give a + tree * b, independent for any two trees."""
+        name = F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col(key).cast("string")))
+        part = lambda at: F.conv(F.substring(name, at, 13), 16, 10).cast("long")
+        two = F.array(F.struct(part(1).alias("a"), part(14).alias("b")))
+        draw = lambda ab, t: F.pmod(ab["a"] + t * ab["b"], F.lit(SPACE))
+        number = F.sequence(F.lit(0), F.lit(self.trees - 1))
+        return F.flatten(F.transform(two, lambda ab: F.transform(number, lambda t: F.struct(t.alias("tree"), draw(ab, t).alias("_draw")))))
 
     def sample_rows(self, df: DataFrame, key: str, n: int | None = None) -> DataFrame:
         """Rows of each tree's sample: the columns of ``df`` plus ``tree`` and ``_rank``.
 
         Every tree draws for itself, by one rule at every size: about four times the
         sample passes a hash test inside the scan, then the tree keeps the lowest
-        hashes. A row may be in several samples.
+        draws. A row may be in several samples.
         """
         n = df.count() if n is None else n
         self.fitted = min(self.sample, n)
-        space, wide = 1 << 40, 4 * self.sample
-        draw = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(self.seed)), F.lit(space))
-        limit = space if n <= wide else int(space * wide / n)
-        hits = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(self.trees - 1)),
-                lambda t: F.struct(t.alias("tree"), draw(t).alias("_draw")),
-            ),
-            lambda s: s["_draw"] < limit,
-        )
-        drawn = df.select("*", F.inline(hits))
+        wide = 4 * self.sample
+        limit = SPACE if n <= wide else SPACE * wide // n
+        drawn = df.select("*", F.inline(F.filter(self.draws(key), lambda s: s["_draw"] < limit)))
         lowest = Window.partitionBy("tree").orderBy("_draw", key)
         ranked = drawn.withColumn("_rank", F.row_number().over(lowest))
         return ranked.filter(F.col("_rank") <= self.sample).drop("_draw")
 
     def grow(self, chosen: DataFrame, vector: str) -> IsolationForest:
         """Grow each tree from its sample rows, one group per tree."""
-        chosen = chosen.select("tree", "_rank", F.col(vector).cast("array<double>").alias("_x"))
-        depth_limit, seed = int(np.ceil(np.log2(max(self.sample, 2)))), self.seed
+        chosen = chosen.select("tree", F.col(vector).cast("array<double>").alias("_x"))
+        depth_limit, seed = self.depth_limit, self.seed
 
         def grow(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("_rank")
             tree = int(group["tree"].iloc[0])
-            points = np.vstack(group["_x"].to_numpy()).astype(float)
-            nodes = grow_tree(points, np.random.default_rng([seed, tree]), depth_limit)
-            out = pd.DataFrame(nodes, columns=["lo", "hi", "feature", "cut", "path"])
-            return out.assign(tree=tree, node=range(len(out)))[
-                ["tree", "node", "lo", "hi", "feature", "cut", "path"]
-            ]
-
-        schema = "tree int, node int, lo int, hi int, feature int, cut double, path double"
-        nodes = chosen.groupBy("tree").applyInPandas(grow, schema).toPandas()
-        nodes = nodes.sort_values(["tree", "node"])
-        self.model = [
-            g[["lo", "hi", "feature", "cut", "path"]].to_numpy(dtype=float) for _, g in nodes.groupby("tree")
-        ]
+            nodes = grow_tree(np.vstack(group["_x"].to_numpy()).astype(float), seed, tree, depth_limit)
+            return pd.DataFrame(nodes, columns=["node", "feature", "cut", "path"]).assign(tree=tree)[["tree", "node", "feature", "cut", "path"]]
+
+        nodes = chosen.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, path double").collect()
+        by_tree: dict[int, list[tuple]] = {}
+        for r in sorted(nodes):
+            by_tree.setdefault(r["tree"], []).append((r["node"], r["feature"], r["cut"], r["path"]))
+        self.model = list(by_tree.values())
         return self
 
+    def _arrays(self, df: DataFrame) -> Column:
+        """The trees as one value: an array of structs of arrays, each with a place for every node of a full tree."""
+        size = 2 ** (self.depth_limit + 1)
+        rows = []
+        for i, nodes in enumerate(self.model):
+            feature, cut, path = [-1] * size, [0.0] * size, [0.0] * size
+            for node, f, c, p in nodes:
+                feature[node], cut[node], path[node] = f, c, p
+            rows.append((i, feature, cut, path))
+        table = df.sparkSession.createDataFrame(rows, "tree int, feature array<int>, cut array<double>, path array<double>")
+        return table.agg(F.array_sort(F.collect_list(F.struct("tree", "feature", "cut", "path")))).scalar()
+
     def score(self, df: DataFrame, vector: str, out: str = "anomaly_score") -> DataFrame:
-        """Add 2^(-mean path / c(sample)): higher is more anomalous."""
-        trees = df.sparkSession.sparkContext.broadcast(self.model)
-        norm = max(float(average_path(self.fitted)), 1e-12)
+        """Add 2^(-mean path / c(sample)): higher is more anomalous. Null for a null vector or an empty forest.
+
+        One expression of built-in functions: a walk of at most ``depth_limit`` steps in each tree.
+        """
+        if not self.model:
+            return df.withColumn(out, F.lit(None).cast("double"))
+        x = F.col(vector).cast("array<double>")
+        steps = F.sequence(F.lit(1), F.lit(self.depth_limit))
+
+        def step(tree: Column, at: Column) -> Column:
+            feature = F.get(tree["feature"], at)
+            down = F.when(F.get(x, feature) <= F.get(tree["cut"], at), 2 * at).otherwise(2 * at + 1)
+            return F.when(feature < 0, at).otherwise(down)
 
-        @F.arrow_udf("double")
-        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                points = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                mean = sum(path_lengths(t, points) for t in trees.value) / len(trees.value)
-                yield pa.array(np.power(2.0, -mean / norm))
+        def walk(tree: Column) -> Column:
+            return F.get(tree["path"], F.aggregate(steps, F.lit(1), lambda at, _: step(tree, at)))
 
-        return df.withColumn(out, score(F.col(vector).cast("array<double>")))
+        norm = max(float(average_path(self.fitted)), 1e-12)
+        total = F.aggregate(F.transform("_trees", walk), F.lit(0.0), lambda s, p: s + p)
+        score = F.pow(F.lit(2.0), -(total / F.lit(float(len(self.model)))) / F.lit(norm))
+        return df.withColumn("_trees", self._arrays(df)).withColumn(out, F.when(F.col(vector).isNotNull(), score)).drop("_trees")
 
     @staticmethod
     def flag(df: DataFrame, score: str, contamination: float, out: str = "if_flag") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -211,29 +212,37 @@ def projection_matrix(n_features: int, k: int, seed: int) -> np.ndarray:
     return signs / np.sqrt(density * k)
 
 
+@lru_cache(maxsize=2)
+def projection_signs(n_features: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of ``projection_matrix`` that aren't zero, row after row: first entry of each row, columns, values."""
+    matrix = projection_matrix(n_features, k, seed)
+    rows, columns = np.nonzero(matrix)
+    return np.searchsorted(rows, np.arange(n_features + 1)), columns, matrix[rows, columns]
+
+
 def random_projection(
     df: DataFrame, vector: str, n_features: int, k: int = 256, seed: int = 42, out: str = "projected"
 ) -> DataFrame:
     """Project a sparse vector column to ``k`` numbers (``ARRAY<DOUBLE>``) without a shuffle.
 
-    Only the non-zero entries travel to Python, in Arrow batches. The matrix is drawn
-    again from the seed in each worker; its size is bounded by ``n_features * k``.
+    Only the non-zero entries travel to Python, in Arrow batches, and a batch is one sparse product. The signs are drawn
+    from the seed once in each worker; their size is bounded by ``n_features * k``.
     """
 
     @F.arrow_udf("array<double>")
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matrix = projection_matrix(n_features, k, seed)
+        first, columns, signs = projection_signs(n_features, k, seed)
         for v in batches:
             indices, values = v.field("indices"), v.field("values")
             lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             slots, weights = indices.flatten().to_numpy(), values.flatten().to_numpy()
-            ends = np.cumsum(lengths)
-            result = np.zeros((len(v), k))
-            for i in np.flatnonzero(lengths):
-                span = slice(ends[i] - lengths[i], ends[i])
-                result[i] = weights[span] @ matrix[slots[span]]
+            # every entry (row, slot) meets the signs of its slot
+            each = first[slots + 1] - first[slots]
+            at = np.arange(each.sum()) + np.repeat(first[slots] - (np.cumsum(each) - each), each)
+            cells = np.repeat(np.repeat(np.arange(len(v)), lengths) * k, each) + columns[at]
+            result = np.bincount(cells, np.repeat(weights, each) * signs[at], len(v) * k)
             offsets = pa.array(np.arange(0, (len(v) + 1) * k, k, dtype=np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(result.reshape(-1)))
+            yield pa.ListArray.from_arrays(offsets, pa.array(result))
 
     return df.withColumn(out, project(F.col(vector)))
 
