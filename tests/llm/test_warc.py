@@ -58,6 +58,22 @@ def test_damage_is_reported():
     assert list(warc.records(io.BytesIO(b""))) == []
 
 
+def test_reading_goes_on_after_a_bad_record():
+    bad = [b"HTTP/1.1 200\r\n\r\n" + b"x" * 300_000, b"WARC/1.1\r\nA: b\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"no end", b""]
+    for piece in bad:
+        a, b, c = list(warc.records(io.BytesIO(archive(one(1), gzip.compress(piece), one(2)))))
+        assert (a.error, c.error) == (None, None) and b.error and not b.headers
+        assert (a.header("WARC-Record-ID"), c.header("WARC-Record-ID")) == ("<urn:page:1>", "<urn:page:2>")
+    cut = gzip.compress(b"HTTP/1.1 200\r\n\r\n" + bytes(range(256)) * 9)[:-9]
+    first, last = list(warc.records(io.BytesIO(archive(one(1), cut))))
+    assert first.error is None and "ends within" in last.error
+
+
+def test_urls_of_any_length(spark):
+    pages = spark.createDataFrame([(1, "u", "<a>"), (2, "http://x/" + "é " * 600_000, "<b>"), (3, "v", "<c>")], "page_id long, url string, html string")
+    assert len(same_as_sql(spark, pages)) == 3
+
+
 def same_as_sql(spark, pages):
     df = warc.round_trip(spark, pages)
     cols = sorted(df.columns)

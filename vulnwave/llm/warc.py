@@ -36,6 +36,7 @@ from vulnwave.session import cut_lineage, scratch_path
 PIECE = 1 << 16
 # Uncompressed bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 256 << 20
+# Bound on the HTTP header within a block; the header of a record itself is as long as its url makes it.
 LONGEST_HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -45,6 +46,10 @@ class BadRecord(Exception):
     """A record that doesn't follow the format."""
 
 
+class BadMember(BadRecord):
+    """A gzip stream that can't be read on, so that the start of the next record isn't known."""
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -170,11 +175,11 @@ class Members:
             if not self.raw:
                 self.raw = self.source.read(self.piece)
                 if not self.raw:
-                    raise BadRecord("the file ends within a member")
+                    raise BadMember("the file ends within a member")
             try:
                 out = inflate.decompress(self.raw, self.piece)
             except zlib.error as e:
-                raise BadRecord(f"not a gzip member: {e}") from None
+                raise BadMember(f"not a gzip member: {e}") from None
             self.raw = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
             if out:
                 yield out
@@ -187,16 +192,14 @@ class _Bytes:
         self.pieces, self.held = pieces, b""
 
     def until_blank_line(self) -> bytes:
-        at = 0
-        while (end := self.held.find(b"\r\n\r\n", max(0, at - 3))) < 0:
-            at = len(self.held)
-            if at > LONGEST_HEADER:
-                raise BadRecord("no end of the header block")
+        held, at = bytearray(self.held), 0
+        while (end := held.find(b"\r\n\r\n", max(0, at - 3))) < 0:
+            at = len(held)
             piece = next(self.pieces, None)
             if piece is None:
                 raise BadRecord("the header block doesn't end")
-            self.held += piece
-        head, self.held = self.held[: end + 2], self.held[end + 4 :]
+            held += piece
+        head, self.held = bytes(held[: end + 2]), bytes(held[end + 4 :])
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
@@ -267,14 +270,27 @@ def _one(pieces: Iterator[bytes], keep: bool) -> Record:
 
 
 def records(source: BinaryIO, keep: bool = True) -> Iterator[Record]:
-    """The records of an archive in order. A damaged record ends the reading and comes back as one with ``error``."""
+    """The records of an archive in order.
+
+    A record that breaks the format comes back as one with ``error`` and nothing else; the rest of its member is inflated, and the reading
+    goes on with the next. Only a gzip stream that can't be inflated, or that the file cuts short, ends the reading, with such a record too.
+    """
     members = Members(source)
     while members.more():
+        pieces = members.member()
         try:
-            yield _one(members.member(), keep)
-        except BadRecord as e:
+            try:
+                found = _one(pieces, keep)
+            except BadMember:
+                raise
+            except BadRecord as e:
+                found = Record({}, error=str(e))
+                for _ in pieces:
+                    pass
+        except BadMember as e:
             yield Record({}, error=str(e))
             return
+        yield found
 
 
 ROWS = (
@@ -309,7 +325,7 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
                     held, size = [], 0
                     for r in records(source, payload):
                         held.append(row(path, r))
-                        size += len(r.payload or b"") + 500
+                        size += len(r.payload or b"") + sum(map(len, r.headers.values())) + 500
                         if size > 4 << 20:
                             yield _batch(held)
                             held, size = [], 0
