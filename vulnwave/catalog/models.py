@@ -15,6 +15,7 @@ from ..plans import assess as plan
 from ..session import cut_lineage, scratch_path
 from . import tables as t
 from .registry import query
+from .scoring import CONTAMINATION_SELECT, contamination_rows, contamination_sql
 
 
 def _r(c: str, places: int = 6):
@@ -22,7 +23,7 @@ def _r(c: str, places: int = 6):
 
 
 # --- isolation forest --------------------------------------------------------
-def _forest_sql(table: str, key: str, vector: str, contamination: float, forest: IsolationForest) -> str:
+def _forest_sql(table: str, key: str, vector: str, contamination: float, forest: IsolationForest, final: str = "") -> str:
     """Samples, trees level by level, walks and flags in SQL: key, anomaly_score, if_flag."""
     deep, piece = forest.depth_limit, "('0x' || substr(md5('{seed}:' || {key}), {at}, 13))::BIGINT"
     a, b = (piece.format(seed=forest.seed, key=key, at=at) for at in (1, 14))
@@ -59,7 +60,8 @@ def _forest_sql(table: str, key: str, vector: str, contamination: float, forest:
         "scores AS MATERIALIZED (SELECT key, pow(2, -path / norm) AS score FROM means, norm)",
         f"cut AS (SELECT quantile_cont(score, {t.dbl(1.0 - contamination)}) AS bound FROM scores)",
     ]
-    return f"WITH {', '.join(parts)} SELECT key AS {key}, round(score, 9) AS anomaly_score, score > bound AS if_flag FROM scores, cut"
+    final = final or f"SELECT key AS {key}, round(score, 9) AS anomaly_score, score > bound AS if_flag FROM scores, cut"
+    return f"WITH {', '.join(parts)} {final}"
 
 
 @query(_forest_sql("embeddings", "vec_id", "embedding", 0.03, IsolationForest()))
@@ -71,6 +73,15 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     return forest.flag(cut_lineage(scored), "anomaly_score", 0.03).select("vec_id", _r("anomaly_score", 9), "if_flag")
 
 
+@query(
+    contamination_sql(CONTAMINATION_SELECT, events=_forest_sql("embeddings", "vec_id", "embedding", 0.03, IsolationForest(), "SELECT score AS value FROM scores"))
+)
+def contamination_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep of contaminations over the scores of a forest of all embeddings."""
+    e = t.read(spark, d, "embeddings")
+    return contamination_rows(IsolationForest().fit(e, "vec_id", "embedding").score(e, "embedding"), "anomaly_score")
+
+
 @query()
 def isolation_flag_text(spark: SparkSession, d: str) -> DataFrame:
     """Scores and flags of all documents, from projected TF-IDF vectors."""

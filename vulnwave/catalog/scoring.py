@@ -464,21 +464,30 @@ _CONT_VIEWS = {
 _CONT_COLS = ["cut", "avg_anomaly_score", "score_variance", "gap"]
 
 
-def _cont_sql(sql: str) -> str:
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _CONT_VIEWS.items()) + " " + sql
+def contamination_sql(sql: str, **scores: str) -> str:
+    """``sql`` behind the views of the sweep; ``events`` may be given as a view with column value."""
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in {**scores, **_CONT_VIEWS}.items()) + " " + sql
+
+
+def contamination_rows(scores: DataFrame, score: str) -> DataFrame:
+    swept = sweeps.contamination_sweep(scores, score)
+    return swept.select("contamination", "anomalies_count", *[_r(c, 5) for c in _CONT_COLS])
+
+
+CONTAMINATION_SELECT = f"SELECT contamination, anomalies_count, {_rsql(*_CONT_COLS, places=5)} FROM sw"
 
 
 def _contamination(spark: SparkSession, d: str) -> DataFrame:
     return sweeps.contamination_sweep(t.read(spark, d, "events"), "value")
 
 
-@query(_cont_sql(f"SELECT contamination, anomalies_count, {_rsql(*_CONT_COLS, places=5)} FROM sw"))
+@query(contamination_sql(CONTAMINATION_SELECT))
 def contamination_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _contamination(spark, d).select("contamination", "anomalies_count", *[_r(c, 5) for c in _CONT_COLS])
+    return contamination_rows(t.read(spark, d, "events"), "value")
 
 
 @query(
-    _cont_sql(
+    contamination_sql(
         """SELECT contamination, round(CASE WHEN rn = 1 THEN nx - cut WHEN rn = 20 THEN cut - pv ELSE (nx - pv) / 2 END, 5) AS gradient
            FROM (SELECT contamination, cut, lead(cut) OVER w AS nx, lag(cut) OVER w AS pv, row_number() OVER w AS rn FROM sw
            WINDOW w AS (ORDER BY contamination))"""
@@ -490,7 +499,7 @@ def contamination_gradient(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _cont_sql(
+    contamination_sql(
         """, dd AS (SELECT contamination, lag(contamination) OVER w AS pc, round(cut, 12) - lag(round(cut, 12)) OVER w AS d1,
              lead(round(cut, 12)) OVER w - 2 * round(cut, 12) + lag(round(cut, 12)) OVER w AS d2 FROM sw WINDOW w AS (ORDER BY contamination)),
            e AS (SELECT contamination AS elbow FROM dd WHERE d2 IS NOT NULL ORDER BY abs(d2) DESC, contamination LIMIT 1)
