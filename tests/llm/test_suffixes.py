@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from vulnwave.llm import suffixes
+from vulnwave.llm import suffixes, util
 
 
 def brute(texts, length):
@@ -73,6 +73,31 @@ def test_documents(spark, sf_dir):
     assert got == brute(texts, suffixes.LENGTH) and sum(r[1] for r in got) > 0
 
 
+def test_few_very_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RANGE", 50)
+    r = random.Random(9)
+    common = ["".join(r.choice("abcdefgh") for _ in range(300)) for _ in range(30)]
+    texts = ["".join(r.choice(common) + "".join(r.choice("abcdefgh") for _ in range(80)) for _ in range(40)) for _ in range(3)]
+    drawn = []
+    own = suffixes._drawn
+
+    def watched(anchored, share, *rest):
+        out = own(anchored, share, *rest)
+        drawn.append((share * anchored.selectExpr("sum(size(places))").first()[0], out.groupBy("row").count().collect()))
+        return out
+
+    monkeypatch.setattr(suffixes, "_drawn", watched)
+    assert found(spark, texts, 40, 16) == brute(texts, 40)
+    (want, by_row), = drawn
+    assert len(by_row) == 3 and 0.6 * want < sum(x["count"] for x in by_row) < 1.4 * want
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(util, "HOT_ROWS", 10)
+    texts = passages(11) + ["".join(chr(97 + i * i % 23) for i in range(120))] * 40 + [f"{k}" * 9 + "the same passage in forty documents, of over forty bytes" + f"{k}" * 9 for k in range(40)]
+    assert found(spark, texts, 40, 16) == brute(texts, 40)
+
+
 def test_odd_rows(spark):
     text = "".join(chr(97 + i * i % 23) for i in range(900))
     assert found(spark, [text, text, None, "x"], 400, 128, [7, 7, None, None])[:2] == [(900, 900, 1, hashlib.sha256().hexdigest())] * 2

@@ -21,7 +21,8 @@ repeated string must share:
    So a few strings of LENGTH bytes an anchor are enough: those that start or end at such a depth.
 5. *Check.* These strings are counted by 128-bit hash over the corpus; those that occur twice are removed wherever they are.
 
-Nothing is sampled but splitters. Null and empty texts have no bytes. Texts of any length are read whole; anchors of long ones are found in pieces
+Hashes that very many places share (of a common passage, or of copies of a document) are joined apart, so that no task gets all of them.
+Nothing is sampled but splitters, which are drawn by place and not by document. Null and empty texts have no bytes. Texts of any length are read whole; anchors of long ones are found in pieces
 that overlap. Repeated rows are documents of their own and remove each other. Null ids are kept as they are. Columns other than
 id and text aren't looked at.
 """
@@ -41,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnwave.llm.util import slices, small_batches
+from vulnwave.llm.util import join_counts, slices, small_batches
 from vulnwave.session import cut_lineage, stored
 
 LENGTH = 400
@@ -389,6 +390,30 @@ def _with_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("id", "row", "text").mapInArrow(run, f"id {kind}, row long, n_bytes long, sha string, places array<long>, keys array<long>")
 
 
+def _drawn(texts: DataFrame, share: float, length: int, gram: int) -> DataFrame:
+    """row, place, suffix, prefix of a share of all anchors, drawn by hash of row and place: as many of a long document as of short ones."""
+    most = np.uint64(min(2**64 - 1, int(share * 2.0**64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, at in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("places")):
+                where = np.asarray(at.values, np.int64)
+                h = where.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh3_64_intdigest(row.to_bytes(8, "little", signed=True)))
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(29)
+                picked = where[h <= most].tolist()
+                if not picked:
+                    continue
+                data = text.as_py().encode()
+                for k in range(0, len(picked), 10_000):
+                    part = picked[k : k + 10_000]
+                    sides = [pa.array([s for s, _, _ in _strings(data, part, row, side, length, gram)], pa.binary()) for side in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(part), pa.int64()), pa.array(part, pa.int64()), *sides], names=["row", "place", "suffix", "prefix"])
+
+    return texts.select("row", "text", "places").mapInArrow(run, "row long, place long, suffix binary, prefix binary")
+
+
 def repeated_starts(rows: DataFrame, places: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(row, starts) of the strings of ``length`` bytes that occur twice and bound a repeated stretch, and the stored
     (row, text, places) that they come from. rows: row, text; places: row, places (array)."""
@@ -399,12 +424,10 @@ def repeated_starts(rows: DataFrame, places: DataFrame, length: int = LENGTH, gr
         return spark.createDataFrame([], "row long, starts array<long>"), texts
     ranges = min(RANGES, -(-total // RANGE))
     share = min(1.0, ranges * SAMPLES_A_RANGE / total)
-    drawn = F.shiftrightunsigned(F.xxhash64("row", F.lit(7)), 11) / float(2**53) < max(share, 1e-12)
     lists: list[list[Item]] = [[], []]
-    for r in texts.where(drawn).limit(4 * RANGES * SAMPLES_A_RANGE).toLocalIterator():
-        data = r["text"].encode()
-        for side in (0, 1):
-            lists[side] += _strings(data, r["places"], r["row"], side, length, gram)
+    for r in _drawn(texts, share, length, gram).limit(4 * RANGES * SAMPLES_A_RANGE).toLocalIterator():
+        for side, name in enumerate(("suffix", "prefix")):
+            lists[side].append((bytes(r[name]), r["row"], r["place"]))
     splitters: list[list[Item]] = []
     for sample in lists:
         sample.sort()
@@ -482,8 +505,9 @@ def repeated_starts(rows: DataFrame, places: DataFrame, length: int = LENGTH, gr
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["row", "start", "hash"])
 
     strings = stored(texts.select("row", "text").join(by_row, "row").mapInArrow(windows, "row long, start long, hash binary"), "strings")
-    twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return strings.join(twice, "hash").groupBy("row").agg(F.collect_list("start").alias("starts")), texts
+    twice = stored(strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    met = join_counts(strings, twice, "hash", "n", F.xxhash64("row", "start").cast("string").cast("binary"))
+    return met.groupBy("row").agg(F.collect_list("start").alias("starts")), texts
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -493,8 +517,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     same = cut_lineage(found.groupBy("sha").agg(F.min("row").alias("first"), F.count("*").alias("copies")))
     single = found.join(same.select("first"), found["row"] == F.col("first")).select("row", F.explode(F.arrays_zip("places", "keys")).alias("a"))
     grams = single.select("row", F.col("a.places").alias("place"), F.col("a.keys").alias("key"))
-    shared = grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = grams.join(shared, "key").groupBy("row").agg(F.collect_list("place").alias("places"))
+    shared = stored(grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    places = join_counts(grams, shared, "key", "n", F.xxhash64("row", "place")).groupBy("row").agg(F.collect_list("place").alias("places"))
     starts, texts = repeated_starts(rows, places, length, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,7 +536,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 )
 
     done = texts.select("row", "text").join(starts, "row").mapInArrow(cut, "of long, cut array<struct<start: long, end: long>>, rest string")
-    rows = found.select("id", "row", "n_bytes", "sha").join(same, "sha")
+    rows = join_counts(found.select("id", "row", "n_bytes", "sha"), same, "sha", "copies", F.xxhash64("row").cast("string"))
     rows = rows.join(done, F.col("first") == F.col("of"), "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

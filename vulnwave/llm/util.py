@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 # Rows of an Arrow batch.
 BATCH_ROWS = 500
+# Rows of a key from which on it is joined apart, and most such keys there are.
+HOT_ROWS = 2_000
+HOT_KEYS = 50_000
 # Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -54,3 +57,25 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterato
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def join_counts(rows: DataFrame, counts: DataFrame, key: str, n: str, salt: Column) -> DataFrame:
+    """``rows`` joined (inner) with ``counts``: the number ``n`` of rows of a ``key``, each key once, and other columns; none
+    of its names but the key is among those of ``rows``.
+
+    Keys of more than ``HOT_ROWS`` rows, and of more than a ``HOT_KEYS``-th of all, get theirs from a broadcast of at most ``HOT_KEYS`` keys.
+    Their rows pass the shuffle of the others by ``salt``, an expression of the key's type that spreads rows. ``counts`` is read
+    three times and should be stored. Null keys are left out.
+    """
+    every = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.coalesce(F.max(n), F.lit(0)).alias("most")).first()
+    often = max(HOT_ROWS, every["total"] // HOT_KEYS)
+    if every["most"] <= often:
+        return rows.join(counts, key)
+    names = [c for c in counts.columns if c != key]
+    hot = counts.where(F.col(n) > often).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in names])
+    cold = counts.where(F.col(n) <= often).select(F.col(key).alias("cold_key"), *[F.col(c).alias(f"cold_{c}") for c in names])
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    # a salt that equals a key of the others does no harm: hot columns come first
+    met = met.withColumn("dealt_by", F.when(F.col("hot_key").isNull(), F.col(key)).otherwise(salt))
+    met = met.join(cold, F.col("dealt_by") == F.col("cold_key"), "left").where(F.col("hot_key").isNotNull() | F.col("cold_key").isNotNull())
+    return met.select(*rows.columns, *[F.when(F.col("hot_key").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in names])
