@@ -65,3 +65,33 @@ def test_odd_rows_ties_and_copies(spark, monkeypatch):
     assert [r["vec_id"] for r in few] == [1, 100]
     twice = ann.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>"))
     assert [r["vec_id"] for r in twice.collect()] == [1, 1]
+
+
+def asked_of(spark, rows):
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1.0]), (20, [3.0, 4.0]), (21, [1.0, 1.0]), (22, [5e-324, 0.0]), (40, [-1.7e308, 1.7e308])]
+    got = asked_of(spark, rows)
+    assert sorted(got) == [0, 20, 40]
+    assert [v for v, _ in got[0]] == [1, 20, 21, 22, 40] and got[0][1] == (20, 3e-200)
+    # 3 * -1.7e308 + 4 * 1.7e308 leaves the range on the way only
+    assert [v for v, _ in got[20]] == [40, 1, 21, 0, 22] and got[20][0][1] == pytest.approx(1.7e308) and got[20][1:3] == [(1, 3e200), (21, 7.0)]
+    assert [v for v, _ in got[40]] == [20, 21, 22, 0, 1] and got[40][4][1] == -np.inf
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_huge_vector_does_not_blur_the_others(spark, seed, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 150)
+    r = np.random.default_rng(seed)
+    vectors = r.normal(size=(400, 6))
+    vectors[7] *= 1e180
+    vectors[9] *= 1e-170
+    got = asked_of(spark, [(i, v.tolist()) for i, v in enumerate(vectors)])
+    ids = np.arange(400)
+    hits = sum(len({v for v, _ in got[q]} & set(brute(ids, vectors.copy(), q))) for q in range(0, 400, 20))
+    assert sorted(got) == list(range(0, 400, 20)) and hits >= 0.9 * 20 * 20

@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product: stable projections, kd-trees, a chi-square stopping test.
 
-Largest inner product becomes least Euclidean distance: a candidate x gets one more coordinate, sqrt(M^2 - |x|^2) with M the largest
-norm, a query, scaled to norm M, gets 0. Distances are projected to ``DIMS`` dimensions by Gaussian (2-stable) vectors: the squared
+Largest inner product becomes least Euclidean distance: a candidate x, divided by the largest norm M, gets one more coordinate that brings
+it to norm 1, a query, scaled to norm 1, gets 0. Distances are projected to ``DIMS`` dimensions by Gaussian (2-stable) vectors: the squared
 projected distance over the squared distance is chi-square with ``DIMS`` degrees of freedom. A query takes candidates in the order of
 their projected distance, a leaf of a kd-tree at a time, and computes their true inner products, until that distance, squared, over the
 squared distance of its k-th nearest so far passes the ``SURE`` quantile: a candidate not yet seen would then be nearer
@@ -13,7 +13,8 @@ A query first searches a part of the cell that it lies in; its k-th distance the
 cells and parts can still matter, and it is sent to those alone. Queries travel in blocks of ``QUERIES``.
 
 Vectors that are null, empty, zero, hold null or non-finite components or aren't as long as most take no part. Ties go to the smaller
-id. Rows with the query's id aren't its candidates; null ids take no part. Repeated rows are candidates each;
+id. Components may be of any size, as norms are taken in units of the largest component; inner products beyond the range of
+doubles are infinite. Rows with the query's id aren't its candidates; null ids take no part. Repeated rows are candidates each;
 of the usable vectors of a query's id the least in array order is asked. An empty table gives none.
 """
 
@@ -38,6 +39,7 @@ PART = 20_000
 LEAF = 256
 QUERIES = 500
 SEED = 20
+LARGEST = float(np.finfo(float).max)
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -64,16 +66,24 @@ def projection(width: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, dims))
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Norms of non-zero vectors, squared in units of their largest component; the largest double beyond the range."""
+    most = np.abs(vectors).max(1)
+    parts = vectors / most[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt(np.einsum("ij,ij->i", parts, parts)), LARGEST)
+
+
 def lifted(vectors: np.ndarray, most: float) -> np.ndarray:
-    """Candidates with the coordinate that brings them all to norm ``most``."""
-    rest = np.maximum(most * most - np.einsum("ij,ij->i", vectors, vectors), 0.0)
-    return np.hstack([vectors, np.sqrt(rest)[:, None]])
+    """Candidates in units of the largest norm ``most``, with the coordinate that brings them all to norm 1."""
+    parts = vectors / most
+    rest = np.maximum(1 - np.einsum("ij,ij->i", parts, parts), 0.0)
+    return np.hstack([parts, np.sqrt(rest)[:, None]])
 
 
-def aimed(vectors: np.ndarray, most: float) -> np.ndarray:
-    """Queries at norm ``most`` and 0 in the last coordinate: the order of inner products is kept."""
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    return np.hstack([vectors * (most / norms)[:, None], np.zeros((len(vectors), 1))])
+def aimed(vectors: np.ndarray, norm: float = 1.0) -> np.ndarray:
+    """Queries at norm ``norm`` and 0 in the last coordinate: the order of inner products is kept."""
+    return np.hstack([vectors / lengths(vectors)[:, None] * norm, np.zeros((len(vectors), 1))])
 
 
 class KdTree:
@@ -157,10 +167,11 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     rows = table.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite)
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    rows = rows.where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs))).where("most > 0")
+    parts = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))
+    rows = rows.select("key", "v", F.least(F.col("most") * F.sqrt(parts), F.lit(LARGEST)).alias("norm"))
+    widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    return rows.where(F.size("v") == (widths[0]["n"] if widths else 0))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -218,7 +229,7 @@ def search(table: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
         own, m = index.value
         names, box = where.value
         for batch in batches:
-            points = aimed(_matrix(batch.column("v"), own.width), own.most) @ m
+            points = aimed(_matrix(batch.column("v"), own.width)) @ m
             nearest = [int(_gaps(box, p).argmin()) for p in points]
             ends = pa.array(np.full(len(points), np.inf))
             yield pa.RecordBatch.from_arrays(
@@ -241,7 +252,7 @@ def search(table: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                point = (aimed(_matrix(row.column("v"), own.width), own.most) @ m)[0]
+                point = (aimed(_matrix(row.column("v"), own.width)) @ m)[0]
                 reach = row.column("reach")[0].as_py()
                 gaps = _gaps(box, point)
                 home = int(gaps.argmin())
@@ -291,21 +302,20 @@ def _searched(asked: DataFrame, parts: DataFrame, index, limit: float, k: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, m = index.value
-        last, tree = None, None
+        last, tree, sizes = None, None, None
         for batch in batches:
             for row in batch.to_pylist():
                 name = row["cell"], row["part"]
                 if name != last:
                     keys = np.frombuffer(row["keys"], "<i8")
                     vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, own.width)
-                    last, tree = name, KdTree(lifted(vectors, own.most) @ m)
+                    last, tree, sizes = name, KdTree(lifted(vectors, own.most) @ m), lengths(vectors)
                 asked = np.frombuffer(row["asked"], "<i8")
                 points = np.frombuffer(row["points"], "<f8").reshape(-1, own.width)
                 reach = np.frombuffer(row["reach"], "<f8")
-                projected = aimed(points, own.most) @ m
+                aims = aimed(points)
                 out: list = [[], [], [], []]
-                norms = np.sqrt(np.einsum("ij,ij->i", points, points))
-                q, found, gaps = nearest(tree, keys, vectors, points, projected, asked, own.most / norms, own.most, limit, reach, k)
+                q, found, gaps = nearest(tree, keys, vectors, sizes, aims[:, :-1], aims @ m, asked, own.most, limit, reach, k)
                 out[0], out[1], out[3] = asked[q], keys[found], gaps
                 out[2] = exact(points[q], vectors[found])
                 yield pa.RecordBatch.from_arrays(
@@ -318,22 +328,32 @@ def _searched(asked: DataFrame, parts: DataFrame, index, limit: float, k: int) -
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows in double precision, summed from the first component on."""
-    return np.add.accumulate(a * b, axis=1)[:, -1] if len(a) else np.zeros(0)
-
-
-def nearest(tree, keys, vectors, queries, points, asked, scale, most, limit, reach, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inner products of rows in double precision, summed from the first component on; where that leaves the range on the way, in units
+    of the rows' largest components."""
+    if not len(a):
+        return np.zeros(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.add.accumulate(a * b, axis=1)[:, -1]
+        far = ~np.isfinite(out)
+        if far.any():
+            u, v = np.abs(a[far]).max(1), np.abs(b[far]).max(1)
+            out[far] = np.add.accumulate(a[far] / u[:, None] * (b[far] / v[:, None]), axis=1)[:, -1] * u * v
+    return out
+
+
+def nearest(tree, keys, vectors, sizes, aims, points, asked, most, limit, reach, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, squared distance) of the ``k`` nearest of each query and a few more, by incremental search in the projection.
 
-    Each query takes the leaves in the order of their distance from it, until the test stops it. In each round all
-    queries that go on take their next leaf, those that take the same one in one matrix product.
+    sizes: norms of the vectors; aims: the queries at norm 1, points: their projections. Each query takes the leaves in the order of
+    their distance from it, until the test stops it. In each round all queries that go on take their next leaf, those that take
+    the same one in one matrix product. Rows are ranked by inner product; distances only stop the search and leave out what is further.
     """
     gaps = tree.gaps(points)
     order = np.argsort(gaps, axis=1, kind="stable")
-    going = np.ones(len(queries), bool)
+    going = np.ones(len(aims), bool)
     bound = np.array(reach, float)
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row, squared distance
-    everyone = np.arange(len(queries))
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row, inner product
+    everyone = np.arange(len(aims))
     for turn in range(gaps.shape[1]):
         leaf = order[:, turn]
         going &= gaps[everyone, leaf] <= limit * bound
@@ -343,24 +363,27 @@ def nearest(tree, keys, vectors, queries, points, asked, scale, most, limit, rea
         for at in np.unique(leaf[going]):
             who = np.nonzero(going & (leaf == at))[0]
             rows = tree.leaves[at]
-            # |x' - q'|^2 = 2 M^2 - 2 <x, q> M / |q|
-            found = 2 * most * most - 2 * scale[who][:, None] * (queries[who] @ vectors[rows].T)
-            found = np.maximum(found, 0.0)
-            found[asked[who][:, None] == keys[rows][None, :]] = np.inf
-            i, j = np.nonzero(found <= bound[who][:, None] + 1e-9 * most * most)
-            keep = np.isfinite(found[i, j])
-            i, j = i[keep], j[keep]
+            with np.errstate(over="ignore", invalid="ignore"):
+                found = np.nan_to_num(aims[who] @ vectors[rows].T)
+            other = asked[who][:, None] != keys[rows][None, :]
+            i, j = np.nonzero(other & (_distance(found, most) <= bound[who][:, None] + 1e-9))
             new.append([who[i], rows[j], found[i, j]])
         held = [np.concatenate(x) for x in zip(*new)]
-        # equal vectors may differ in the last bits of a product: ties go by key within a rounding
-        ranked = np.lexsort((keys[held[1]], np.round(held[2] / (most * most), 10), held[0]))
+        # equal vectors may differ in the last bits of a product: ties go by key within a rounding of the cosine
+        size = sizes[held[1]]
+        ranked = np.lexsort((keys[held[1]], -np.round(held[2] / size, 12) * size, held[0]))
         held = [x[ranked] for x in held]
         first = np.searchsorted(held[0], everyone)
         nth = np.arange(len(held[0])) - first[held[0]]
         full = nth == k - 1
-        bound[held[0][full]] = np.minimum(reach[held[0][full]], held[2][full])
+        bound[held[0][full]] = np.minimum(reach[held[0][full]], _distance(held[2][full], most))
         held = [x[nth < k + 4] for x in held]
-    return held[0], held[1], held[2]
+    return held[0], held[1], _distance(held[2], most)
+
+
+def _distance(product: np.ndarray, most: float) -> np.ndarray:
+    """Squared distance of a lifted candidate from a query at norm 1, from their inner product."""
+    return np.maximum(2 - 2 * (product / most), 0.0)
 
 
 def neighbours(table: DataFrame, every: int = 20) -> DataFrame:
