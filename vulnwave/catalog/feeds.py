@@ -157,6 +157,17 @@ def cwe_catalog(spark: SparkSession, d: str) -> DataFrame:
     return cwe.cwe_catalog(weak.unionByName(named))
 
 
+@query(_ELEMENTS)
+def cwe_catalog_xml(spark: SparkSession, d: str) -> DataFrame:
+    """The same catalogue, from XML files written from ``documents`` and read again."""
+    docs = t.read(spark, d, "documents")
+    path = scratch_path(spark, "catalogue")
+    for tag, text, number in (("Weakness", "Description", F.col("doc_id")), ("Category", "Name", F.col("doc_id") * 5)):
+        rows = docs.select(number.alias("_ID"), F.col("text").alias(text))
+        rows.write.mode("append").format("xml").option("rootTag", "Catalog").option("rowTag", tag).save(path)
+    return cwe.cwe_catalog(cwe.read_cwe_xml(spark, path))
+
+
 # --- articles ----------------------------------------------------------------
 _ARTICLE_SQL = r"(?is)<article\b[^>]*>(.*?)</article>"
 # the inline elements that the test pages have
