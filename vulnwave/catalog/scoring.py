@@ -121,7 +121,7 @@ _ALL_PAIRS = f"""SELECT a.c AS label_a, b.c AS label_b FROM (SELECT unnest([{',
     )
 )
 def label_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return labels.cooccurrence(t.labelled(spark, d))
+    return labels.cooccurrence(t.labelled(spark, d), key="cve_id")
 
 
 def _corr_sql(a: str, b: str) -> str:
