@@ -170,10 +170,10 @@ def saved_classifier(spark: SparkSession, d: str) -> DataFrame:
     fitted.save(f"{path}/forests")
     again = classify.FeatureModel.load(spark, f"{path}/features")
     forests = classify.ThreatClassifier.load(spark, f"{path}/forests")
+    # Each row is scored twice where it is: an id may stand on several rows, so a join by id would pair them all.
     before = fitted.predict(features.assemble(features.transform(test)))
-    after = forests.predict(again.assemble(again.transform(test)), prob="again_", pred="answer_")
-    names = [f"prob_{c}" for c in fixed.CATEGORIES]
-    both = before.select("cve_id", *names).join(after.select("cve_id", *[f"again_{c}" for c in fixed.CATEGORIES]), "cve_id")
+    texts = before.select(*test.columns, *[f"prob_{c}" for c in fixed.CATEGORIES])
+    both = forests.predict(again.assemble(again.transform(texts)), prob="again_", pred="answer_")
     same = reduce(lambda a, b: a & b, [F.col(f"prob_{c}") == F.col(f"again_{c}") for c in fixed.CATEGORIES])
     return both.select("cve_id", same.alias("same"))
 
