@@ -71,12 +71,12 @@ def assess(master: DataFrame, as_of: str | dt.date | Column, **options: object)
 def detect(assessed: DataFrame, *, isolation: bool = True, **forest: object) -> DataFrame:
     """Assessed rows plus the three flags and ``emerging``.
 
-    The isolation forest reads its input several times, so the rows are stored in
-    the shared folder before it.
+    The days' counts and the isolation forest read their input again, so the rows are
+    stored in the shared folder first; the flags before the forest are cheap.
     """
-    flagged = with_keyword_and_spike(assessed)
+    flagged = with_keyword_and_spike(stored(assessed, "assessed") if isolation else assessed)
     if isolation:
-        flagged = with_isolation_flag(stored(flagged, "flagged"), "doc_key", **forest)
+        flagged = with_isolation_flag(flagged, "doc_key", **forest)
     else:
         flagged = flagged.withColumn("if_flag", F.lit(False))
     return emerging(flagged)
