@@ -1,8 +1,10 @@
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +331,26 @@ def test_vector_and_long_form_agree(spark):
         assert math.isclose(vectors[r["doc_key"]][model.terms.index(r["term"])], r["weight"])
 
 
+def test_projection_of_a_batch_in_pieces():
+    r = np.random.default_rng(4)
+    lengths = np.array([0, 3, 500, 1, 0, 40] * 300)
+    slots = np.concatenate([np.sort(r.choice(500, n, replace=False)) for n in lengths])
+    weights = r.normal(size=len(slots))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (slots.astype(np.int32), weights)]
+    vectors = pa.StructArray.from_arrays(lists, names=["indices", "values"])
+    dense = np.zeros((len(lengths), 500))
+    dense[np.repeat(np.arange(len(lengths)), lengths), slots] = weights
+    want = dense @ tfidf.projection_matrix(500, 16, 42)
+    for entries in (1, 100, 10**9):
+        got = tfidf.projected(vectors, tfidf.projection_signs(500, 16, 42), 16, entries)
+        assert np.allclose(got.flatten().to_numpy().reshape(-1, 16), want)
+    tracemalloc.start()
+    tfidf.projected(vectors, tfidf.projection_signs(500, 256, 42), 256, 1_000)
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000  # the result is 3.7 MB; all entries at a time take over 90 MB
+    tracemalloc.stop()
+
+
 def test_projection_is_linear(spark):
     docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma{i % 5}") for i in range(30)] + [(30, "")], "i int, t string")
     model = tfidf.TfidfModel.fit(docs, "t", min_df=1, max_df=1.0)

@@ -23,6 +23,8 @@ from ..session import BROADCAST_ROWS, checked_broadcast, cut_lineage
 # A term in more than 1 / HOT_SHARE of all (document, term) rows is a hot join key;
 # there are at most HOT_SHARE such terms.
 HOT_SHARE = 10_000
+# Entries of vectors that are projected at a time.
+PROJECTED = 100_000
 
 
 def n_docs(docs: DataFrame) -> Column:
@@ -220,29 +222,42 @@ def projection_signs(n_features: int, k: int, seed: int) -> tuple[np.ndarray, np
     return np.searchsorted(rows, np.arange(n_features + 1)), columns, matrix[rows, columns]
 
 
+def projected(vectors: pa.Array, signs: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, entries: int = PROJECTED) -> pa.Array:
+    """Lists of ``k`` numbers for a batch of sparse vectors, made for about ``entries`` of their entries at a time."""
+    first, columns, values = signs
+    indices, weights = vectors.field("indices"), vectors.field("values")
+    lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    slots, weights = indices.flatten().to_numpy(), weights.flatten().to_numpy()
+    ends = np.cumsum(lengths)
+    result = np.zeros(len(vectors) * k)
+    start = done = 0
+    while start < len(vectors):
+        stop = max(start + 1, int(np.searchsorted(ends, done + entries, "right")))
+        held = slice(done, int(ends[stop - 1]))
+        here = slots[held]
+        # every entry (row, slot) meets the signs of its slot
+        each = first[here + 1] - first[here]
+        at = np.arange(each.sum()) + np.repeat(first[here] - (np.cumsum(each) - each), each)
+        cells = np.repeat(np.repeat(np.arange(stop - start) * k, lengths[start:stop]), each) + columns[at]
+        result[start * k : stop * k] = np.bincount(cells, np.repeat(weights[held], each) * values[at], (stop - start) * k)
+        start, done = stop, held.stop
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (len(vectors) + 1) * k, k, dtype=np.int32)), pa.array(result))
+
+
 def random_projection(
     df: DataFrame, vector: str, n_features: int, k: int = 256, seed: int = 42, out: str = "projected"
 ) -> DataFrame:
     """Project a sparse vector column to ``k`` numbers (``ARRAY<DOUBLE>``) without a shuffle.
 
-    Only the non-zero entries travel to Python, in Arrow batches, and a batch is one sparse product. The signs are drawn
-    from the seed once in each worker; their size is bounded by ``n_features * k``.
+    Only the non-zero entries travel to Python, in Arrow batches, and a batch is a few sparse products of bounded size. The signs
+    are drawn from the seed once in each worker; their size is bounded by ``n_features * k``.
     """
 
     @F.arrow_udf("array<double>")
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        first, columns, signs = projection_signs(n_features, k, seed)
+        signs = projection_signs(n_features, k, seed)
         for v in batches:
-            indices, values = v.field("indices"), v.field("values")
-            lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            slots, weights = indices.flatten().to_numpy(), values.flatten().to_numpy()
-            # every entry (row, slot) meets the signs of its slot
-            each = first[slots + 1] - first[slots]
-            at = np.arange(each.sum()) + np.repeat(first[slots] - (np.cumsum(each) - each), each)
-            cells = np.repeat(np.repeat(np.arange(len(v)), lengths) * k, each) + columns[at]
-            result = np.bincount(cells, np.repeat(weights, each) * signs[at], len(v) * k)
-            offsets = pa.array(np.arange(0, (len(v) + 1) * k, k, dtype=np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(result))
+            yield projected(v, signs, k)
 
     return df.withColumn(out, project(F.col(vector)))
 
