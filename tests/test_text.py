@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -80,3 +82,29 @@ def test_cleaning_is_stable(spark, texts):
     for r in rows:
         assert r["again"] == r["clean_text"]
         assert all(w.isalpha() for w in r["clean_text"].split())
+
+
+def test_a_plain_word_answers_for_the_cleaned_text(spark):
+    r = random.Random(8)
+    parts = ["the", "over", "patched", "Kernel", "sql", "injection", "denialofservice", "denial", "of", "service", "a" * 32, "CVE-2021-44228", "x@y.example"]
+    parts += ["http://a.example/some words", "it's", "don't", "&lt;", "<b>", "<!--", "-->", "9.8.7", "ab", "word.", "two-words", "cross site", "scripting", "mots\u00e9"]
+    texts = [None, "", " ", *parts] + [r.choice([" ", "\n", "\u00a0", ", "]).join(r.choices(parts, k=r.randint(1, 4))) for _ in range(3_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for options in ({}, {"keep_masks": True, "split_hyphens": True}, {"lemmas": False, "reference_order": True}):
+        same = F.trim(tx.clean_text_expr("t", **options)) != ""
+        plain = F.col("t").rlike(tx._PLAIN_WORD)
+        assert rows.where(same != tx.is_cleaned_to_text("t", **options)).count() == 0
+        assert rows.where(same & plain).count() > 500 and rows.where(~same).count() > 50
+
+
+def test_counted(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "B"],), ([],), (None,), (["x"],)], "w array<string>")
+    got = [r[0] for r in rows.select(tx.counted(F.col("w"))).collect()]
+    assert got == [[("B", 1), ("a", 1), ("b", 2)], None, None, [("x", 1)]]
+
+
+def test_words_of_a_text_are_found_once(spark):
+    for ngrams in ((1, 1), (1, 2)):
+        found = spark.createDataFrame([("a text of words and of words",), ("",), (None,), ("one",)], "t string").select(F.inline(tx.counted(tx.terms("t", ngrams))))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert {("of words", 2), ("of", 2), ("words and", 1), ("one", 1)} < {tuple(r) for r in found.collect()} and found.count() == 10

@@ -90,11 +90,15 @@ def isolation_flag_text(spark: SparkSession, d: str) -> DataFrame:
     return flagged.select("doc_id", "anomaly_score", "if_flag")
 
 
-def _master(spark: SparkSession, d: str) -> DataFrame:
+def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tagged = t.edges(spark, d).groupBy("url").agg(F.collect_set("cve_id").alias("cves"))
     news = t.articles(spark, d).select("source", "text", "published_date", "url").join(tagged, "url", "left")
     news = news.withColumn("source", F.lit(fixed.SOURCE_NEWS))
-    return plan.build_master(t.vuln(spark, d, spread=True).drop("sentiment"), news)
+    return t.vuln(spark, d, spread=True).drop("sentiment"), news
+
+
+def _master(spark: SparkSession, d: str) -> DataFrame:
+    return plan.build_master(*_raw(spark, d))
 
 
 @query()
@@ -111,7 +115,7 @@ def detect_emerging(spark: SparkSession, d: str) -> DataFrame:
 )
 def master_links(spark: SparkSession, d: str) -> DataFrame:
     """Every link of the master's CVEs, a row each."""
-    return plan.build_links(_master(spark, d)).select("doc_key", F.explode("linked_articles").alias("url"))
+    return plan.links_of(*_raw(spark, d)).select("doc_key", F.explode("linked_articles").alias("url"))
 
 
 # --- classifier --------------------------------------------------------------

@@ -6,6 +6,7 @@ chain is one projection in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -184,6 +185,20 @@ def clean_text(df: DataFrame, col: str, out: str = "clean_text", **options: bool
     return df.select(*kept, F.explode(one).alias(out))
 
 
+# A word between blanks that no step of cleaning changes or drops: letters only, too short for a hash, no stop word, and without
+# any part of the names that are masked.
+_MASKED = sorted({w for pattern, _ in fixed.ATTACK_MASKS for w in re.findall("[a-z]{2,}", pattern)})
+_PLAIN_WORD = rf"(?<![^ \n])(?i)(?!(?:{'|'.join(sorted(w for w in fixed.STOPWORDS if w.isalpha()))})(?![^ \n]))(?![a-z]*(?:{'|'.join(_MASKED)}))[a-z]{{4,20}}(?![^ \n])"
+
+
+def is_cleaned_to_text(c: Column | str, **options: bool) -> Column:
+    """Whether ``clean_text_expr`` leaves anything of a text. Without tags and entities one plain word answers for the whole."""
+    text = _col(c)
+    tagged = F.contains(text, F.lit("<")) | F.contains(text, F.lit("&"))
+    whole = F.trim(clean_text_expr(text, **options)) != ""
+    return F.when(~tagged & text.rlike(_PLAIN_WORD), F.lit(True)).otherwise(whole)
+
+
 def is_blank(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACE, " ")) == ""
 
@@ -217,8 +232,23 @@ def terms(c: Column | str, ngrams: tuple[int, int] = (1, 1)) -> Column:
         return unigrams
     if ngrams != (1, 2):
         raise ValueError("ngrams is (1, 1) or (1, 2)")
-    following = F.slice(unigrams, F.lit(2), F.greatest(F.size(unigrams), F.lit(1)))
-    pairs = F.array_compact(
-        F.zip_with(unigrams, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    )
-    return F.concat(unigrams, pairs)
+
+    def with_pairs(words: Column) -> Column:
+        following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+        return F.concat(words, F.array_compact(F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))))
+
+    return let(unigrams, with_pairs)
+
+
+def counted(words: Column) -> Column:
+    """Distinct words of an array and how often each stands there, as structs (term, n). No word is null."""
+
+    def starts(w: Column) -> Column:
+        return F.array_compact(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)))
+
+    def runs(w: Column) -> Column:
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(w)))
+        pair = lambda a, b: F.struct(F.get(w, a).alias("term"), (b - a).alias("n"))
+        return F.when(F.size(w) > 0, let(starts(w), lambda s: F.zip_with(s, ends(s), pair)))
+
+    return let(F.sort_array(words), runs)

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import latest
 from ..functions.bins import nan_to_null, severity_bin
-from ..functions.text import clean_text, extract_cves
+from ..functions.text import clean_text, extract_cves, is_cleaned_to_text
 from ..operators.emerging import emerging, with_isolation_flag, with_keyword_and_spike
 from ..operators.labels import binarise, seed_labels
 from ..operators.linking import article_cve_edges, combine, dedupe_latest, doc_key, link_chunks, with_link_counts
@@ -63,6 +64,27 @@ def build_links(master: DataFrame) -> DataFrame:
     return links.withColumnRenamed("cve_id", "doc_key")
 
 
+def links_of(nvd: DataFrame, articles: DataFrame, **clean: bool) -> DataFrame:
+    """What ``build_links`` gives for the master of these rows, without the master.
+
+    Of an article only its ids go on, and whether cleaning leaves anything of it; whole texts are neither moved nor stored.
+    """
+    cves = clean_text(dedupe_latest(nvd), "description", **clean).select("cve_id")
+    rest = [c for c in articles.columns if c != "url"]
+    tagged = F.transform(F.coalesce("cves", F.array().cast("array<string>")), F.upper)
+    narrow = articles.filter("url IS NOT NULL").select(
+        "url",
+        "published_date",
+        F.array_distinct(F.concat(tagged, extract_cves("text"))).alias("all_cves"),
+        is_cleaned_to_text("text", **clean).alias("_any"),
+        F.xxhash64(*rest).alias("_tie"),
+    )
+    order = [F.col("published_date").isNotNull(), F.col("published_date"), F.col("_tie")]
+    news = stored(latest(narrow, ["url"], order).filter("_any").select("url", "published_date", "all_cves"), "linked")
+    links = link_chunks(article_cve_edges(news, cves="all_cves", text=None))
+    return links.join(cves, "cve_id", "left_semi").withColumnRenamed("cve_id", "doc_key")
+
+
 def assess(master: DataFrame, as_of: str | dt.date | Column, **options: object) -> DataFrame:
     """Master plus ``urgency_score`` and ``urgency_level``."""
     return assess_urgency(master, as_of, **options)
