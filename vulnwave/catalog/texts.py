@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions import text as tx
 from ..functions.draws import draw_sql
 from ..operators import clustering, sentiment, sweeps, tfidf
+from ..session import cut_lineage
 from . import tables as t
 from .registry import query
 
@@ -255,7 +256,7 @@ def random_projection(spark: SparkSession, d: str) -> DataFrame:
 )
 def project_long(spark: SparkSession, d: str) -> DataFrame:
     docs = t.documents(spark, d)
-    vocab = tfidf.vocabulary(docs, "text", min_df=2, max_df=0.8, max_features=5000)
+    vocab = cut_lineage(tfidf.vocabulary(docs, "text", min_df=2, max_df=0.8, max_features=5000))  # read twice
     weights = tfidf.tfidf(docs, vocab, "doc_id", "text", max_features=5000)
     return tfidf.project_long(weights, tfidf.projection_terms(vocab, 5000)).select("doc_key", "component", _r("value"))
 

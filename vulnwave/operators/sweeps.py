@@ -206,8 +206,8 @@ def tfidf_sweep_top_terms(
     """(min_df, max_df, rank, term, mean_weight): leading terms of every setting.
 
     Term weights do not depend on the setting, only the length of a document's row
-    does. So the postings are built once, each document gets one length per setting,
-    and one aggregate per term holds the sums of all settings.
+    does. So the postings are built once, each document gets one length per setting
+    where its postings are, and one aggregate per term holds the sums of all settings.
     """
     grid = list(product(min_dfs, max_dfs))
     # Counted once: as a subquery it would stand in each of the conditions below.
@@ -219,12 +219,12 @@ def tfidf_sweep_top_terms(
     )
     # A term is in a setting if its document count lies between the two bounds.
     kept = [f"doc_count >= {a} AND doc_count <= {sql_value(b * n)}" for a, b in grid]
-    lengths = weighted.groupBy("doc_key").agg(
-        *[F.expr(f"sqrt(sum(CASE WHEN {c} THEN _w * _w END)) AS _l{i}") for i, c in enumerate(kept)]
-    )
-    sums = weighted.join(lengths, "doc_key").groupBy("term").agg(
-        *[F.expr(f"sum(CASE WHEN {c} THEN _w / _l{i} END) AS _s{i}") for i, c in enumerate(kept)]
+    within = "OVER (PARTITION BY doc_key)"
+    shares = weighted.select(
+        "term",
+        *[F.expr(f"CASE WHEN {c} THEN _w / sqrt(sum(CASE WHEN {c} THEN _w * _w END) {within}) END AS _u{i}") for i, c in enumerate(kept)],
     )
+    sums = shares.groupBy("term").agg(*[F.sum(f"_u{i}").alias(f"_s{i}") for i in range(len(kept))])
     entries = [
         {"min_df": str(a), "max_df": sql_value(float(b)), "_sum": f"_s{i}"} for i, (a, b) in enumerate(grid)
     ]
