@@ -87,3 +87,26 @@ def test_documents(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     texts = [r["text"] for r in rows]
     assert kept(spark, texts) == sorted(left(texts))
+
+
+def test_variants_that_do_not_link_are_not_all_compared(spark, monkeypatch):
+    r = random.Random(8)
+    base = words(r, 146)
+    texts = [" ".join(base)]
+    for _ in range(240):  # 4 words of 146: similarity 0.75 to the first, less among each other
+        text = list(base)
+        for k in r.sample(range(2, 29), 4):
+            text[5 * k] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(text))
+    for text in texts[1:240:3]:  # each third is linked to one of its own
+        texts.append(" ".join([*text.split()[:-1], "end"]))
+    compared = []
+    verified = neardup._verified
+
+    def counted(pairs, of):
+        compared.append(pairs.count())
+        return verified(pairs, of)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    assert kept(spark, texts) == sorted(left(texts)) == list(range(241))
+    assert sum(compared) < 25 * len(texts)  # of 51,360 pairs

@@ -8,10 +8,10 @@ Each set has ``BANDS`` keys of ``ROWS`` least hash values; two sets of similarit
 1 - (1 - s^6)^28: 0.9998 at 0.8, 0.978 at 0.65. Only equal sets are linked by a hash alone; every other link is
 one of two texts whose sets were compared. In the second turn the texts of a bucket are compared with one hub of it, the one that meets most
 others in all its buckets; in the first only those that have no larger bucket, so that a large family is one group after one comparison each.
-Where a bucket still has more than one group, all texts of different groups are compared if there are ``SMALL`` at most,
-otherwise all with ``HUBS`` hubs that differ from bucket to bucket. What belongs to the group of a hub then leaves the bucket, and the rest has
-four times as many hubs in the next turn, until no bucket has two groups: no group's size is squared. A link can
-be overlooked in a large bucket only, where one of its ends left with a hub that the other isn't similar to.
+In the last turn, where a bucket still has more than one group, all texts of different groups are compared if there are ``SMALL`` at most.
+Those of larger buckets are compared if they share a shingle early enough: with the shingles of each in one order, rarest first, two similar sets
+have their first common one so near the start of both that what follows can still make them similar. Variants of a text that each
+have too much of their own thus meet nobody, and no link between texts that share a key is lost.
 
 Empty and null texts have the empty set and are linked with each other. Null keys never stand for a group that has another. Rows that
 are repeated, or share key and set, are one row; all other columns are kept, those that start with two underscores excepted. An empty table gives
@@ -25,21 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnwave.llm import util
 from vulnwave.llm.components import components
-from vulnwave.llm.util import slices, small_batches
+from vulnwave.llm.util import join_counts, slices, small_batches
 from vulnwave.session import stored
 
 WIDTH = 5
 SIMILAR = 0.8
 BANDS = 28
 ROWS = 6
-HUBS = 8
-# Texts of a bucket that are all compared with each other, if the first turn leaves more than one group.
+# Texts of a bucket that are all compared with each other, if the first turns leave more than one group.
 SMALL = 16
 SEED = 42
 PIECE_BYTES = 2_000_000
@@ -50,6 +49,8 @@ HELD = 500_000
 # Pairs that one copy of a hub's text is compared in, at least, and a bound on the hubs that have copies.
 PARTNERS = 500
 HOT = 1_000
+# What sums of fractions may be off by.
+SLACK = 1e-6
 
 _draws = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 _XOR, _TIMES = _draws[0][:, None], (_draws[1] | np.uint64(1))[:, None]
@@ -94,12 +95,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def with_sets(docs: DataFrame, text: str = "text", prefix: str = "__") -> DataFrame:
     """All columns of ``docs`` with the hash of its set, the size of the set and the keys of its bands."""
     kept = small_batches(docs)
-    added = [T.StructField(f"{prefix}node", T.LongType()), T.StructField(f"{prefix}n", T.LongType()), T.StructField(f"{prefix}bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField(f"{prefix}{name}", T.LongType()) for name in ("node", "n")] + [T.StructField(f"{prefix}bands", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         util.kept("neardup")
         for piece in slices(batches, text, PIECE_BYTES):
-            sets = [shingles(t) for t in piece.column(text).to_pylist()]
+            texts = piece.column(text).to_pylist()
+            sets = [shingles(t) for t in texts]
             node = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
             new = [node, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *[f.name for f in added]])
@@ -147,7 +149,49 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "root long, hub_root long")
 
 
-def links(rows: DataFrame, hubs: int = HUBS, small: int = SMALL) -> DataFrame | None:
+def _near(n: Column, other: Column) -> Column:
+    """Sets of these sizes can be similar."""
+    return F.least(n, other) >= SIMILAR * F.greatest(n, other)
+
+
+def by_rarest(crowded: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, hub, root, hub_root: pairs of different roots that hold all similar ones among ``crowded`` (node, n, root; each node once).
+
+    The shingles of a set are ordered by the number of crowded sets that have them, the rarest first. What comes before the first
+    common one of two sets isn't shared, so they can be similar only if enough follows it in both.
+    """
+    both = small_batches(crowded.join(texts, "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        util.kept("neardup")
+        for piece in slices(batches, "text", PIECE_BYTES):
+            sets = [shingles(t) for t in piece.column("text").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), pa.int64())
+            every = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
+            rows = pa.RecordBatch.from_arrays([*[piece.column(c).take(of) for c in ("node", "n", "root")], every], names=["node", "n", "root", "shingle"])
+            for k in range(0, rows.num_rows, HELD):
+                yield rows.slice(k, HELD)
+
+    every = stored(both.mapInArrow(run, "node long, n long, root long, shingle long"), "shingles")
+    counts = stored(every.groupBy("shingle").agg(F.count("*").alias("of")).where("of > 1"), "counts")
+    shared = join_counts(every, counts, "shingle", "of", F.xxhash64("node", "shingle"))
+    own = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("of", "shingle")) - 1
+    first = shared.withColumn("rest", F.col("n") - place).where(F.col("rest") >= SIMILAR * F.col("n") - SLACK)
+    first = stored(first.select("shingle", "node", "n", "root", "rest"), "prefixes")
+    # pairs of different roots have an end that isn't of the root most frequent with the shingle: a large group isn't paired with itself
+    roots = first.groupBy("shingle", "root").agg(F.count("*").alias("of")).groupBy("shingle")
+    main = roots.agg(F.max(F.struct("of", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
+    hubs = stored(first.join(main, "shingle"), "prefixes")
+    ends = hubs.where("root <> main").drop("main")
+    hubs = hubs.select("shingle", "main", *[F.col(c).alias(f"hub_{c}") for c in ("n", "root", "rest")], F.col("node").alias("hub"))
+    enough = (1 + SIMILAR) * F.least("rest", "hub_rest") >= SIMILAR * (F.col("n") + F.col("hub_n")) - SLACK
+    once = (F.col("hub_root") == F.col("main")) | (F.col("node") < F.col("hub"))
+    met = ends.join(hubs, "shingle").where((F.col("root") != F.col("hub_root")) & enough & once)
+    return met.select("node", "hub", "root", "hub_root").distinct()
+
+
+def links(rows: DataFrame, small: int = SMALL) -> DataFrame | None:
     """node, root of all that is linked to another; None if nothing is. ``rows``: id (of the row), node, n, bands, text.
 
     A turn stores its pairs, its links between roots, the roots these lead to and what is left of the buckets; roots are contracted
@@ -162,35 +206,41 @@ def links(rows: DataFrame, hubs: int = HUBS, small: int = SMALL) -> DataFrame |
     )
     left = met.select("node", "n", F.col("node").alias("root"), "met", F.col("home.key").alias("home"), F.inline("in"))
     left = stored(left.withColumn("home", F.col("home") == F.col("key")), "buckets")
-    one = rows.select("node", "id").join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    named = left.select("node").distinct()
+    one = rows.select("node", "id").join(named, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     texts = stored(one.join(rows.select("id", "text"), "id").select("node", "text"), "compared")
     moves: list[DataFrame] = []
-    turn, slots = 0, 1
-    while not left.isEmpty():
-        # one hub a slot: in the first two turns, where a bucket is one slot, what meets most; later the least by a hash, and in a small bucket all
-        central = turn < 2
-        salt = [F.lit(0)] if central else [F.lit(turn), F.col("key")]
-        slot = F.pmod(F.xxhash64(*salt, "node"), F.lit(slots))
-        slot = slot if central else F.when(F.col("of") <= small, F.col("node")).otherwise(slot)
-        chosen = left.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*([-F.col("met")] if central else []), F.xxhash64(*salt, "node").alias("order"), "node", "n", "root")).alias("h"))
+
+    def moved(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+        """``buckets`` with the roots that the links among the stored pairs lead to."""
+        if pairs.isEmpty():
+            return buckets
+        new = stored(_verified(pairs, texts).distinct(), "links")
+        if new.isEmpty():
+            return buckets
+        moves.append(stored(components(new, "root", "hub_root"), "roots"))
+        to = moves[-1].select(F.col("node").alias("root"), F.col("root").alias("to"))
+        return buckets.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+
+    def mixed(buckets: DataFrame) -> DataFrame:
+        several = buckets.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+        return stored(buckets.join(several.select("key"), "key"), "buckets")
+
+    for turn in range(2):
+        order = F.xxhash64(F.lit(0), "node").alias("order")
+        chosen = left.groupBy("key").agg(F.min(F.struct(-F.col("met"), order, "node", "n", "root")).alias("h"))
         chosen = chosen.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root"))
-        near = F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")
-        once = F.lit(True) if central else (F.col("of") > small) | (F.col("node") < F.col("hub"))
-        pairs = (left if turn else left.where("home")).join(chosen, "key").where(F.col("root") != F.col("hub_root")).where(near & once)
+        pairs = (left if turn else left.where("home")).join(chosen, "key").where(F.col("root") != F.col("hub_root")).where(_near(F.col("n"), F.col("hub_n")))
         pairs = stored(pairs.select("node", "hub", "root", "hub_root").distinct(), "pairs")
-        if not pairs.isEmpty():
-            new = stored(_verified(pairs, texts).distinct(), "links")
-            if not new.isEmpty():
-                moves.append(stored(components(new, "root", "hub_root"), "roots"))
-        if not central:  # what the hubs belong to has been compared
-            left = left.join(chosen.select("key", F.col("hub_root").alias("root")).distinct(), ["key", "root"], "left_anti")
-        if moves:
-            left = left.join(moves[-1].select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root"))
-        left = left.select("key", "node", "n", "root", "met")
-        mixed = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("of")).where("a < b")
-        left = stored(left.join(mixed.select("key", "of"), "key"), "buckets")
-        slots = 1 if turn == 0 else hubs * 4 ** (turn - 1)
-        turn += 1
+        left = mixed(moved(pairs, left))
+    few = left.where(F.col("of") <= small).select("key", "node", "n", "root")
+    hubs = few.withColumnsRenamed({"node": "hub", "n": "hub_n", "root": "hub_root"})
+    pairs = few.join(hubs, "key").where((F.col("node") < F.col("hub")) & (F.col("root") != F.col("hub_root")) & _near(F.col("n"), F.col("hub_n")))
+    pairs = pairs.select("node", "hub", "root", "hub_root")
+    crowded = left.where(F.col("of") > small).select("node", "n", "root").distinct()
+    if not crowded.isEmpty():
+        pairs = pairs.union(by_rarest(crowded, texts))
+    moved(stored(pairs.distinct(), "pairs"), left)
     return followed(moves) if moves else None
 
 
@@ -204,7 +254,7 @@ def followed(moves: list[DataFrame]) -> DataFrame:
     return labels
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", hubs: int = HUBS, small: int = SMALL) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
     """The columns of ``docs`` for one row of each group: that of the smallest key, null keys last.
 
     Rows that share key and set count as one; of them the one whose text has the least MD5 stays. Texts are moved by the ids of the rows that are kept.
@@ -212,7 +262,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", hu
     sketched = with_sets(docs, text).withColumn("__id", F.monotonically_increasing_id())
     rows = stored(sketched.withColumn("__mark", F.md5(F.col(text).cast("binary"))), "sketched")
     names = {"__id": "id", "__node": "node", "__n": "n", "__bands": "bands", text: "text"}
-    roots = links(rows.select(*[F.col(a).alias(b) for a, b in names.items()]), hubs, small)
+    roots = links(rows.select(*[F.col(a).alias(b) for a, b in names.items()]), small)
     narrow = rows.select(F.col(key).alias("key"), F.col("__node").alias("node"), F.col("__mark").alias("mark"), F.col("__id").alias("id"))
     named = narrow.withColumn("root", F.col("node"))
     if roots is not None:
