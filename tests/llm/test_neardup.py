@@ -110,3 +110,14 @@ def test_variants_that_do_not_link_are_not_all_compared(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_verified", counted)
     assert kept(spark, texts) == sorted(left(texts)) == list(range(241))
     assert sum(compared) < 25 * len(texts)  # of 51,360 pairs
+
+
+@pytest.mark.parametrize("seed", [31566, 65194])
+def test_masks_find_what_bands_miss(spark, seed):
+    r = random.Random(seed)
+    text = words(r, 50)
+    copy = [*text[:25], "edited", *text[26:]]
+    texts = [" ".join(text), " ".join(copy)]
+    a, b = map(neardup.shingles, texts)
+    assert neardup.similar(a, b) and not set(neardup.bands(a)) & set(neardup.bands(b))
+    assert kept(spark, texts) == [0]
