@@ -59,6 +59,30 @@ def test_scores_equal_a_walk_by_hand(spark):
         assert abs(got - 2 ** (-mean / norm)) < 1e-9
 
 
+def test_scores_in_batches_are_those_of_the_walk(spark):
+    """To the last bit, for odd vectors too; batches of more rows than are walked at once."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(size=(1300, 5)))]
+    fitted = spark.createDataFrame(rows, "i int, v array<double>")
+    odd = [(2000, None), (2001, [float("nan")] * 5), (2002, [1e9] * 5), (2003, []), (2004, [0.1, None, 0.2, 0.3, -0.4]), (2005, [0.5]), (2006, [0.0] * 9)]
+    forest = IsolationForest(trees=25, sample=64).fit(fitted, "i", "v")
+    for df in (spark.createDataFrame(rows + odd, "i int, v array<double>").coalesce(1), fitted.coalesce(1), fitted.where("i < 0")):
+        got = forest.score(df, "v", "batches", batches=True)
+        assert "Python" in got._jdf.queryExecution().executedPlan().toString()
+        both = forest.score(got, "v", "walk").collect()
+        assert [r["batches"] for r in both] == [r["walk"] for r in both]
+
+
+def test_projected_rows_are_walked_in_batches(spark, monkeypatch):
+    from vulnwave.operators import emerging
+
+    calls, score = [], IsolationForest.score
+    monkeypatch.setattr(IsolationForest, "score", lambda *args, **how: calls.append(how) or score(*args, **how))
+    df = spark.createDataFrame([(f"k{i}", f"word{i % 7} other{i % 3} common") for i in range(60)], "k string, clean_text string")
+    assert emerging.with_isolation_flag(df, "k", trees=5).where("anomaly_score IS NULL").count() == 0
+    assert calls == [{"batches": True}]
+
+
 def test_a_forest_of_no_rows_scores_nothing(spark):
     df = spark.createDataFrame([], "i int, v array<double>")
     assert IsolationForest(trees=3).fit(df, "i", "v").score(df, "v").columns == ["i", "v", "anomaly_score"]

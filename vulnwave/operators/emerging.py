@@ -112,7 +112,7 @@ def with_isolation_flag(
     forest = IsolationForest(trees=trees, seed=seed)
     forest.grow(vectorise(forest.sample_rows(df.select(key, text), key, model.n)), "_p")
     vectors = vectorise(df)
-    scored = stored(forest.score(vectors, "_p", "anomaly_score").drop("_p"), "scored")
+    scored = stored(forest.score(vectors, "_p", "anomaly_score", batches=True).drop("_p"), "scored")
     return forest.flag(scored, "anomaly_score", contamination, "if_flag")
 
 

@@ -7,10 +7,12 @@ md5 of the seed and a name, so any SQL engine can grow the same forest.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from ..functions.aggregates import exact_quantiles
 EULER = 0.5772156649015329
 # Number of values a draw for a sample can take: the largest prime below 2^52.
 SPACE = (1 << 52) - 47
+# Rows that are walked down all trees at once where scores are made in batches.
+WALKED = 512
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -68,6 +72,43 @@ def path_lengths(nodes: list[tuple], points: np.ndarray) -> np.ndarray:
     return out
 
 
+def total_paths(model: list[list[tuple]], size: int) -> tuple[np.ndarray, ...]:
+    """The trees as flat arrays, ``size`` places a tree: root, feature, cut, path, and the two places that follow (right, left); a leaf is followed by itself."""
+    feature, cut, path = np.full(len(model) * size, -1), np.zeros(len(model) * size), np.zeros(len(model) * size)
+    child = np.repeat(np.arange(len(model) * size), 2)
+    for tree, nodes in enumerate(model):
+        for node, f, c, p in nodes:
+            at = tree * size + node
+            feature[at], cut[at], path[at] = f, c, p
+            if f >= 0:
+                child[2 * at : 2 * at + 2] = tree * size + 2 * node + 1, tree * size + 2 * node
+    return np.arange(len(model)) * size + 1, feature, cut, path, child
+
+
+def walked(points: pa.Array, trees: tuple[np.ndarray, ...], depth: int) -> pa.Array:
+    """The sum of the path lengths of each vector over the trees, first tree first; null for a null vector. What a vector hasn't goes right, as NaN does."""
+    root, feature, cut, path, child = trees
+    lengths = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = points.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    width = max(int(feature.max(initial=0)) + 1, int(lengths.max(initial=0)))
+    if (lengths == width).all():
+        x = values.reshape(len(points), width)
+    else:
+        x = np.full((len(points), width), np.nan)
+        x[np.arange(width)[None, :] < lengths[:, None]] = values
+    total = np.zeros(len(points))
+    slot = np.maximum(feature, 0)
+    for start in range(0, len(points), WALKED):
+        here = x[start : start + WALKED]
+        first, flat = np.arange(len(here)) * width, here.ravel()
+        at = np.repeat(root[:, None], len(here), axis=1)
+        for _ in range(depth):
+            at = child.take(2 * at + (flat.take(first + slot.take(at)) <= cut.take(at)))
+        for tree in path.take(at):
+            total[start : start + WALKED] += tree
+    return pa.array(total, mask=points.is_null().to_numpy(zero_copy_only=False))
+
+
 @dataclass
 class IsolationForest:
     """Trees over samples of the rows; the model is ``trees`` times at most ``2 * sample`` nodes.
@@ -92,13 +133,15 @@ class IsolationForest:
         return self.grow(self.sample_rows(df.filter(F.col(vector).isNotNull()), key), vector)
 
     def draws(self, key: str) -> Column:
-        """For each tree a number below ``SPACE``: two numbers a and b from one hash of the key give a + tree * b, independent for any two trees."""
+        """Two numbers a and b of a row, from one hash of its key, as an array of one struct. Its number for a tree is ``draw(a, b, tree)``, independent for any two trees."""
         name = F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col(key).cast("string")))
         part = lambda at: F.conv(F.substring(name, at, 13), 16, 10).cast("long")
-        two = F.array(F.struct(part(1).alias("a"), part(14).alias("b")))
-        draw = lambda ab, t: F.pmod(ab["a"] + t * ab["b"], F.lit(SPACE))
-        number = F.sequence(F.lit(0), F.lit(self.trees - 1))
-        return F.flatten(F.transform(two, lambda ab: F.transform(number, lambda t: F.struct(t.alias("tree"), draw(ab, t).alias("_draw")))))
+        return F.array(F.struct(part(1).alias("_a"), part(14).alias("_b")))
+
+    @staticmethod
+    def draw(tree: Column) -> Column:
+        """The number below ``SPACE`` of a row with ``_a`` and ``_b``."""
+        return F.pmod(F.col("_a") + tree * F.col("_b"), F.lit(SPACE))
 
     def sample_rows(self, df: DataFrame, key: str, n: int | None = None) -> DataFrame:
         """Rows of each tree's sample: the columns of ``df`` plus ``tree`` and ``_rank``.
@@ -111,7 +154,14 @@ class IsolationForest:
         self.fitted = min(self.sample, n)
         wide = 4 * self.sample
         limit = SPACE if n <= wide else SPACE * wide // n
-        drawn = df.select("*", F.inline(F.filter(self.draws(key), lambda s: s["_draw"] < limit)))
+        # Exploded, so that the hash is taken once a row; most rows of a large table are in no sample, which one compiled test tells.
+        drawn = df.select("*", F.inline(self.draws(key)))
+        if limit < SPACE:
+            least = [self.draw(F.lit(t)) for t in range(self.trees)]
+            drawn = drawn.filter((F.least(*least) if len(least) > 1 else least[0]) < limit)
+        number = F.sequence(F.lit(0), F.lit(self.trees - 1))
+        each = F.transform(number, lambda t: F.struct(t.alias("tree"), self.draw(t).alias("_draw")))
+        drawn = drawn.select(*df.columns, F.inline(F.filter(each, lambda s: s["_draw"] < limit)))
         lowest = Window.partitionBy("tree").orderBy("_draw", key)
         ranked = drawn.withColumn("_rank", F.row_number().over(lowest))
         return ranked.filter(F.col("_rank") <= self.sample).drop("_draw")
@@ -145,13 +195,17 @@ class IsolationForest:
         table = df.sparkSession.createDataFrame(rows, "tree int, feature array<int>, cut array<double>, path array<double>")
         return table.agg(F.array_sort(F.collect_list(F.struct("tree", "feature", "cut", "path")))).scalar()
 
-    def score(self, df: DataFrame, vector: str, out: str = "anomaly_score") -> DataFrame:
+    def score(self, df: DataFrame, vector: str, out: str = "anomaly_score", batches: bool = False) -> DataFrame:
         """Add 2^(-mean path / c(sample)): higher is more anomalous. Null for a null vector or an empty forest.
 
-        One expression of built-in functions: a walk of at most ``depth_limit`` steps in each tree.
+        One expression of built-in functions: a walk of at most ``depth_limit`` steps in each tree. It is interpreted, so ``batches`` walks
+        in Arrow batches instead, for vectors that a Python worker makes anyway; the scores are the same.
         """
         if not self.model:
             return df.withColumn(out, F.lit(None).cast("double"))
+        norm = max(float(average_path(self.fitted)), 1e-12)
+        if batches:
+            return df.withColumn(out, self._score_of(self._walk(df)(F.col(vector)), norm))
         x = F.col(vector).cast("array<double>")
         steps = F.sequence(F.lit(1), F.lit(self.depth_limit))
 
@@ -163,10 +217,23 @@ class IsolationForest:
         def walk(tree: Column) -> Column:
             return F.get(tree["path"], F.aggregate(steps, F.lit(1), lambda at, _: step(tree, at)))
 
-        norm = max(float(average_path(self.fitted)), 1e-12)
         total = F.aggregate(F.transform("_trees", walk), F.lit(0.0), lambda s, p: s + p)
-        score = F.pow(F.lit(2.0), -(total / F.lit(float(len(self.model)))) / F.lit(norm))
-        return df.withColumn("_trees", self._arrays(df)).withColumn(out, F.when(F.col(vector).isNotNull(), score)).drop("_trees")
+        score = F.when(F.col(vector).isNotNull(), self._score_of(total, norm))
+        return df.withColumn("_trees", self._arrays(df)).withColumn(out, score).drop("_trees")
+
+    def _score_of(self, total: Column, norm: float) -> Column:
+        return F.pow(F.lit(2.0), -(total / F.lit(float(len(self.model)))) / F.lit(norm))
+
+    def _walk(self, df: DataFrame):
+        depth = self.depth_limit
+        trees = df.sparkSession.sparkContext.broadcast(total_paths(self.model, 2 ** (depth + 1)))
+
+        @F.arrow_udf("double")
+        def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for points in batches:
+                yield walked(points, trees.value, depth)
+
+        return walk
 
     @staticmethod
     def flag(df: DataFrame, score: str, contamination: float, out: str = "if_flag") -> DataFrame:
